@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispan.llm.mixing import mix, word_count
 
@@ -55,6 +61,13 @@ def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.ann import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score does not reject, learnt from the labels beside the documents."""
+    from lexispan.llm.toxicity import score, train
+
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).where("predicted = 0").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: words of 5 to a shingle, fingerprints of at most 4 differing bits."""
+    from lexispan.llm.simhash import kept
+
+    return kept(docs, 5, 42, 4).select(COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 400-byte strings that start more than once; characters cut apart go whole."""
+    from lexispan.llm.suffix_dedup import remove
+
+    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
+    left = remove(docs, 400).withColumn("text", F.make_valid_utf8(text)).withColumn("n_chars", F.length("text").cast("long"))
+    return left.select(COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the number of copies that the target weights ask for."""
     from lexispan.llm.mixing import emitted, mix, word_count
@@ -23,7 +46,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
 #: Encoding, near-duplicate links and suffix comparison have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -55,6 +55,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(encoded_lengths(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispan.llm.packing import pack
 

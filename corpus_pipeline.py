@@ -26,8 +26,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 400-byte strings that start more than once; characters cut apart go whole."""
     from lexispan.llm.suffix_dedup import remove
 
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.decode(F.col("kept"), F.lit("UTF-8")))
-    left = remove(docs, 400).withColumn("text", F.make_valid_utf8(text)).withColumn("n_chars", F.length("text").cast("long"))
+    left = remove(docs, 400, as_text=True).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
     return left.select(COLUMNS)
 
 

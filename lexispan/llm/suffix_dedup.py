@@ -367,8 +367,8 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 200
     return out
 
 
-def remove(docs: DataFrame, length: int = 400, hot: int = 200_000) -> DataFrame:
-    """Documents with ``kept`` (remaining bytes), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
+def remove(docs: DataFrame, length: int = 400, hot: int = 200_000, as_text: bool = False) -> DataFrame:
+    """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else
     in the input. Null texts are empty; texts shorter than ``length`` lose nothing;
@@ -396,7 +396,10 @@ def remove(docs: DataFrame, length: int = 400, hot: int = 200_000) -> DataFrame:
                 edges = [0, *(v for r in runs for v in (r["start"], r["end"])), len(text)]
                 kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(runs), size.append(len(text))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array([s - len(k) for s, k in zip(size, kept, strict=True)], pa.int64()), pa.array(removed, kind)], [*names, "kept", "n_bytes", "n_removed", "removed"])
+            gone = [s - len(k) for s, k in zip(size, kept, strict=True)]
+            if as_text:
+                kept = [k.decode("utf-8", "ignore") for k in kept]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind)], [*names, "kept", "n_bytes", "n_removed", "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    return rows.select(*names, "text", "spans").mapInArrow(cut, f"{schema}, kept binary, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
+    return rows.select(*names, "text", "spans").mapInArrow(cut, f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>")

@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.token_io import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
+
+
 def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispan.llm.vector_dedup import near_duplicates
 

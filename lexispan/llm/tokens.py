@@ -59,7 +59,7 @@ class BatchEncoder:
     encoded by itself.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, together: int = 1000):
+    def __init__(self, path: str, keep: int = 800_000, together: int = 1000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 

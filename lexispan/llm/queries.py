@@ -61,6 +61,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram(encoded_lengths(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispan.llm.toxicity import score, train
 

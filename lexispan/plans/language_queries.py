@@ -1,9 +1,135 @@
-"""Queries of the language parsers."""
+"""Queries of the language parsers, over inline sources: extraction runs in the same job shape as over a source tree."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexispan.operators import extract, pattern, references, resolve, rewrite
+
+_SOURCES = {
+    "rust": ("src/lib.rs", "pub struct Foo; pub fn bar(a: i32) {}\nmod baz { pub(crate) fn inner() {} }\nimpl Foo { fn new() -> Self { Foo } }\n"),
+    "python": ("pkg/m.py", "class Outer:\n    class Inner:\n        def method(self, x: int):\n            pass\n\nasync def f(a, b=1):\n    return a\n"),
+    "cpp": ("a.cpp", "namespace utils {\n    void helper();\n}\ntemplate<typename T>\nT max(T a, T b) { return a > b ? a : b; }\n"),
+    "c": ("a.c", "#include <stdio.h>\nstruct P { int x; };\nint add(int a, int b) { return a + b; }\n"),
+    "java": ("A.java", "import java.util.List;\npublic class A { int n; A() {} static void add(int a, int b) {} }\n"),
+    "javascript": ("a.js", "const fs = require('fs');\nclass C { constructor() {} m(x) {} }\nexport async function f(a) { return a; }\n"),
+    "typescript": ("a.ts", "import type { U, V } from './types';\nexport interface I { id: string; }\nnamespace N {\n  export function g() {}\n}\ntype T = string | number;\n"),
+}
+
+#: Goldens: kind, qualified name, the declaration's text, parameters.
+_SYMBOLS = {
+    "rust": [
+        ("struct", "crate::Foo", "pub struct Foo;", ""), ("function", "crate::bar", "pub fn bar(a: i32) {}", "a"), ("module", "crate::baz", "mod baz { pub(crate) fn inner() {} }", ""),
+        ("function", "crate::baz::inner", "pub(crate) fn inner() {}", ""), ("impl", "crate::Foo", "impl Foo { fn new() -> Self { Foo } }", ""), ("function", "crate::new", "fn new() -> Self { Foo }", ""),
+    ],
+    "python": [
+        ("class", "module::Outer", "class Outer:\n    class Inner:\n        def method(self, x: int):\n            pass", ""), ("class", "module::Outer::Inner", "class Inner:\n        def method(self, x: int):\n            pass", ""),
+        ("function", "module::Outer::Inner::method", "def method(self, x: int):\n            pass", "x"), ("function", "module::f", "async def f(a, b=1):\n    return a", "a,b"),
+    ],
+    "cpp": [("namespace", "utils", "namespace utils {\n    void helper();\n}", ""), ("function", "utils::helper", "void helper();", ""), ("template_function", "max", "template<typename T>\nT max(T a, T b) { return a > b ? a : b; }", "a,b")],
+    "c": [("struct", "P", "struct P { int x; }", ""), ("function", "add", "int add(int a, int b) { return a + b; }", "a,b")],
+    "java": [("class", "A", "public class A { int n; A() {} static void add(int a, int b) {} }", ""), ("field", "A.n", "int n;", ""), ("constructor", "A.A", "A() {}", ""), ("method", "A.add", "static void add(int a, int b) {}", "a,b")],
+    "javascript": [
+        ("variable", "fs", "const fs = require('fs');", ""), ("class", "C", "class C { constructor() {} m(x) {} }", ""), ("method", "C::constructor", "constructor() {}", ""), ("method", "C::m", "m(x) {}", "x"),
+        ("function", "f", "async function f(a) { return a; }", "a"),
+    ],
+    "typescript": [("interface", "I", "interface I { id: string; }", ""), ("namespace", "N", "namespace N {\n  export function g() {}\n}", ""), ("function", "N::g", "function g() {}", ""), ("type_alias", "T", "type T = string | number;", "")],
+}
+
+
+def _files(spark: SparkSession, only: list[str]) -> DataFrame:
+    return extract.source_files(spark.createDataFrame([_SOURCES[k] for k in only], "file_path string, content string"))
+
+
+def _shown(symbols: DataFrame) -> DataFrame:
+    return symbols.select("kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"))
+
+
+def _symbol_query(language: str):
+    def run(spark, sf_dir):
+        files = _files(spark, [language])
+        return _shown(extract.table(extract.facts(files), "symbols"))
+
+    return run
+
+
+#: Facts of imports by language: file, kind, path, names, glob, reexport.
+_IMPORT_SOURCES = [
+    ("r.rs", "pub use crate::module::{foo, bar as b};\nuse super::x::*;\n"), ("p.py", "import os, sys\nfrom ..utils import helper as h\n"), ("i.cpp", '#include <a/b.h>\n#include "c.h"\n'),
+    ("J.java", "import static java.lang.Math.*;\n"), ("s.js", "import d, { e as f } from '@x/y';\nconst { g } = require('./z');\n"), ("t.ts", "import type K from './k';\nimport 'side';\n"),
+]
+_IMPORT_SQL = """SELECT * FROM (VALUES ('r.rs', 'UseCrate', 'crate/module', 'foo,b', false, true), ('r.rs', 'UseSuper', 'super/x', '*', true, false),
+('p.py', 'PythonImport', 'os', 'os', false, false), ('p.py', 'PythonImport', 'sys', 'sys', false, false), ('p.py', 'PythonFromParent', '../utils', 'h', false, false), ('i.cpp', 'CppSystemInclude', 'a/b.h', '', false, false),
+('i.cpp', 'CppLocalInclude', 'c.h', '', false, false), ('J.java', 'JavaStaticImport', 'java/lang/Math', '', true, false), ('s.js', 'JsDefaultImport', '@x/y', 'd,f', false, false), ('s.js', 'JsRequire', './z', 'g', false, false),
+('t.ts', 'TsTypeDefaultImport', './k', 'K', false, false), ('t.ts', 'JsSideEffectImport', 'side', '', false, false)) t(file_path, import_kind, path, names, is_glob, is_reexport)"""
+
+
+def language_imports(spark, sf_dir):
+    """Imports of all languages in one job."""
+    files = extract.source_files(spark.createDataFrame(_IMPORT_SOURCES, "file_path string, content string"))
+    rows = extract.table(extract.facts(files), "imports")
+    return rows.select("file_path", "import_kind", F.array_join("path", "/").alias("path"), F.array_join("imported_names", ",").alias("names"), "is_glob", "is_reexport")
+
+
+_REF_SOURCES = [
+    ("/w/src/lib.rs", "pub fn helper() {}\nfn main() { helper(); { fn helper() {} helper(); } let x = |helper: i32| helper(); }\n"),
+    ("/w/src/a.rs", "use crate::helper;\nfn f() { helper(); crate::helper(); }\n"), ("/w/src/b.rs", "fn g() { helper(); }\n"), ("/w/src/c.rs", "use crate::*;\nfn h(s: S) { s.helper(); }\n"),
+]
+
+
+def language_references(spark, sf_dir):
+    """References to a function in its file and in those that import it, inner declarations left out."""
+    files = extract.source_files(spark.createDataFrame(_REF_SOURCES, "file_path string, content string"))
+    rows = extract.facts(files)
+    tables = {n: extract.table(rows, n) for n in ("symbols", "identifiers", "scopes", "scope_symbols", "imports")}
+    from lexispan.functions.naming import module_path
+
+    modules = files.select("file_path", module_path("/w", "file_path").alias("module_path"))
+    target = {"file_path": "/w/src/lib.rs", "name": "helper", "kind": "function", "byte_start": 0, "byte_end": 18, "is_private": False}
+    found = references.find(target, tables["identifiers"], tables["scopes"], tables["scope_symbols"], tables["imports"], modules)
+    return found.select("file_path", "byte_start", "byte_end", F.col("context.kind").alias("context"), "origin")
+
+
+def language_pattern_replace(spark, sf_dir):
+    """A literal outside comments, found and replaced in two languages."""
+    code = [("a.rs", "fn f() { let x = 42; // 42\n 42 }\n"), ("b.py", "x = 42\n# 42\ny = '42'\n")]
+    files = extract.source_files(spark.createDataFrame(code, "file_path string, content string"))
+    comments = extract.table(extract.facts(files), "syntax_nodes").where("kind = 'comment'")
+    return rewrite.rewritten(pattern.replacements(files, "42", "7", comments), files).select("file_path", "n_edits", "after")
+
+
+def language_cross_file(spark, sf_dir):
+    """Names through imports of parsed sources: local first, then explicit, then glob, aliases by their target's first symbol."""
+    code = [("/w/src/lib.rs", "fn local() {}\n"), ("/w/src/a.rs", "pub fn helper() {}\npub fn other() {}\n"), ("/w/src/b.rs", "use crate::a::helper as util;\nuse crate::a::*;\nfn helper() {}\n")]
+    files = extract.source_files(spark.createDataFrame(code, "file_path string, content string"))
+    rows = extract.facts(files)
+    from lexispan.functions.naming import module_path
+
+    modules = files.select("file_path", module_path("/w", "file_path").alias("module_path"))
+    imports = resolve.import_targets(extract.table(rows, "imports"), modules)
+    probes = spark.createDataFrame([("/w/src/b.rs", n) for n in ("helper", "util", "other", "absent")], "current_file string, identifier string")
+    return resolve.across_files(probes, extract.table(rows, "symbols"), imports)
 
 
 def queries() -> dict:
-    return {}
+    out = {f"{k}_symbols": _symbol_query(k) for k in _SYMBOLS}
+    return out | {f.__name__: f for f in (language_imports, language_references, language_pattern_replace, language_cross_file)}
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::BIGINT" for v in r) + ")" for r in rows)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {}
+    for k, rows in _SYMBOLS.items():
+        code = _SOURCES[k][1]
+        placed = [(kind, name, code.index(text), code.index(text) + len(text), parameters) for kind, name, text, parameters in rows]
+        out[f"{k}_symbols"] = f"SELECT * FROM (VALUES {_values(placed)}) t(kind, fully_qualified, byte_start, byte_end, parameters)"
+    out["language_imports"] = _IMPORT_SQL
+    refs = [("/w/src/lib.rs", 31, 37, "FunctionCall", "same_file"), ("/w/src/a.rs", 28, 34, "FunctionCall", "cross_file"), ("/w/src/a.rs", 38, 51, "FunctionCall", "cross_file"), ("/w/src/c.rs", 29, 35, "FunctionCall", "cross_file")]
+    out["language_references"] = f"SELECT * FROM (VALUES {_values(refs)}) t(file_path, byte_start, byte_end, context, origin)"
+    out["language_pattern_replace"] = "SELECT * FROM (VALUES ('a.rs', 2::BIGINT, 'fn f() { let x = 7; // 42' || chr(10) || ' 7 }' || chr(10)), ('b.py', 2, 'x = 7' || chr(10) || '# 42' || chr(10) || 'y = ''7''' || chr(10))) t(file_path, n_edits, after)"
+    out["language_cross_file"] = "SELECT * FROM (VALUES ('/w/src/b.rs', 'helper', '/w/src/b.rs', 'helper', 'function', 0), ('/w/src/b.rs', 'util', '/w/src/a.rs', 'helper', 'function', 1), ('/w/src/b.rs', 'other', '/w/src/a.rs', 'other', 'function', 2)) t(current_file, identifier, file_path, name, kind, priority)"
+    return out

@@ -47,7 +47,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 6000) -> dict:
     rows.sort(key=lambda r: (r.doc_id, r.text))
     y = np.array([r.quality for r in rows], float)
     if len(set(y.tolist())) < 2:
-        return {"weights": None, "prior": float(y.mean()) if len(y) else 0.5}
+        return {"weights": None, "prior": float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5}
     data, at = flat(pa.array([r.text for r in rows]))
     x = features(data, at)
     mean, spread = x.mean(0), x.std(0) + 1e-9

@@ -296,7 +296,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 200
             yield rows(0, [0] * len(member[0]), *member, [None] * len(member[0]), [0] * len(member[0]))
             for (c1, c2, s, r, left), (n,) in strings.items():
                 line, d = s[r:][::-1] + s[:r], [d for d in range(max(0, length - r), min(left, reach) + 1)]
-                hashes = [_digest(line[left - x : left - x + length], 0) for x in d]
+                hashes = [_digest(line[left - x : left - x + length], x) for x in d]  # a string counts once for each of its anchors
                 yield rows(2, [h[0] for h in hashes], [c1] * len(d), [c2] * len(d), [h[1] for h in hashes], [0] * len(d), d, [None] * len(d), [n] * len(d))
             if held > 64 << 20:
                 yield from runs_out()

@@ -81,7 +81,7 @@ class BatchEncoder:
 
     def _plain(self, piece: str) -> bool:
         if self.suffix:
-            return piece.strip(" \t\n\r\x0b\x0c").isalpha()
+            return piece.strip(" \t\n\r\x0b\x0c").lower().isalpha()  # lower-casing can add marks, which divide
         return piece[0] == " " and piece[1:].isalpha()
 
     def _each(self, pieces: list[str]) -> None:

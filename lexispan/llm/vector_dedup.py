@@ -121,7 +121,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0, miss: flo
                     continue
                 x, ids, copies = unit(m), group.column("vec_id").to_numpy()[rows], group.column("copies").to_numpy()[rows]
                 t, side = int(group.column("tab")[0].as_py()), group.column("side").to_numpy()[rows]
-                pairs = [np.concatenate(v) for v in zip(*bucket_pairs(x, cosine, side if len(np.unique(side)) > 1 else None), strict=True)]
+                pairs = [np.concatenate(v) for v in zip(*bucket_pairs(x, cosine, side if group.column("across")[0].as_py() else None), strict=True)]
                 i, j = pairs
                 if not len(i):
                     continue
@@ -162,9 +162,9 @@ def links(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0, miss: flo
         own = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         dealt = dealt.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("side", own).withColumn("other", other)
-        dealt = dealt.withColumn("sub", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")).drop("blocks", "other")
+        dealt = dealt.withColumn("sub", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")).withColumn("across", F.col("side") != F.col("other")).drop("blocks", "other")
     else:
-        dealt = dealt.withColumn("side", F.lit(0).cast("long")).withColumn("sub", F.lit(0).cast("long"))
+        dealt = dealt.withColumn("side", F.lit(0).cast("long")).withColumn("sub", F.lit(0).cast("long")).withColumn("across", F.lit(False))
     out = dealt.repartition(parts(spark), "key", "sub").sortWithinPartitions("key", "sub").mapInArrow(found, "a long, b long, n long")
     out = written(out, "links")
     return out.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n")), out.select("a", "b").where("a <> b").distinct()

@@ -97,7 +97,6 @@ def python_blocks(src: Source):
     """(keyword's token index, byte column, end offset of the block) of each def and class."""
     data, tokens = src.data, src.tokens
     line_first: dict[int, int] = {}  # line: its first token
-    depth, closing = 0, set()
     inner = set()
     for o, c in src.close.items():
         inner.update(range(o + 1, c))
@@ -111,12 +110,12 @@ def python_blocks(src: Source):
         if src.text(k) not in ("def", "class") or not src.is_name(k + 1):
             continue
         column = src.place(tokens[i].start)[1]
-        after = next((j for ln, j in starts[n + 1 :] if src.place(tokens[j].start)[1] <= column and ln > line and src.place(tokens[j].start)[0] > src.place(src.end(src.until(k, ":")) - 1)[0] - 1), None)
+        head = src.place(src.end(src.until(k, ":")) - 1)[0]  # the line on which the block opens
+        after = next((j for ln, j in starts[n + 1 :] if ln > max(line, head - 1) and src.place(tokens[j].start)[1] <= column), None)
         end = tokens[after - 1].end if after else len(data.rstrip())
         if after is None and tokens:
             end = tokens[-1].end
         yield i, k, column, end
-    del depth, closing
 
 
 def python(src: Source) -> list[dict]:
@@ -397,9 +396,7 @@ def ecma(src: Source) -> list[dict]:
                 continue
             elif word in ("const", "let", "var") and src.is_name(named) and src.text(first - 1) not in ("(", "for"):
                 end = statement_end(named, last)
-                required = any(src.text(k) == "require" and src.text(k + 1) == "(" for k in range(named, min(end, named + 4)))
                 out.append(_symbol(src, src.name(named), "variable", first, end, container, "::", (), seen, start, **flags))
-                del required
                 scan(named + 1, end, f"{container}::{src.name(named)}" if container else src.name(named), True)
                 i = end + 1
                 continue

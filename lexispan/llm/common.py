@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,11 +69,7 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def null_first_text(c: Column | str) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-
-
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Smallest id that each node reaches, (node, component), for the nodes of ``edges`` (a, b) of type long.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): a node
@@ -83,7 +79,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     """
     found = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
     last = None
-    for _ in range(rounds):
+    while True:
         both = found.select(F.col("b").alias("n"), F.col("a").alias("m")).unionByName(found.select(F.col("a").alias("n"), F.col("b").alias("m")))
         low = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
         large = both.where("m > n").join(low, "n").select(F.col("low").alias("a"), F.col("m").alias("b")).where("a < b").distinct()

@@ -11,6 +11,7 @@ its pairs.
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +56,25 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
 
 
-def layout(n: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of the segments: as many as leave a segment about the bits that n values fill."""
-    m = max(2, min(distance + 1, 64 // max(16, n.bit_length() - 1)))
-    edges = [64 * i // m for i in range(m + 1)]
-    return [(a, b - a, distance // m) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def layout(n: int, distance: int, row: float = 50.0) -> list[tuple[int, int, int]]:
+    """(shift, bits, radius) of the segments that cost n fingerprints least, a row looked up being worth ``row`` comparisons.
+
+    Fewer, longer segments have larger balls; more, shorter ones have fuller
+    buckets. Each number of segments misses no link.
+    """
+
+    def edges(m: int) -> list[int]:
+        return [64 * i // m for i in range(m + 1)]
+
+    def cost(m: int) -> float:
+        total = 0.0
+        for a, b in zip(edges(m)[:-1], edges(m)[1:], strict=True):
+            ball = sum(comb(b - a, r) for r in range(distance // m + 1))
+            total += ball * (row + n / 2 ** (b - a))
+        return total
+
+    m = min(range(2, max(2, distance) + 1), key=cost)
+    return [(a, b - a, distance // m) for a, b in zip(edges(m)[:-1], edges(m)[1:], strict=True)]
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -129,7 +144,16 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: i
         ok = (x < y) & ~(probe[i] & probe[j]) & (_bits(x ^ y) <= distance)
         a.append(x[ok]), b.append(y[ok])
     for g in use[n[use] ** 2 > most]:
-        x, y = group_links(np.unique(fp[first[g] : last[g]]), distance)
+        own, asks = fp[first[g] : last[g]], probe[first[g] : last[g]]
+        held = own[~asks]
+        if len(held) * len(own) <= 1 << 22:
+            i, j = np.nonzero(_bits(held[:, None] ^ own[None, :]) <= distance)
+            x, y = held[i], own[j]
+            i = np.flatnonzero(x != y)
+            if len(i) <= 4 * len(own):
+                a.append(np.minimum(x[i], y[i])), b.append(np.maximum(x[i], y[i]))
+                continue
+        x, y = group_links(np.unique(own), distance)
         a.append(x), b.append(y)
     return np.concatenate(a), np.concatenate(b)
 

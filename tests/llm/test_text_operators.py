@@ -122,6 +122,21 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r.taken / r.target - 1) < 0.12
 
 
+@pytest.mark.parametrize("distance", [4, 8])
+def test_simhash_table_links(spark, distance):
+    rng = np.random.default_rng(distance)
+    base = rng.integers(0, 1 << 63, 60, np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, k)).astype(np.uint64), axis=1) for k in (1, 3, 6, 8, 9, 20)]
+    fp = np.unique(np.concatenate([base, *[base ^ f for f in flips], base[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= distance)
+    want = brute.joined(len(fp), [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b])
+    place = {int(v): k for k, v in enumerate(fp)}
+    rows = simhash.links(spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp bigint"), distance).collect()
+    pairs = [(place[r.a % (1 << 64)], place[r.b % (1 << 64)]) for r in rows]
+    assert all((int(fp[a]) ^ int(fp[b])).bit_count() <= distance for a, b in pairs)
+    assert brute.joined(len(fp), pairs) == want
+
+
 @pytest.mark.parametrize("hot", [200_000, 2])
 def test_suffix_dedup_is_brute_force(docs, empty, hot):
     got = suffix_dedup.remove(docs.withColumn("removed", F.lit(1)), 400, hot=hot).collect()
@@ -176,7 +191,7 @@ def test_simhash_links_join_all_that_is_linked():
         a, b = find(fp, 4)
         assert (np.bitwise_count(a ^ b) <= 4).all() and len(a) < len(fp)
         assert brute.joined(len(fp), [(place[int(x)], place[int(y)]) for x, y in zip(a, b, strict=True)]) == want
-    assert simhash.layout(1 << 17, 4)[0][2] == 1 and simhash.layout(1 << 40, 4) == [(0, 32, 2), (32, 32, 2)]
+    assert simhash.layout(1 << 17, 4)[0][2] == 1 and simhash.layout(1 << 40, 4) == [(0, 32, 2), (32, 32, 2)] and len(simhash.layout(1 << 17, 8)) == 5
 
 
 def test_components(spark):

@@ -2,8 +2,8 @@
 
 Pieces count only by length, so a histogram of at most ``size`` lengths holds all
 that the plan needs, whatever the corpus. The plan takes the longest length and
-looks for one, two or three available lengths that fill its gap exactly, then
-packs what is left best-fit. Its patterns give, for each length, ranges of ranks
+looks for one, two or three available lengths that fill its gap exactly, or else
+fills it best-fit. Its patterns give, for each length, ranges of ranks
 and the places they go to; pieces look theirs up by their rank within the length.
 """
 
@@ -23,16 +23,20 @@ from lexispan.llm.tokens import encoder, slices
 PIECES = "piece int, start long, length long, ids_crc32 long, _part int, _nth long"
 
 
-def exact_fill(left: np.ndarray, longest: int, size: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is the gap beside ``longest``, which itself is taken already."""
+def exact_fill(left: np.ndarray, longest: int, size: int, most: int = 3) -> tuple[int, ...] | None:
+    """One, two or three available lengths, at most ``most``, whose sum is the gap beside ``longest``, which itself is taken already."""
     gap = size - longest
     there = left > 0
     if gap <= size and there[gap]:
         return (gap,)
+    if most < 2:
+        return None
     x = np.arange((gap + 1) // 2, gap)  # the larger of two
     hit = x[there[x] & there[gap - x]]
     if len(two := hit[(hit * 2 != gap) | (left[hit] > 1)]):
         return int(two[-1]), gap - int(two[-1])
+    if most < 3:
+        return None
     for first in np.flatnonzero(there[: max(gap - 1, 0)])[::-1].tolist():  # the largest of three
         if first * 3 < gap:
             break
@@ -62,27 +66,32 @@ def best_fill(left: np.ndarray, longest: int, size: int) -> tuple[int, ...]:
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times) of each pattern; counts: available pieces by length 0 to ``size``."""
+    """(lengths, times) of each pattern; counts: available pieces by length 0 to ``size``.
+
+    Combinations of up to three, two or one lengths are looked up in turn for the
+    whole histogram, and the plan of the fewest sequences stands.
+    """
+    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda patterns: sum(times for _, times in patterns))
+
+
+def _plan(counts: np.ndarray, size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first: exact combinations while there are any, then what fits best."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
     patterns = []
-
-    def use(lengths: tuple[int, ...]) -> None:
-        many = {v: lengths.count(v) for v in lengths}
-        times = min(int(left[v]) // n for v, n in many.items())
-        for v, n in many.items():
-            left[v] -= n * times
-        patterns.append((lengths, times))
-
-    for exact in (True, False):
-        for longest in range(size, 0, -1):
-            while left[longest]:
-                left[longest] -= 1
-                rest = (() if longest == size else exact_fill(left, longest, size)) if exact else best_fill(left, longest, size)
-                left[longest] += 1
-                if rest is None:
-                    break
-                use((longest, *rest))
+    for longest in range(size, 0, -1):
+        while left[longest]:
+            left[longest] -= 1
+            rest = () if longest == size else exact_fill(left, longest, size, most)
+            if rest is None:
+                rest = best_fill(left, longest, size)
+            left[longest] += 1
+            lengths = (longest, *rest)
+            many = {v: lengths.count(v) for v in lengths}
+            times = min(int(left[v]) // n for v, n in many.items())
+            for v, n in many.items():
+                left[v] -= n * times
+            patterns.append((lengths, times))
     return patterns
 
 
@@ -125,6 +134,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: bool
                         x, k = x + n, k + 1
                 doc = part.column("doc_id").take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part_id] * len(row), pa.int32()), pa.array(order, pa.int64()), *[pa.array(body, pa.binary())] * with_ids], names)
+        encoder(vocabulary).trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, f"doc_id long, {PIECES}" + ", ids binary" * with_ids)
 

@@ -9,11 +9,14 @@ piece of a batch is encoded once and the ids are gathered with numpy.
 from __future__ import annotations
 
 import os
+import re
+
 import numpy as np
 import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD_AND_MARKS = re.compile(r"([ \t\n\r\x0b\x0c]*)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 #: Last two bytes of the white space characters above U+007F.
 _WIDE_SPACE = np.zeros(1 << 16, bool)
 _WIDE_SPACE[
@@ -53,10 +56,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class BatchEncoder:
     """Encodes string arrays; keeps the ids of up to ``keep`` pieces between calls.
 
-    Pieces of letters only are encoded many to a text, which spares the library's
+    Words of letters only, without marks after them, are encoded many to a text, which spares the library's
     cost per call. Word-end or word-start marks of the vocabulary then tell the
-    pieces' ids apart; where their number is not that of the pieces, each piece is
-    encoded by itself.
+    pieces' ids apart; where their number is not that of the words, each is encoded
+    by itself.
     """
 
     def __init__(self, path: str, keep: int = 800_000, together: int = 1000):
@@ -79,10 +82,17 @@ class BatchEncoder:
             self.words.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
             self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def _plain(self, piece: str) -> bool:
-        if self.suffix:
-            return piece.strip(" \t\n\r\x0b\x0c").lower().isalpha()  # lower-casing can add marks, which divide
-        return piece[0] == " " and piece[1:].isalpha()
+    def _cut(self, piece: str) -> tuple[str, str] | None:
+        """A piece of letters and then ASCII marks as its word and its marks, which no pre-token joins; None for others."""
+        m = _WORD_AND_MARKS.fullmatch(piece)
+        if m is None or not m[2].isalpha():
+            return None
+        if not self.suffix:
+            return (m[1] + m[2], m[3]) if m[1] == " " else None
+        if "\u03a3" in m[2]:  # whose lower case depends on its place
+            return None
+        word = m[2].lower()  # white space and case make no difference here; marks that lower-casing adds divide
+        return (word, m[3]) if word.isalpha() else None
 
     def _each(self, pieces: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -99,12 +109,15 @@ class BatchEncoder:
         self.known.update(zip(pieces, (body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if self._plain(p)]
-        other = [p for p in pieces if not self._plain(p)]
-        for at in range(0, len(plain), self.together):
-            self._many(plain[at : at + self.together])
+        cut = [self._cut(p) for p in pieces]
+        words = list({c[0] for c in cut if c}.difference(self.known))
+        for at in range(0, len(words), self.together):
+            self._many(words[at : at + self.together])
+        other = list({p for p, c in zip(pieces, cut, strict=True) if not c}.union(c[1] for c in cut if c and c[1]).difference(self.known))
         for at in range(0, len(other), 20_000):
             self._each(other[at : at + 20_000])
+        known = self.known
+        known.update([(p, known[c[0]] + known[c[1]] if c[1] else known[c[0]]) for p, c in zip(pieces, cut, strict=True) if c])
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         new = [p for p in pieces if p not in self.known]

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import bisect
 import hashlib
 import re
 from collections import defaultdict
@@ -49,3 +50,18 @@ def joined(n, pairs):
         a, b = root(a), root(b)
         up[max(a, b)] = min(a, b)
     return [root(i) for i in range(n)]
+
+
+def best_fit(counts, size):
+    """Sequences that best-fit decreasing opens."""
+    gaps, opened = [], 0
+    for v in range(size, 0, -1):
+        for _ in range(int(counts[v])):
+            i = bisect.bisect_left(gaps, v)
+            if i < len(gaps):
+                gap = gaps.pop(i) - v
+            else:
+                opened, gap = opened + 1, size - v
+            if gap:
+                bisect.insort(gaps, gap)
+    return opened

@@ -230,12 +230,13 @@ def _digest(s: bytes, r: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 200_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_000_000) -> DataFrame:
     """(k1, k2, spans) of the documents with repeated strings, spans being (start, end) in bytes, in no order.
 
     k1 and k2 name a document: its id (null: -1) and its text's hash. ``each``:
     about as many contexts meet in a reducer. Grams that occur over ``hot`` times
-    count their strings one by one instead, spread by the strings' hashes.
+    count their strings one by one instead, spread by the strings' hashes; below
+    that a gram's contexts, alike ones taken together in each run, fit a task.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -298,7 +299,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 200
                 line, d = s[r:][::-1] + s[:r], [d for d in range(max(0, length - r), min(left, reach) + 1)]
                 hashes = [_digest(line[left - x : left - x + length], x) for x in d]  # a string counts once for each of its anchors
                 yield rows(2, [h[0] for h in hashes], [c1] * len(d), [c2] * len(d), [h[1] for h in hashes], [0] * len(d), d, [None] * len(d), [n] * len(d))
-            if held > 64 << 20:
+            if held > 24 << 20:
                 yield from runs_out()
                 runs, held = {}, 0
         yield from runs_out()
@@ -367,7 +368,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 200
     return out
 
 
-def remove(docs: DataFrame, length: int = 400, hot: int = 200_000, as_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, hot: int = 1_000_000, as_text: bool = False) -> DataFrame:
     """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else

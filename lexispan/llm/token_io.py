@@ -159,7 +159,9 @@ def unpack_blocks(blobs: list[bytes], length: int, shares: np.ndarray) -> np.nda
 
 
 def rough_shares(counts: np.ndarray) -> np.ndarray:
-    """At least 1 each, 2**SHARES together, kept as a power of two times a number of 4 bits but for the last sum's rest."""
+    """Shares of the ids by their counts: at least 1 each, 2**SHARES together."""
+    if len(counts) > 1 << SHARES - 1:
+        raise ValueError("too many different ids for one segment")
     c = np.maximum(counts.astype(np.float64), 1)
     s = np.maximum(1, np.floor(c / c.sum() * ((1 << SHARES) - len(c)))).astype(np.int64)
     s[np.argmax(s)] += (1 << SHARES) - s.sum()
@@ -257,6 +259,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_
                     yield put()
         if held:
             yield put()
+        encoder(vocabulary).trim()
 
     # doc_id alone decides the ranges, so ranges are few only where ids repeat
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first())

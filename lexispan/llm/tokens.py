@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ class BatchEncoder:
     by itself.
     """
 
-    def __init__(self, path: str, keep: int = 800_000, together: int = 1000):
+    def __init__(self, path: str, keep: int = 500_000, together: int = 1000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -122,10 +123,16 @@ class BatchEncoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > self.keep:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}  # those of this batch come again soonest
+            known = self.known
+            self.trim()
+            self.known.update((p, known[p]) for p in pieces if p in known)
         self._learn(new)
         return [self.known[p] for p in pieces]
 
+    def trim(self) -> None:
+        """Keep the pieces that came first, which are the common ones: called between tasks, it bounds what an idle worker holds."""
+        self.known = dict(islice(self.known.items(), self.keep // 4))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the n + 1 places where each text's ids begin and end."""
         data, offsets = flat(texts)
@@ -157,7 +164,7 @@ def encoder(path: str) -> BatchEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in parts of about ``most`` bytes of text, a single longer text by itself: bounds what is held at once."""
     sizes = np.diff(flat(batch.column(column))[1])
     group = (np.cumsum(sizes) - sizes) // most

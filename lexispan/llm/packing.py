@@ -134,7 +134,6 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: bool
                         x, k = x + n, k + 1
                 doc = part.column("doc_id").take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part_id] * len(row), pa.int32()), pa.array(order, pa.int64()), *[pa.array(body, pa.binary())] * with_ids], names)
-        encoder(vocabulary).trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, f"doc_id long, {PIECES}" + ", ids binary" * with_ids)
 

@@ -25,7 +25,6 @@ def encoded_lengths(docs: DataFrame, vocabulary: str, text: str = "text", extra:
             for part in slices(batch, "text"):
                 _, at = encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at) + extra)], ["n_tokens"])
-        encoder(vocabulary).trim()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(lengths, "n_tokens long")
 

@@ -259,7 +259,6 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_
                     yield put()
         if held:
             yield put()
-        encoder(vocabulary).trim()
 
     # doc_id alone decides the ranges, so ranges are few only where ids repeat
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first())

@@ -16,14 +16,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5 words to a shingle, fingerprints of at most 8 differing bits.
+    """One document of each group of near copies: texts joined by pairs that share 0.8 of their 5-word shingles, each pair confirmed."""
+    from lexispan.llm.simhash import similar_kept
 
-    Of pairs this near nearly all share 0.8 or more of their shingles or little
-    less; at 4 bits most pairs of 0.8 would be missed.
-    """
-    from lexispan.llm.simhash import kept
-
-    return kept(docs, 5, 42, 8).select(COLUMNS)
+    return similar_kept(docs, 5, 42, 8, 0.8).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,12 @@ def simhash(text, words=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, words=5):
+    """The set of a text's shingles; all words are one where there are fewer."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
 def joined(n, pairs):
     """Smallest index that each of n reaches."""
     up = list(range(n))

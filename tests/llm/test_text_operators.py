@@ -326,3 +326,30 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.count() <= n
     assert not docs.where("n_chars <> length(text)").where("n_chars IS NOT NULL").count()
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_near_copies_are_confirmed_on_shingles(spark, docs, empty):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randint(60, 250))]
+        texts.append(" ".join(base))
+        for _ in range(6):  # similarities on both sides of 0.8
+            new = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) // rng.choice([30, 45, 60, 100]))):
+                new[at] = "changed" + rng.choice(WORDS)
+            texts.append(" ".join(new))
+    rows = [(i % 160, t, "en", "s", None) for i, t in enumerate(texts)] + [r[:5] for r in docs.collect()]
+    sets = [brute.shingles(r[1]) for r in rows]
+    similar = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])]
+    far = sum((brute.simhash(rows[i][1], 5) ^ brute.simhash(rows[j][1], 5)).bit_count() > 8 for i, j in pairs)
+    assert far > 20
+    want = {}
+    for r, c in zip(rows, brute.joined(len(rows), pairs), strict=True):
+        want.setdefault(c, []).append((r[0] is None, r[0] or 0))
+    got = simhash.similar_kept(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    own = dict(zip(sets, brute.joined(len(rows), pairs), strict=True))
+    assert sorted(own[brute.shingles(r.text)] for r in got) == sorted(want)
+    assert all((r.doc_id is None, r.doc_id or 0) == min(want[own[brute.shingles(r.text)]]) for r in got)
+    assert simhash.similar_kept(empty).count() == 0

@@ -23,10 +23,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that start more than once; characters cut apart go whole."""
+    """Documents without 400-byte strings, and passages of 51 whole words, that start more than once; characters cut apart go whole."""
     from lexispan.llm.suffix_dedup import remove
 
-    left = remove(docs, 400, as_text=True).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
+    left = remove(docs, 400, as_text=True, words=51).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
     return left.select(COLUMNS)
 
 

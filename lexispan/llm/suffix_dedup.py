@@ -14,11 +14,16 @@ reducer merges its runs with a loser tree that starts each comparison after the
 prefix that both sides share with the last winner. Common prefixes of neighbours
 then tell, for each d, which anchors agree in the length - d bytes that follow;
 those that agree in the d bytes before too hold the same string.
+
+Passages of so many words that have fewer bytes than the length are strings of
+the same kind, of several lengths: each has the smallest gram inside it as its
+anchor, lies inside that anchor's context, and is told by its hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +36,7 @@ from lexispan.llm.common import discard, parts, ship, written
 from lexispan.llm.tokens import flat, slices
 
 GRAM = 64
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _B = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
 
@@ -68,8 +74,46 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of all strings of ``length`` bytes inside the texts, and their grams' hashes."""
+def passage_anchors(data: np.ndarray, offsets: np.ndarray, length: int, words: int, gram: int = GRAM) -> np.ndarray:
+    """Places of the anchors, first of the smallest, of all passages of ``words`` words and fewer than ``length`` bytes inside the texts."""
+    n = len(data)
+    if n < gram:
+        return np.zeros(0, np.int64)
+    word = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate((word[1:], [False])))) + 1
+    if len(begins) < words:
+        return np.zeros(0, np.int64)
+    first, last = begins[: len(begins) - words + 1], ends[words - 1 :]
+    use = (last - first < length) & (last - first >= gram) & (np.searchsorted(offsets, first, "right") == np.searchsorted(offsets, last, "left"))
+    first, width = first[use], (last - first)[use] - gram + 1
+    x = (gram_hashes(data, gram) >> np.uint64(32) << np.uint64(32)) | np.arange(n - gram + 1, dtype=np.uint64)
+    out, size = [np.zeros(0, np.int64)], 1
+    while size < length:
+        now = (width >= size) & (width < 2 * size)
+        if now.any():
+            out.append((np.minimum(x[first[now]], x[first[now] + width[now] - size]) & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        if len(x) <= size:
+            break
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.unique(np.concatenate(out))
+
+
+def passages(line: bytes, at: int, length: int, words: int, most: int, gram: int = GRAM) -> list[tuple[int, int]]:
+    """(d, m) of the passages of fewer than ``length`` bytes around the gram at ``at``: from d bytes before it to m bytes, at most ``most``, after its start."""
+    found = [x.span() for x in _WORD.finditer(line)]
+    return [(at - x, y - at) for (x, _), (_, y) in zip(found, found[words - 1 :], strict=False) if x <= at and gram <= y - at <= most and y - x < length]
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM, words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors of all strings of ``length`` bytes inside the texts, and of passages of ``words`` words if any are asked for, and their grams' hashes."""
+    if words:
+        own, h = anchors(data, offsets, length, gram)
+        own = np.union1d(own, passage_anchors(data, offsets, length, words, gram)).astype(np.int64)
+        return own, gram_hashes(data, gram)[own] if len(own) else h
     n, w = len(data), length - gram + 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -183,8 +227,38 @@ def merged(blobs: list[bytes]):
         win = up
 
 
-def repeated_levels(items: list[list], length: int, reach: int) -> list[tuple[int, int, bytes]]:
-    """(c1, c2, bits) of the contexts with repeated strings; bit d: the string that starts d bytes before the anchor.
+def repeated_passages(items: list[list], length: int, words: int) -> dict[int, list[int]]:
+    """By item: d and m of the passages that stand in other contexts too, or in one that counts twice."""
+    from xxhash import xxh64_intdigest
+
+    share = [x[0] for x in items] + [0]
+    out: dict[int, list[int]] = {}
+    key, of, d, m = [], [], [], []
+    for i, (_, s, r, _, n, *_) in enumerate(items):
+        near = max(share[i], share[i + 1]) if i else share[1]  # contexts in order: what others share, a neighbour does
+        if n < 2 and near < GRAM:
+            continue
+        line = s[r:][::-1] + s[:r]
+        for x, y in passages(line, len(s) - r, length, words, r if n > 1 else near):
+            if n > 1:
+                out.setdefault(i, []).extend((x, y))
+            if y <= near:
+                key.append(xxh64_intdigest(line[len(s) - r - x : len(s) - r + y], x)), of.append(i), d.append(x), m.append(y)
+    if key:
+        k = np.array(key, np.uint64)
+        _, back, count = np.unique(k, return_inverse=True, return_counts=True)
+        for j in np.flatnonzero(count[back] > 1).tolist():
+            out.setdefault(of[j], []).extend((d[j], m[j]))
+    return out
+
+
+def packed_spans(levels: np.ndarray, own: list[int]) -> bytes:
+    """Bits of the levels, then d and m of passages."""
+    return np.packbits(levels, bitorder="little").tobytes() + np.array(own, "<u2").tobytes()
+
+
+def repeated_levels(items: list[list], length: int, reach: int, words: int = 0) -> list[tuple[int, int, bytes]]:
+    """(c1, c2, bits) of the contexts with repeated strings; bit d: the string that starts d bytes before the anchor; d and m of passages follow.
 
     items: (lcp, context, right, left, count, c1, c2) in order, distinct contexts, each with the prefix shared with the one before.
     """
@@ -220,9 +294,9 @@ def repeated_levels(items: list[list], length: int, reach: int) -> list[tuple[in
             two[order[1:][same]] = True
             two[order[:-1][same]] = True
             hit[own[ok[two]], d] = True
-    some = np.flatnonzero(hit.any(axis=1))
-    packed = np.packbits(hit[some], axis=1, bitorder="little")
-    return [(items[i][5], items[i][6], p.tobytes()) for i, p in zip(some.tolist(), packed, strict=True)]
+    own = repeated_passages(items, length, words) if words else {}
+    some = np.flatnonzero(hit.any(axis=1)).tolist()
+    return [(items[i][5], items[i][6], packed_spans(hit[i], own.get(i, []))) for i in sorted({*some, *own})]
 
 
 def _digest(s: bytes, r: int) -> tuple[int, int]:
@@ -230,8 +304,8 @@ def _digest(s: bytes, r: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_000_000) -> DataFrame:
-    """(k1, k2, spans) of the documents with repeated strings, spans being (start, end) in bytes, in no order.
+def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_000_000, words: int = 0) -> DataFrame:
+    """(k1, k2, spans) of the documents with repeated strings, or passages of ``words`` words, spans being (start, end) in bytes, in no order.
 
     k1 and k2 name a document: its id (null: -1) and its text's hash. ``each``:
     about as many contexts meet in a reducer. Grams that occur over ``hot`` times
@@ -241,13 +315,13 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
     spark = docs.sparkSession
     ship(spark)
     reach = length - GRAM
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), "text").where(F.octet_length("text") >= length)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), "text").where(F.octet_length("text") >= (min(length, max(GRAM, 2 * words - 1)) if words else length))
 
     def find(batches):
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 data, offsets = flat(part.column("text"))
-                at, h = anchors(data, offsets, length)
+                at, h = anchors(data, offsets, length, words=words)
                 row = np.searchsorted(offsets, at, "right") - 1
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), pa.array((at - offsets[row]).astype(np.int32)), pa.array(h.view(np.int64))], ["k1", "k2", "pos", "gram"])
@@ -297,8 +371,11 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
             yield rows(0, [0] * len(member[0]), *member, [None] * len(member[0]), [0] * len(member[0]))
             for (c1, c2, s, r, left), (n,) in strings.items():
                 line, d = s[r:][::-1] + s[:r], [d for d in range(max(0, length - r), min(left, reach) + 1)]
-                hashes = [_digest(line[left - x : left - x + length], x) for x in d]  # a string counts once for each of its anchors
-                yield rows(2, [h[0] for h in hashes], [c1] * len(d), [c2] * len(d), [h[1] for h in hashes], [0] * len(d), d, [None] * len(d), [n] * len(d))
+                ends = [(x, length - x) for x in d] + (passages(line, left, length, words, r) if words else [])
+                hashes = [_digest(line[left - x : left + y], x) for x, y in ends]  # a string counts once for each of its anchors
+                if ends:
+                    k = len(ends)
+                    yield rows(2, [h[0] for h in hashes], [c1] * k, [c2] * k, [h[1] for h in hashes], [0] * k, [x << 16 | y for x, y in ends], [None] * k, [n] * k)
             if held > 24 << 20:
                 yield from runs_out()
                 runs, held = {}, 0
@@ -316,7 +393,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
             out = []
 
             def done(items):
-                for c1, c2, bits in repeated_levels(items, length, reach):
+                for c1, c2, bits in repeated_levels(items, length, reach, words):
                     out.append((c1, c2, bits))
 
             items: list[list] = []
@@ -344,8 +421,9 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
                 out = []
                 for v in b.column("levels").to_pylist():
                     hit = np.zeros(reach + 1, bool)
-                    hit[v] = True
-                    out.append(np.packbits(hit, bitorder="little").tobytes())
+                    ends = [(x >> 16, x & 0xFFFF) for x in v]
+                    hit[[x for x, y in ends if x + y == length]] = True
+                    out.append(packed_spans(hit, [z for x, y in ends if x + y < length for z in (x, y)]))
                 yield pa.RecordBatch.from_arrays([b.column("c1"), b.column("c2"), pa.array(out, pa.binary())], ["c1", "c2", "bits"])
 
         cold = cold.unionByName(level.mapInArrow(bits, "c1 long, c2 long, bits binary"))
@@ -355,7 +433,18 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
         for b in batches:
             row, start, end = [], [], []
             for i, (pos, body) in enumerate(zip(b.column("pos").to_pylist(), b.column("bits").to_pylist(), strict=True)):
-                d = np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8), bitorder="little"))
+                cut = reach // 8 + 1
+                d = np.flatnonzero(np.unpackbits(np.frombuffer(body[:cut], np.uint8), bitorder="little"))
+                more = np.frombuffer(body[cut:], "<u2").tolist()
+                last = None
+                for x, y in sorted((pos - x, pos + y) for x, y in zip(more[::2], more[1::2], strict=True)):
+                    if last is not None and x <= last:
+                        last = end[-1] = max(last, y)
+                    else:
+                        row.append(i), start.append(x), end.append(y)
+                        last = y
+                if not len(d):
+                    continue
                 edge = np.flatnonzero(np.diff(d) > 1)
                 for x, y in zip(d[np.concatenate(([0], edge + 1))].tolist(), d[np.concatenate((edge, [len(d) - 1]))].tolist(), strict=True):
                     row.append(i), start.append(pos - y), end.append(pos - x + length)
@@ -368,17 +457,18 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
     return out
 
 
-def remove(docs: DataFrame, length: int = 400, hot: int = 1_000_000, as_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, hot: int = 1_000_000, as_text: bool = False, words: int = 0) -> DataFrame:
     """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else
-    in the input. Null texts are empty; texts shorter than ``length`` lose nothing;
+    in the input, or with ``words`` a passage of so many whole words, however short
+    in bytes. Null texts are empty; texts shorter than ``length`` lose nothing;
     rows alike are copies of each other; no documents give none. Columns of the
     input whose names clash with those added are replaced.
     """
     ship(docs.sparkSession)
     base = docs.drop("kept", "n_bytes", "n_removed", "removed", "k1", "k2", "spans")
-    found = spans(docs.select("doc_id", "text"), length, hot=hot)
+    found = spans(docs.select("doc_id", "text"), length, hot=hot, words=words)
     keyed = base.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("k2", F.xxhash64("text"))
     rows = keyed.join(found, ["k1", "k2"], "left")
     names = [c for c in base.columns if c != "text"]

@@ -24,6 +24,27 @@ def repeats(texts, length=400):
     return out
 
 
+def without_passages(texts, length=400, words=51):
+    """Texts without the strings of ``length`` bytes and the passages of ``words`` words that occur twice."""
+    bodies = [(t or "").encode() for t in texts]
+    strings = []
+    for b in bodies:
+        own = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        strings.append([(i, i + length) for i in range(len(b) - length + 1)] + [(own[i][0], own[i + words - 1][1]) for i in range(len(own) - words + 1)])
+    key = lambda b, x, y: hashlib.blake2b(b[x:y], digest_size=16).digest()
+    seen, out = defaultdict(set), []
+    for i, (b, own) in enumerate(zip(bodies, strings)):
+        for x, y in own:
+            seen[key(b, x, y)].add((i, x))
+    for b, own in zip(bodies, strings):
+        gone = bytearray(len(b))
+        for x, y in own:
+            if len(seen[key(b, x, y)]) > 1:
+                gone[x:y] = b"\1" * (y - x)
+        out.append(bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    return out
+
+
 def simhash(text, words=4):
     import xxhash
 

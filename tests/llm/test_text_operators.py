@@ -353,3 +353,19 @@ def test_near_copies_are_confirmed_on_shingles(spark, docs, empty):
     assert sorted(own[brute.shingles(r.text)] for r in got) == sorted(want)
     assert all((r.doc_id is None, r.doc_id or 0) == min(want[own[brute.shingles(r.text)]]) for r in got)
     assert simhash.similar_kept(empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [200_000, 2])
+def test_passages_of_51_words_are_cut(spark, docs, hot):
+    rng = random.Random(13)
+    plain = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    planted, short, tiny = plain(51), plain(50), " ".join(rng.choice("abcdefg") for _ in range(51))
+    assert len(planted.encode()) < 400
+    rows = [(k, f"{plain(rng.randint(0, 80))} {p} {plain(rng.randint(1, 80))}", "en", "s", None) for k, p in enumerate([planted, short, tiny, planted + "x"] * 3)]
+    rows += [(50, planted, "en", "s", None), (51, "x" + planted, "en", "s", None), (52, tiny, "en", "s", None), (53, f"{plain(60)}\n{plain(3)} {planted}", "en", "s", None)]
+    rows += [r[:5] for r in docs.collect()]
+    got = suffix_dedup.remove(spark.createDataFrame(rows, DOCS).repartition(3), 400, hot=hot, as_text=True, words=51).collect()
+    texts = [r[1] for r in rows]
+    want = brute.without_passages(texts)
+    assert sorted(r.kept for r in got) == sorted(want)
+    assert not any(planted + " " in t or tiny in t for t in want) and sum(short in t for t in want) == 3

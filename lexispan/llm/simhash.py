@@ -94,8 +94,8 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 def group_links(fp: np.ndarray, distance: int, split: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Links among distinct fingerprints that join all that are joined by links: each is reached once."""
-    if len(fp) > split:  # the same search over the other bits, as a bucket of near-equal values has few distinct ones there
-        return big_links(fp, distance)
+    if len(fp) > split:
+        return split_links(fp, distance, split)
     left, a, b = fp.copy(), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
@@ -137,6 +137,42 @@ def big_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def split_links(fp: np.ndarray, distance: int, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """As group_links, by the buckets of each two of distance + 2 segments: two fingerprints within ``distance`` agree in two of them.
+
+    Segments are of those bits in which the fingerprints differ; a bucket that is
+    still crowded is split by those in which its own do.
+    """
+    same = ~(np.bitwise_or.reduce(fp) ^ np.bitwise_and.reduce(fp))
+    bits = [p for p in range(64) if not int(same) >> p & 1]
+    cuts = [bits[len(bits) * i // (distance + 2) : len(bits) * (i + 1) // (distance + 2)] for i in range(distance + 2)]
+    fp = np.sort(fp)
+    root = np.arange(len(fp))
+    none = np.zeros(0, np.uint64)
+    a, b = [none], [none]
+    for x, y in combinations(cuts, 2):
+        key = fp & np.uint64(sum(1 << p for p in x + y))
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.diff(key[order])) + 1
+        for own in np.split(order, edge):
+            if len(own) < 2 or (root[own] == root[own[0]]).all():
+                continue
+            p, q = group_links(fp[own], distance, split if len(own) < len(fp) else len(fp))
+            if len(p):
+                i, j = np.searchsorted(fp, p), np.searchsorted(fp, q)
+                for k, (u, v) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                    while root[u] != u:
+                        root[u] = u = root[root[u]]
+                    while root[v] != v:
+                        root[v] = v = root[root[v]]
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        a.append(p[k : k + 1]), b.append(q[k : k + 1])
+        while (root != root[root]).any():
+            root = root[root]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def bucket_links(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, distance: int, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole buckets, sorted by key. Buckets of few pairs give all that hold, larger ones a joining part."""
     edge = np.flatnonzero(np.diff(key)) + 1

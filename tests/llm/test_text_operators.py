@@ -369,3 +369,16 @@ def test_passages_of_51_words_are_cut(spark, docs, hot):
     want = brute.without_passages(texts)
     assert sorted(r.kept for r in got) == sorted(want)
     assert not any(planted + " " in t or tiny in t for t in want) and sum(short in t for t in want) == 3
+
+
+def test_crowded_buckets_are_split_at_8_bits():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 52, 6000, np.uint64)
+    steps = [np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 52, (6000, k)).astype(np.uint64), axis=1) for k in (2, 8, 9)]
+    fp = np.unique(np.concatenate([base, *(base ^ f for f in steps)]))  # 12 bits are common, as in a bucket
+    assert len(fp) > 20_000
+    a, b = simhash.group_links(fp, 8)
+    assert (np.bitwise_count(a ^ b) <= 8).all() and len(a) < len(fp)
+    place = {int(v): k for k, v in enumerate(fp)}
+    number = lambda x, y: [(place[int(p)], place[int(q)]) for p, q in zip(x, y, strict=True)]
+    assert brute.joined(len(fp), number(a, b)) == brute.joined(len(fp), number(*simhash.group_links(fp, 8, len(fp))))

@@ -118,7 +118,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(data, gram)
-    g = (h >> np.uint64(32)).astype(np.uint32)
+    g = np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 marks strings that cross texts
     low = _sliding(g, w, np.minimum)  # for each start of a string
     inside = np.ones(n + 1, bool)
     ends = offsets[1:-1]

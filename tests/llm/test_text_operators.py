@@ -382,3 +382,13 @@ def test_crowded_buckets_are_split_at_8_bits():
     place = {int(v): k for k, v in enumerate(fp)}
     number = lambda x, y: [(place[int(p)], place[int(q)]) for p, q in zip(x, y, strict=True)]
     assert brute.joined(len(fp), number(a, b)) == brute.joined(len(fp), number(*simhash.group_links(fp, 8, len(fp))))
+
+
+def test_grams_of_value_0_are_anchors(monkeypatch):
+    data = np.frombuffer(bytes(random.Random(2).randbytes(900)), np.uint8)
+    plain = suffix_dedup.gram_hashes
+    low = plain(data, suffix_dedup.GRAM)
+    low[450] = 7  # the upper half is 0
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda *_: low)
+    own, h = suffix_dedup.anchors(data, np.array([0, len(data)]), 400)
+    assert 450 in own.tolist() and 7 in h.tolist()

@@ -269,7 +269,7 @@ def kept(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4) ->
     stays = written(named.select("doc_id", "class_fp"), "stays")
     once = stays.groupBy("doc_id").agg(F.min("class_fp").alias("_class"))
     joined = docs.join(once.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    if stays.count() > once.count() or stays.where("doc_id is null").limit(1).count():
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
         # ids that repeat, or none: fingerprints again tell the rows' classes, and one row of each stays
         ship(docs.sparkSession)
         udf = F.pandas_udf(lambda s: s.map(lambda t: np.uint64(fingerprint((t or "").encode(), words, seed)).astype(np.int64)), "long")

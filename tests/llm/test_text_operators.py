@@ -392,3 +392,11 @@ def test_grams_of_value_0_are_anchors(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda *_: low)
     own, h = suffix_dedup.anchors(data, np.array([0, len(data)]), 400)
     assert 450 in own.tolist() and 7 in h.tolist()
+
+
+def test_simhash_keeps_one_row_of_a_class_whose_id_is_another_ones(spark):
+    alone, shared = (prose(random.Random(k), 80) for k in (21, 22))
+    rows = [(5, alone), (3, shared), (5, shared)]
+    for keep in (simhash.kept, simhash.similar_kept):
+        got = keep(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, alone), (3, shared)])

@@ -400,3 +400,71 @@ def test_simhash_keeps_one_row_of_a_class_whose_id_is_another_ones(spark):
     for keep in (simhash.kept, simhash.similar_kept):
         got = keep(spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)).collect()
         assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, alone), (3, shared)])
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    import hashlib
+    from collections import Counter
+
+    import corpus_pipeline as cp
+
+    texts, marks = labelled(spark, 200)
+    rng = random.Random(31)
+    rows = [tuple(r) for r in texts.collect()]
+    passage = " ".join(rng.choice(WORDS) for _ in range(55))
+    rows += [(1000 + k, f"{prose(rng, 40)} {passage} {prose(rng, 30 + k)}", "en", "s1", None) for k in range(4)]
+    rows += [(2000 + k, r[1].replace(" ", " once ", 1) if k % 2 else r[1], "en", r[3], None) for k, r in enumerate(rows[:20])]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    plain = [r for r in toxicity.score(docs, toxicity.train(docs, marks)).collect() if r.predicted == 0]
+    plain = [(r.doc_id, r.text, r.source) for r in plain]
+    seen = []
+
+    def now(k):
+        nonlocal docs
+        docs = common.written(cp.STAGES[k][1](spark, docs, str(tmp_path)), "test-plain")
+        seen.append(docs.count())
+        assert Counter((r.doc_id, r.text, r.source) for r in docs.collect()) == Counter(plain)
+
+    now(0)
+    plain.sort()
+    sets = [brute.shingles(r[1]) for r in plain]
+    pairs = [(i, j) for i in range(len(plain)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0]
+    plain = [plain[i] for i in sorted(set(brute.joined(len(plain), pairs)))]
+    now(1)
+    plain = [(i, t, c) for (i, _, c), t in zip(plain, brute.without_passages([r[1] for r in plain]), strict=True)]
+    now(2)
+    size = Counter()
+    for _, t, c in plain:
+        size[c] += len(t.split())
+    weights = {c: k % 3 + 1 for k, c in enumerate(sorted(size))}
+    left, target, total = set(size), {}, sum(size.values())
+    while True:
+        level = (total - sum(target.values())) / sum(weights[c] for c in left)
+        full = [c for c in left if level * weights[c] > 3 * size[c]]
+        if not full:
+            break
+        for c in full:
+            target[c] = 3 * size[c]
+            left.remove(c)
+    target |= {c: level * weights[c] for c in left}
+    copies = lambda i, rate: int(rate) + (int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:13], 16) / (1 << 52) < rate - int(rate))
+    plain = [r for r in plain for _ in range(copies(r[0], target[r[2]] / size[r[2]]))]
+    now(3)
+    assert seen[0] < len(rows) and seen[1] < seen[0] and seen[2] == seen[1]
+    e = BatchEncoder(vocabulary("byte_bpe_50k.json"))
+    lengths = Counter()
+    for i, t, _ in plain:
+        lengths[i] += len(e.tokenizer.encode(t, add_special_tokens=False).ids) + 1
+    got, used = Counter(), {}
+    for r in cp.run(spark, str(tmp_path)).collect():
+        got[r.doc_id] += r.length
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == lengths
+    for own in used.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import parts, ship, written
+from lexispan.llm.common import parts, released, ship, written
 from lexispan.llm.vector_dedup import matrices, sound
 
 
@@ -155,7 +155,7 @@ def index(vectors: DataFrame, shard_rows: int = 4096, m: int = 16, ef: int = 80,
                 )
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")).repartition(max(parts(spark), n), "shard")
-    return written(dealt.mapInArrow(graphs, "shard long, dim int, ids binary, starts binary, vectors binary, levels binary, entry int, links array<binary>"), "graphs"), n
+    return written(dealt.mapInArrow(released(graphs), "shard long, dim int, ids binary, starts binary, vectors binary, levels binary, entry int, links array<binary>"), "graphs"), n
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 160, block: int = 256, shard_rows: int = 4096, m: int = 16, ef_build: int = 80) -> DataFrame:
@@ -177,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 160, b
                     yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([ids[p : p + block].tobytes()], pa.binary()), pa.array([x[p : p + block].tobytes()], pa.binary())], ["dim", "q_ids", "q_vectors"])
 
     few = max(1, ask.count() // block)
-    asked = ask.repartition(few).mapInArrow(blocks, "dim int, q_ids binary, q_vectors binary")
+    asked = ask.repartition(few).mapInArrow(released(blocks), "dim int, q_ids binary, q_vectors binary")
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
     def answers(batches):
@@ -198,6 +198,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 160, b
                         out[0].append(own), out[1].append(j), out[2].append(float(np.sqrt(d)))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    met = graphs.join(asked, ["shard", "dim"]).repartition(max(parts(spark), n)).mapInArrow(answers, "query_id long, vec_id long, score double")
+    met = graphs.join(asked, ["shard", "dim"]).repartition(max(parts(spark), n)).mapInArrow(released(answers), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

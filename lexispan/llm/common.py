@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +32,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one is set only where none is named, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is named a local master gets a local one, as in tests; a cluster is refused, as its executors would write to their own disks."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(context, "_lexispan_scratch", None)
         if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = context._lexispan_scratch = "file://" + tempfile.mkdtemp(prefix="lexispan-scratch-")
             import atexit
 
@@ -65,6 +71,28 @@ def discard(*tables: DataFrame | None) -> None:
             where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system: idle workers would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(f):
+    """A function of Arrow batches whose worker gives its memory back at the task's end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -1,9 +1,11 @@
 """Best-fit packing by exact complements.
 
 Pieces count only by length, so a histogram of at most ``size`` lengths holds all
-that the plan needs, whatever the corpus. The plan takes the longest length and
-looks for one, two or three available lengths that fill its gap exactly, or else
-fills it best-fit. Its patterns give, for each length, ranges of ranks
+that the plan needs, whatever the corpus. An index of the sums of one, two and
+three lengths finds what exactly fills the gap beside a longest length, and such
+combinations are consumed while pieces are available: singles first, then pairs,
+then triples, the most even ones first, as small pieces are the scarce ones.
+Best fit packs what is left. The plan's patterns give, for each length, ranges of ranks
 and the places they go to; pieces look theirs up by their rank within the length.
 """
 
@@ -17,82 +19,125 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import ship, written
+from lexispan.llm.common import released, ship, written
 from lexispan.llm.tokens import encoder, slices
 
 PIECES = "piece int, start long, length long, ids_crc32 long, _part int, _nth long"
 
 
-def exact_fill(left: np.ndarray, longest: int, size: int, most: int = 3) -> tuple[int, ...] | None:
-    """One, two or three available lengths, at most ``most``, whose sum is the gap beside ``longest``, which itself is taken already."""
-    gap = size - longest
-    there = left > 0
-    if gap <= size and there[gap]:
-        return (gap,)
-    if most < 2:
-        return None
-    x = np.arange((gap + 1) // 2, gap)  # the larger of two
-    hit = x[there[x] & there[gap - x]]
-    if len(two := hit[(hit * 2 != gap) | (left[hit] > 1)]):
-        return int(two[-1]), gap - int(two[-1])
-    if most < 3:
-        return None
-    for first in np.flatnonzero(there[: max(gap - 1, 0)])[::-1].tolist():  # the largest of three
-        if first * 3 < gap:
-            break
-        rest = gap - first
-        y = np.arange((rest + 1) // 2, min(first, rest - 1) + 1)
-        y = y[there[y] & there[rest - y]]
-        for second in y[::-1].tolist():
-            third = rest - second
-            need = [first, second, third]
-            if all(left[v] >= need.count(v) for v in need):
-                return first, second, third
-    return None
-
-
-def best_fill(left: np.ndarray, longest: int, size: int) -> tuple[int, ...]:
-    """The longest available length that fits, again and again."""
-    out, gap, used = [], size - longest, {}
-    while gap > 0:
-        fits = np.flatnonzero(left[: gap + 1])[::-1].tolist()
-        v = next((v for v in fits if left[v] > used.get(v, 0)), 0)
-        if not v:
-            break
-        out.append(v)
-        used[v] = used.get(v, 0) + 1
-        gap -= v
-    return tuple(out)
-
-
-def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times) of each pattern; counts: available pieces by length 0 to ``size``.
-
-    Combinations of up to three, two or one lengths are looked up in turn for the
-    whole histogram, and the plan of the fewest sequences stands.
-    """
-    return min((_plan(counts, size, most) for most in (3, 2, 1)), key=lambda patterns: sum(times for _, times in patterns))
-
-
-def _plan(counts: np.ndarray, size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Longest first: exact combinations while there are any, then what fits best."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    patterns = []
-    for longest in range(size, 0, -1):
+class Sums:
+    """Lengths that occur, by the sums of one, two and three of them; ``left`` has how many of each are available."""
+
+    def __init__(self, left: np.ndarray):
+        self.occurs = left > 0
+        self.pairs = [self._larger(s) for s in range(len(left))]
+        self.paired = np.array([len(x) > 0 for x in self.pairs])
+
+    def _larger(self, total: int) -> np.ndarray:
+        """The larger of each two lengths of this sum, most even first."""
+        x = np.arange((total + 1) // 2, total)
+        return x[self.occurs[x] & self.occurs[total - x]]
+
+    def _thirds(self, total: int) -> np.ndarray:
+        """The smallest of each three lengths of this sum, largest first."""
+        x = np.arange(total // 3, 0, -1)
+        return x[self.occurs[x] & self.paired[total - x]]
+
+    def pair(self, left: np.ndarray, total: int, least: int = 1) -> tuple[int, ...]:
+        """Two available lengths, none under ``least``; none: ()."""
+        x = self.pairs[total]
+        y = total - x
+        at = np.flatnonzero((left[x] > 0) & (left[y] > (x == y)) & (y >= least))
+        return (int(x[at[0]]), int(y[at[0]])) if len(at) else ()
+
+    def fill(self, left: np.ndarray, gap: int, number: int) -> tuple[int, ...]:
+        """``number`` available lengths that make up the gap; none: ()."""
+        if number == 1:
+            return (gap,) if left[gap] else ()
+        if number == 2:
+            return self.pair(left, gap)
+        for third in self._thirds(gap).tolist():
+            if left[third]:
+                left[third] -= 1
+                two = self.pair(left, gap - third, third)
+                left[third] += 1
+                if two:
+                    return (*two, third)
+        return ()
+
+
+def exact(sums: Sums, left: np.ndarray, lengths: range, size: int, number: int) -> list[tuple[tuple[int, ...], int]]:
+    """Consume from ``left`` combinations of a length of ``lengths`` and ``number`` others that fill a sequence, as patterns."""
+    out = []
+    for longest in lengths:
         while left[longest]:
             left[longest] -= 1
-            rest = () if longest == size else exact_fill(left, longest, size, most)
-            if rest is None:
-                rest = best_fill(left, longest, size)
+            rest = sums.fill(left, size - longest, number)
             left[longest] += 1
-            lengths = (longest, *rest)
-            many = {v: lengths.count(v) for v in lengths}
+            if not rest:
+                break
+            own = (longest, *rest)
+            many = {v: own.count(v) for v in own}
             times = min(int(left[v]) // n for v, n in many.items())
             for v, n in many.items():
                 left[v] -= n * times
-            patterns.append((lengths, times))
-    return patterns
+            out.append((own, times))
+    return out
+
+
+def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of all pieces, longest first, each in the sequence with the smallest gap that holds it."""
+    open_: list[list] = [[] for _ in range(size + 1)]  # by gap: patterns and how many
+    for v in range(size, 0, -1):
+        n, gap = int(left[v]), v
+        while n:
+            while gap < size and not open_[gap]:
+                gap += 1
+            own, times = open_[gap].pop() if gap < size else ((), n)
+            # a new sequence takes as many as it can, as they fit each other best
+            each = 1 if own else min(size // v, n)
+            use = min(times, n // each)
+            if use < times and own:
+                open_[gap].append((own, times - use))
+            open_[(gap if own else size) - each * v].append((own + (v,) * each, use))
+            n -= each * use
+            gap = max(v, gap - v) if own else v  # what was just put out may be the smallest gap now
+    return [x for own in open_ for x in own]
+
+
+def plan(counts: np.ndarray, size: int, least: int = 32) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, times) of each pattern; counts: available pieces by length 0 to ``size``.
+
+    Exact combinations are taken for a range of longest lengths at once where best fit
+    then needs no more sequences for what they leave, else for each of its halves,
+    down to ``least`` lengths. So there are never more sequences than by best fit alone.
+    """
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    sums, patterns = Sums(left), [((size,), int(left[size]))] if left[size] else []
+    left[size] = 0
+
+    def sequences(own) -> int:
+        return sum(times for _, times in own)
+
+    most = sequences(best_fit(left, size))
+
+    def take(first: int, last: int, number: int) -> None:
+        nonlocal left, most
+        trial = left.copy()
+        own = exact(sums, trial, range(last, first - 1, -1), size, number)
+        total = sequences(own) + sequences(best_fit(trial, size)) if own else most
+        if total <= most:
+            patterns.extend(own)
+            left, most = trial, total - sequences(own)
+        elif last - first >= least:
+            middle = (first + last) // 2
+            take(middle + 1, last, number)
+            take(first, middle, number)
+
+    for number in (1, 2, 3):
+        take(1, size - 1, number)
+    return patterns + best_fit(left, size)
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, np.ndarray]:
@@ -135,16 +180,18 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, size: int, with_ids: bool
                 doc = part.column("doc_id").take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc)), pa.array([part_id] * len(row), pa.int32()), pa.array(order, pa.int64()), *[pa.array(body, pa.binary())] * with_ids], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, f"doc_id long, {PIECES}" + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(pieces), f"doc_id long, {PIECES}" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 1024, with_ids: bool = False, broadcast_rows: int = 100_000) -> DataFrame:
     """Each piece with its sequence_id and offset.
 
     Null and empty texts are a piece of the end id alone; rows alike, and rows whose
     id is null or repeated, are packed each for itself; other columns are not
     carried. No documents: no pieces. The driver sees the histogram of lengths, at
     most ``size`` rows, and tasks get the plan, whose rows that number bounds too.
+    The table of first ranks has a row for each length and task that cut; it is
+    broadcast only if it was counted to have at most ``broadcast_rows`` rows.
     """
     found = written(cut(docs, vocabulary, end_id, size, with_ids), "pieces")
     per = found.groupBy("length", "_part").agg(F.count("*").alias("n"))
@@ -166,5 +213,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, size: int = 1024, wi
                 where[own], offset[own] = rows[k, 1] + rank[own] - rows[k, 0], rows[k, 2]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:5]), pa.array(where), pa.array(offset), *(b.column(c) for c in extra)], names)
 
-    ranked = found.join(per.select("length", "_part", "_base"), ["length", "_part"]).withColumn("_rank", F.col("_base") + F.col("_nth"))
-    return ranked.select(*names[:5], "_rank", *extra).mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    bases = per.select("length", "_part", "_base")
+    bases = F.broadcast(bases) if per.count() <= broadcast_rows else bases.hint("merge")
+    ranked = found.join(bases, ["length", "_part"]).withColumn("_rank", F.col("_base") + F.col("_nth"))
+    return ranked.select(*names[:5], "_rank", *extra).mapInArrow(released(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import ship, written
+from lexispan.llm.common import released, ship, written
 from lexispan.llm.tokens import flat, slices
 from lexispan.llm.toxicity import logistic
 
@@ -70,7 +70,7 @@ def evidence(docs: DataFrame, model: dict) -> DataFrame:
                     p = 1 / (1 + np.exp(-np.clip(np.hstack((z, z * z)) @ model["weights"][:-1] + model["weights"][-1], -12, 12)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(p)], ["doc_id", "host", "path", "p"])
 
-    return docs.select("doc_id", "host", "path", "text").mapInArrow(scored, "doc_id long, host string, path string, p double")
+    return docs.select("doc_id", "host", "path", "text").mapInArrow(released(scored), "doc_id long, host string, path string, p double")
 
 
 def prior_weight(spread: float, groups: int, drawn: float, total: float, most: float = 1000.0) -> float:

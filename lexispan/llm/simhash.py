@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import components, discard, parts, ship, written
+from lexispan.llm.common import components, discard, parts, released, ship, written
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py() or b"", words, seed) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(each), "doc_id long, fp long")
 
 
 def layout(n: int, distance: int, row: float = 50.0) -> list[tuple[int, int, int]]:
@@ -112,31 +112,6 @@ def group_links(fp: np.ndarray, distance: int, split: int = 20_000) -> tuple[np.
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def big_links(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """As group_links, by looking every Hamming ball of up to ``distance`` bits up in the sorted values, for those of the lower levels first."""
-    s = np.sort(fp)
-    parent = np.arange(len(s))
-
-    def root(i):
-        while (parent[i] != parent[parent[i]]).any():
-            parent[i] = parent[parent[i]]
-        return parent[i]
-
-    a, b = [], []
-    for r in range(1, distance + 1):
-        for places in combinations(range(64), r):
-            mask = np.uint64(sum(1 << p for p in places))
-            at = np.minimum(np.searchsorted(s, s ^ mask), len(s) - 1)
-            i = np.flatnonzero((s[at] == s ^ mask) & (s < s ^ mask))
-            if len(i):
-                p, q = root(i.copy()), root(at[i])
-                keep = parent[p] != parent[q]
-                a.append(s[i[keep]]), b.append(s[at[i[keep]]])
-                np.minimum.at(parent, np.maximum(parent[p], parent[q]), np.minimum(parent[p], parent[q]))
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
-
-
 def split_links(fp: np.ndarray, distance: int, split: int) -> tuple[np.ndarray, np.ndarray]:
     """As group_links, by the buckets of each two of distance + 2 segments: two fingerprints within ``distance`` agree in two of them.
 
@@ -242,8 +217,8 @@ def links(values: DataFrame, distance: int = 4) -> DataFrame:
             pair = np.unique(np.stack((a, b)), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0].view(np.int64)), pa.array(pair[1].view(np.int64))], ["a", "b"])
 
-    dealt = values.select("fp").repartition(parts(spark)).mapInArrow(probes, "key long, fp long, probe boolean")
-    return dealt.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(find, "a long, b long")
+    dealt = values.select("fp").repartition(parts(spark)).mapInArrow(released(probes), "key long, fp long, probe boolean")
+    return dealt.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(released(find), "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
@@ -313,7 +288,7 @@ def sketches(docs: DataFrame, words: int, seed: int) -> DataFrame:
             fp = np.fromiter(map(majority, own), np.uint64, len(own))
             yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(list(map(bands, own)), pa.list_(pa.int64()))], ["t", "node", "fp", "bands"])
 
-    return docs.select("t", "text").mapInArrow(each, "t long, node long, fp long, bands array<long>")
+    return docs.select("t", "text").mapInArrow(released(each), "t long, node long, fp long, bands array<long>")
 
 
 def nearest_pairs(node: np.ndarray, fp: np.ndarray, group: np.ndarray, bits: int = 22) -> tuple[np.ndarray, np.ndarray]:
@@ -385,7 +360,7 @@ def proposals(nodes: DataFrame, joined: DataFrame | None, texts: DataFrame, word
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(find, "a long, b long").distinct()
+    return rows.repartition(parts(spark), "key").sortWithinPartitions("key").mapInArrow(released(find), "a long, b long").distinct()
 
 
 def sets(used: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, seed: int) -> DataFrame:
@@ -398,7 +373,7 @@ def sets(used: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, seed:
 
     of = used.join(nodes.select("node", F.col("t").alias("_t"), "low"), "node")
     one = texts.join(of, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("low")))  # by both, as one text may have many rows
-    return written(one.dropDuplicates(["node"]).select("node", "text").mapInArrow(each, "node long, own binary"), "sets")
+    return written(one.dropDuplicates(["node"]).select("node", "text").mapInArrow(released(each), "node long, own binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, seed: int, least: float) -> DataFrame:
@@ -416,7 +391,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
 
     held = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, texts, words, seed)
     left = pairs.join(held.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    out = written(left.join(held.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "confirmed")
+    out = written(left.join(held.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(released(check), "a long, b long"), "confirmed")
     discard(held)
     return out
 

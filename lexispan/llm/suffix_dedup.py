@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import discard, parts, ship, written
+from lexispan.llm.common import discard, parts, released, ship, written
 from lexispan.llm.tokens import flat, slices
 
 GRAM = 64
@@ -326,7 +326,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), pa.array((at - offsets[row]).astype(np.int32)), pa.array(h.view(np.int64))], ["k1", "k2", "pos", "gram"])
 
-    found = written(keyed.mapInArrow(find, "k1 long, k2 long, pos int, gram long"), "anchors")
+    found = written(keyed.mapInArrow(released(find), "k1 long, k2 long, pos int, gram long"), "anchors")
     twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_parts = max(parts(spark), total // each)
@@ -382,7 +382,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
         yield from runs_out()
 
     # a row that stands twice, as its key then does, has each place twice; all places of a key go to each of its rows
-    mixed = written(keyed.join(places, ["k1", "k2"]).mapInArrow(contexts, "kind int, part long, c1 long, c2 long, k1 long, k2 long, pos int, blob binary, n long"), "contexts_z")
+    mixed = written(keyed.join(places, ["k1", "k2"]).mapInArrow(released(contexts), "kind int, part long, c1 long, c2 long, k1 long, k2 long, pos int, blob binary, n long"), "contexts_z")
 
     def merge(batches):
         blobs: dict[int, list[bytes]] = {}
@@ -410,7 +410,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
                 c1, c2, bits = zip(*out[at : at + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bits, pa.binary())], ["c1", "c2", "bits"])
 
-    cold = mixed.where("kind = 1").select("part", "blob").repartition(int(n_parts), "part").mapInArrow(merge, "c1 long, c2 long, bits binary")
+    cold = mixed.where("kind = 1").select("part", "blob").repartition(int(n_parts), "part").mapInArrow(released(merge), "c1 long, c2 long, bits binary")
     if twice.where(F.col("n") > hot).limit(1).count():
         strings = mixed.where("kind = 2").select(F.col("part").alias("s1"), F.col("k1").alias("s2"), "c1", "c2", F.col("pos").alias("d"), "n")
         more = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
@@ -426,7 +426,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
                     out.append(packed_spans(hit, [z for x, y in ends if x + y < length for z in (x, y)]))
                 yield pa.RecordBatch.from_arrays([b.column("c1"), b.column("c2"), pa.array(out, pa.binary())], ["c1", "c2", "bits"])
 
-        cold = cold.unionByName(level.mapInArrow(bits, "c1 long, c2 long, bits binary"))
+        cold = cold.unionByName(level.mapInArrow(released(bits), "c1 long, c2 long, bits binary"))
     solved = written(cold, "repeats")
 
     def intervals(batches):
@@ -451,7 +451,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["k1", "k2", "start", "end"])
 
-    where = mixed.where("kind = 0").select("c1", "c2", "k1", "k2", "pos").join(solved, ["c1", "c2"]).select("k1", "k2", "pos", "bits").mapInArrow(intervals, "k1 long, k2 long, start int, end int")
+    where = mixed.where("kind = 0").select("c1", "c2", "k1", "k2", "pos").join(solved, ["c1", "c2"]).select("k1", "k2", "pos", "bits").mapInArrow(released(intervals), "k1 long, k2 long, start int, end int")
     out = written(where.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     discard(found, twice, mixed, solved)
     return out
@@ -493,4 +493,4 @@ def remove(docs: DataFrame, length: int = 400, hot: int = 1_000_000, as_text: bo
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind)], [*names, "kept", "n_bytes", "n_removed", "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    return rows.select(*names, "text", "spans").mapInArrow(cut, f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
+    return rows.select(*names, "text", "spans").mapInArrow(released(cut), f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>")

@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import ship
+from lexispan.llm.common import released, ship, written
 from lexispan.llm.tokens import encoder, slices
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str, text: str = "text", extra: int = 0) -> DataFrame:
-    """(n_tokens) of each row: ids of its whole text (null: empty) plus ``extra``."""
+    """(n_tokens) of each row: ids of its whole text (null: empty) plus ``extra``.
+
+    Rows alike count each for itself; only ``text`` is read, so other columns may
+    have any name, n_tokens included. No rows: no rows.
+    """
     ship(docs.sparkSession)
 
     def lengths(batches):
@@ -26,7 +30,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str, text: str = "text", extra:
                 _, at = encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at) + extra)], ["n_tokens"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(lengths, "n_tokens long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(released(lengths), "n_tokens long")
 
 
 def histogram(lengths: DataFrame, bucket: int = 4096) -> DataFrame:
@@ -38,7 +42,8 @@ def histogram(lengths: DataFrame, bucket: int = 4096) -> DataFrame:
     ``bucket`` lengths at a time, then inside each, so no task gathers all lengths.
     No documents: no rows.
     """
-    per = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("bucket", F.floor(F.col("n_tokens") / bucket))
+    # written, as it is read twice and what makes it is encoding all texts
+    per = written(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths").withColumn("bucket", F.floor(F.col("n_tokens") / bucket))
     whole = per.groupBy("bucket").agg(F.sum("n_docs").alias("b_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("b_tokens"))
     after = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
     every = Window.partitionBy()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import parts, scratch_path, ship
+from lexispan.llm.common import parts, released, scratch_path, ship
 from lexispan.llm.tokens import encoder, slices
 
 MAGIC, VERSION = b"LXID", 1
@@ -262,11 +262,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_
 
     # doc_id alone decides the ranges, so ranges are few only where ids repeat
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first())
-    dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(segments, "part int, nth int, tokens long, nulls long, body binary").write.option("compression", "none").parquet(path)
+    dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(released(segments), "part int, nth int, tokens long, nulls long, body binary").write.option("compression", "none").parquet(path)
 
 
-def read(spark, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, and ``ids`` as little-endian numbers on demand."""
+def read(spark, path: str, with_ids: bool = False, broadcast_rows: int = 100_000) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document in the files, and ``ids`` as little-endian numbers on demand.
+
+    Where segments begin goes to the tasks, so their bodies stay where they are read,
+    if the segments were counted to be at most ``broadcast_rows``; else both are shuffled.
+    """
     ship(spark)
     table = spark.read.schema("part int, nth int, tokens long, nulls long, body binary").parquet(path)
     # where segments begin: sums over parts, then inside each
@@ -286,8 +290,9 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                 null = np.arange(len(doc)) < nulls
                 yield pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64), mask=null), pa.array(first + base), pa.array(sizes.astype(np.int64)), pa.array([zlib.crc32(x) for x in bodies], pa.int64()), *[pa.array(bodies, pa.binary())] * with_ids], names)
 
+    starts = F.broadcast(starts) if table.select("nth").limit(broadcast_rows + 1).count() <= broadcast_rows else starts
     rows = table.select("part", "nth", "nulls", "body").join(starts, ["part", "nth"]).select("base", "nulls", "body")
-    return rows.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(released(documents), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:

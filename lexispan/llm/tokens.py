@@ -1,19 +1,28 @@
 """Byte-pair encoding of whole Arrow batches by a public tokenizer.
 
 A pre-token of the supported byte-pair vocabularies never runs from a character
-that is not white space into white space, so a text can be cut there and its
-pieces encoded by themselves. Natural text repeats its pieces, so each distinct
-piece of a batch is encoded once and the ids are gathered with numpy.
+that is not white space into white space, nor from a letter of A to Z into ASCII
+punctuation other than an apostrophe, so a text can be cut there and its pieces
+encoded by themselves. Natural text repeats its pieces, so each distinct piece of
+a batch is encoded once, many pieces to a call of the library, and the ids are
+gathered with numpy.
 """
 
 from __future__ import annotations
 
 import os
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
+#: Punctuation that no pre-token joins to a letter before it.
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in '!"),.:;?']] = True
 #: Last two bytes of the white space characters above U+007F.
 _WIDE_SPACE = np.zeros(1 << 16, bool)
 _WIDE_SPACE[
@@ -45,93 +54,131 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             at = at[(at >= 2) & (data[at - 1] >= 128)]
             pair = data[at - 2].astype(np.int32) << 8 | data[at - 1]
             cut[at[_WIDE_SPACE[pair]]] = False
+        cut[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
         starts = offsets[:-1]
         cut[starts[starts < len(data)]] = True
     return np.flatnonzero(cut)
 
 
+class _Known:
+    """Pieces and their ids as three flat arrays."""
+
+    def __init__(self):
+        self.pieces, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, pieces: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        self.pieces = pa.concat_arrays([self.pieces, pieces])
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(n)))
+
+
 class BatchEncoder:
     """Encodes string arrays; keeps the ids of up to ``keep`` pieces between calls.
 
-    Pieces of letters only are encoded many to a text, which spares the library's
-    cost per call. Word-end or word-start marks of the vocabulary then tell the
-    pieces' ids apart; where their number is not that of the pieces, each piece is
-    encoded by itself.
+    A vocabulary marks either the ends of words, and then white space only divides,
+    or the space before a word. With marks at ends, pieces go to the library with
+    a control character between them, whose id tells them apart; words of A to Z,
+    whose pre-tokens are known, go without and past the patterns. With marks
+    before, pieces of one space and what follows are put one after another, and
+    the ids that begin with a space tell them apart. The other pieces are encoded
+    each by itself.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, together: int = 1000):
+    def __init__(self, path: str, keep: int = 600_000, together: int = 1000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep, self.together = keep, together
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
         vocabulary = self.tokenizer.get_vocab()
         self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.marks[i] = token.endswith(self.suffix) if self.suffix else token.startswith("\u0120")
-        self.words = self.tokenizer
-        if self.suffix:  # between letters only white space divides
-            self.words = Tokenizer.from_file(path)
-            self.words.encode_special_tokens = True
-            self.words.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-
-    def _plain(self, piece: str) -> bool:
+        own = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.between = own[0] if len(own) == 1 else None
+        # the same model for words of A to Z, in the characters that stand for their bytes
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words.encode_special_tokens = True
+
+    def _each(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())), n
+
+    def _joined(self, pieces: pa.Array, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        data, _ = flat(pieces)
+        if plain:
+            line = data.tobytes().decode()
+            line = line if self.suffix else line.replace(" ", " \u0120")
+        else:
+            line = " \x01 ".join(pieces.to_pylist()) if self.suffix else data.tobytes().decode()
+        ids = np.array((self.words if plain else self.tokenizer).encode_batch_fast([line], add_special_tokens=False)[0].ids, np.uint32)
+        if plain and self.suffix:
+            n = np.diff(np.flatnonzero(self.marks[ids]), prepend=-1)
+        elif self.suffix:
+            at = np.flatnonzero(ids == self.between)
+            n = np.diff(at, prepend=-1, append=len(ids)) - 1
+            ids = np.delete(ids, at)
+        else:
+            n = np.diff(np.flatnonzero(self.marks[ids]), append=len(ids))
+        return (ids, n) if len(n) == len(pieces) and n.sum() == len(ids) else self._each(pieces)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encode pieces that are not known."""
+        data, ends = flat(pieces)
+        starts, size = ends[:-1], np.diff(ends)
+        total = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
+        spaced = data[starts] == 32
+        plain = spaced & (size > 1) & (total[ends[1:]] - total[starts] == size - 1)
         if self.suffix:
-            return piece.strip(" \t\n\r\x0b\x0c").lower().isalpha()  # lower-casing can add marks, which divide
-        return piece[0] == " " and piece[1:].isalpha()
-
-    def _each(self, pieces: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, np.uint32).tobytes()) for p, e in zip(pieces, encoded, strict=True))
-
-    def _many(self, pieces: list[str]) -> None:
-        ids = np.array(self.words.encode_batch_fast(["".join(pieces) if not self.suffix else " ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        at = np.flatnonzero(self.marks[ids])
-        if len(at) != len(pieces) or (at[-1] != len(ids) - 1 if self.suffix else at[0]):
-            self._each(pieces)
-            return
-        ends = ((at + 1) if self.suffix else np.append(at[1:], len(ids))) * 4
-        body, ends = ids.tobytes(), ends.tolist()
-        self.known.update(zip(pieces, (body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if self._plain(p)]
-        other = [p for p in pieces if not self._plain(p)]
-        for at in range(0, len(plain), self.together):
-            self._many(plain[at : at + self.together])
-        for at in range(0, len(other), 20_000):
-            self._each(other[at : at + 20_000])
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}  # those of this batch come again soonest
-        self._learn(new)
-        return [self.known[p] for p in pieces]
+            many = np.full(len(pieces), self.between is not None and not (data == 1).any())
+        else:
+            many = spaced & (size > 1) & ~_SPACE[data[np.minimum(starts + 1, len(data) - 1)]]
+        for own, how in ((np.flatnonzero(plain), True), (np.flatnonzero(many & ~plain), False), (np.flatnonzero(~many & ~plain), None)):
+            if not len(own):
+                continue
+            own, out = pieces.take(pa.array(own)), []
+            for at in range(0, len(own), self.together):
+                part = own.slice(at, self.together)
+                out.append(self._each(part) if how is None else self._joined(part, how))
+            self.known.add(own, *(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Of each distinct piece where it stands among the known ones."""
+        at = pc.index_in(pieces, value_set=self.known.pieces)
+        if at.null_count:
+            new = pieces.filter(at.is_null())
+            if len(self.known.pieces) + len(new) > self.keep:
+                self.known, new = _Known(), pieces  # those of this batch come again soonest
+            self._learn(new)
+            at = pc.index_in(pieces, value_set=self.known.pieces)
+        return at.to_numpy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the n + 1 places where each text's ids begin and end."""
         data, offsets = flat(texts)
+        if self.suffix and len(data):  # case is lost; but a letter under a mark is the library's matter
+            upper = _UPPER[data]
+            upper[:-1] &= data[1:] < 128
+            data = data + (upper.view(np.uint8) << 5)
         starts = cuts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts, len(data)).astype(np.int64)
-        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
-        coded = pieces.dictionary_encode()
-        of = coded.indices.to_numpy()
-        ids = self._ids(coded.dictionary.to_pylist())
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        all_ids = np.frombuffer(b"".join(ids), np.uint32)
-        first = np.cumsum(n) - n
-        many = n[of]
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        first = self.known.ends[place]
+        many = self.known.ends[place + 1] - first
         upto = np.concatenate(([0], np.cumsum(many)))
-        at = np.repeat((first[of] - upto[:-1]).astype(np.int32), many)
+        at = np.repeat((first - upto[:-1]).astype(np.int32), many)
         at += np.arange(upto[-1], dtype=np.int32)
-        return all_ids[at], upto[np.searchsorted(starts, offsets)]
+        return self.known.ids[at], upto[np.searchsorted(starts, offsets)]
 
 
 _ENCODERS: dict[tuple, BatchEncoder] = {}
@@ -144,7 +191,7 @@ def encoder(path: str) -> BatchEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """The batch in parts of about ``most`` bytes of text, a single longer text by itself: bounds what is held at once."""
     sizes = np.diff(flat(batch.column(column))[1])
     group = (np.cumsum(sizes) - sizes) // most

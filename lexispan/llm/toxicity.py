@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import ship
+from lexispan.llm.common import released, ship
 from lexispan.llm.tokens import flat, slices
 
 GRAM = 5
@@ -185,4 +185,4 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFr
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return base.mapInArrow(scored, f"{schema}, score double").withColumn("held_out", held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return base.mapInArrow(released(scored), f"{schema}, score double").withColumn("held_out", held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

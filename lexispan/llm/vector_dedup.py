@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.llm.common import components, parts, ship, written
+from lexispan.llm.common import components, parts, released, ship, written
 
 
 def collide(distance: float, width: float) -> float:
@@ -155,7 +155,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0, miss: flo
             yield from emit(solve(held))
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    dealt = vectors.select("vec_id", "copies", "embedding").repartition(parts(spark)).mapInArrow(numbered, f"key long, tab int, vec_id long, copies long, embedding {kind}")
+    dealt = vectors.select("vec_id", "copies", "embedding").repartition(parts(spark)).mapInArrow(released(numbered), f"key long, tab int, vec_id long, copies long, embedding {kind}")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot)
     sizes = written(sizes.select("key", F.ceil(F.col("size") / hot).cast("long").alias("blocks")), "hot")
     if sizes.limit(1).count():
@@ -165,7 +165,7 @@ def links(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0, miss: flo
         dealt = dealt.withColumn("sub", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")).withColumn("across", F.col("side") != F.col("other")).drop("blocks", "other")
     else:
         dealt = dealt.withColumn("side", F.lit(0).cast("long")).withColumn("sub", F.lit(0).cast("long")).withColumn("across", F.lit(False))
-    out = dealt.repartition(parts(spark), "key", "sub").sortWithinPartitions("key", "sub").mapInArrow(found, "a long, b long, n long")
+    out = dealt.repartition(parts(spark), "key", "sub").sortWithinPartitions("key", "sub").mapInArrow(released(found), "a long, b long, n long")
     out = written(out, "links")
     return out.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n")), out.select("a", "b").where("a <> b").distinct()
 

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -54,6 +55,20 @@ def test_encoder_is_the_tokenizer():
         assert len(ids) == 0 and at.tolist() == [0]
 
 
+def test_encoder_knows_every_letter_and_mark():
+    """Letters that normalisation takes apart, marks under capitals, stops, and white space of all kinds."""
+    signs = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20)) if unicodedata.category(chr(c))[0] in "LMZ"]
+    texts = ["ab" + "cd ".join(signs[i : i + 20]) + "x. " + "Hq ".join(signs[i : i + 20]) + "." for i in range(0, len(signs), 20)]
+    rng = random.Random(6)
+    pool = [*signs[:6000], *(" \n\t.,;:!?\"'()abcdeABCDE019\xa0\u3000\u0331\u0301\x01" * 100)]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        e = BatchEncoder(vocabulary(name))
+        ids, at = e.encode(pa.array(texts))
+        for i, x in enumerate(e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids[at[i] : at[i + 1]].tolist() == x.ids, texts[i]
+
+
 def test_token_files_round_trip(spark, docs, rows, empty):
     vocab = vocabulary("word_bpe_49k.json")
     path = common.scratch_path(spark, "test-ids")
@@ -187,8 +202,8 @@ def test_simhash_links_join_all_that_is_linked():
     i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
     want = brute.joined(len(fp), [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b])
     place = {int(v): k for k, v in enumerate(fp)}
-    for find in (simhash.group_links, simhash.big_links):
-        a, b = find(fp, 4)
+    for split in (20_000, 60):
+        a, b = simhash.group_links(fp, 4, split)
         assert (np.bitwise_count(a ^ b) <= 4).all() and len(a) < len(fp)
         assert brute.joined(len(fp), [(place[int(x)], place[int(y)]) for x, y in zip(a, b, strict=True)]) == want
     assert simhash.layout(1 << 17, 4)[0][2] == 1 and simhash.layout(1 << 40, 4) == [(0, 32, 2), (32, 32, 2)] and len(simhash.layout(1 << 17, 8)) == 5
@@ -255,8 +270,19 @@ def test_packing_plan_uses_each_piece_once():
             for v in lengths:
                 left[v] -= times
         assert not left.any()
-        assert sum(t for _, t in patterns) <= 1.01 * brute.best_fit(counts, size) + 1
-    assert packing.exact_fill(np.array([0, 2, 0, 1, 0, 0]), 1, 6) == (3, 1, 1) and packing.exact_fill(np.array([0, 1, 0, 1, 0, 0]), 1, 6) is None
+        alone = packing.best_fit(counts, size)
+        assert sum(t for _, t in alone) == brute.best_fit(counts, size) and sum(t for _, t in patterns) <= brute.best_fit(counts, size)
+    left = np.array([0, 2, 0, 1, 0, 0])
+    sums = packing.Sums(left)
+    assert [sums.fill(left, g, n) for g, n in ((3, 1), (4, 2), (5, 3), (2, 2), (5, 2), (4, 3), (3, 3))] == [(3,), (3, 1), (3, 1, 1), (1, 1), (), (), ()]
+
+
+def test_packing_uses_pairs_and_triples(tmp_path):
+    counts = np.zeros(101, np.int64)
+    counts[[90, 80, 70, 55, 10, 20, 12, 18, 25]] = [30, 30, 40, 9, 30, 20, 25, 30, 20]
+    patterns = packing.plan(counts, 100)
+    full = {n: sum(t for own, t in patterns if len(own) == n and sum(own) == 100) for n in (2, 3, 4)}
+    assert min(full.values()) > 0 and sum(t for _, t in patterns) <= brute.best_fit(counts, 100)
 
 
 def labelled(spark, n=400):

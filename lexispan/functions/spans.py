@@ -21,10 +21,19 @@ def span_ok(content: Column | str, start: Column | str, end: Column | str) -> Co
     return (as_column(start) >= 0) & (as_column(start) <= as_column(end)) & (as_column(end) <= F.octet_length(as_column(content)))
 
 
+def boundary_byte(data: Column, at: Column) -> Column:
+    """Of BINARY data: no continuation byte 10xxxxxx stands at the offset."""
+    return ~F.substring(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(1))), 1, 1).isin("8", "9", "A", "B")
+
+
 def at_boundary(content: Column | str, at: Column | str) -> Column:
-    """The offset is where a character begins or the text ends: the byte there is no continuation byte 10xxxxxx."""
-    byte = F.hex(F.substring(F.encode(as_column(content), "UTF-8"), (as_column(at) + 1).cast("int"), F.lit(1)))
-    return ~F.substring(byte, 1, 1).isin("8", "9", "A", "B")
+    """The offset is where a character begins or the text ends."""
+    return boundary_byte(F.encode(as_column(content), "UTF-8"), as_column(at))
+
+
+def with_bytes(content: Column | str, f) -> Column:
+    """f of a text's bytes, which are made once however often f's own lambdas use them."""
+    return F.transform(F.array(F.encode(as_column(content), "UTF-8")), f)[0]
 
 
 def utf8_ok(content: Column | str, start: Column | str, end: Column | str) -> Column:
@@ -44,11 +53,23 @@ def line_index(files: DataFrame, key: str = "file_path", content: str = "content
 
 
 def locate(offsets: DataFrame, files: DataFrame, offset: str, key: str = "file_path", content: str = "content") -> DataFrame:
-    """Line (from 1) and byte column (from 0) of an offset, read off the text before it: no join with the lines, no range join."""
-    text = files.select(key, F.encode(F.col(content), "UTF-8").alias("_bytes"))
-    before = F.substring(F.col("_bytes"), F.lit(1), F.col(offset).cast("int")).cast("string")
-    tail = F.substring_index(before, "\n", -1)
-    return offsets.join(text, key).withColumn("line_no", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("bigint")).withColumn("col", F.octet_length(tail).cast("bigint")).drop("_bytes")
+    """Line (from 1) and byte column (from 0) of offsets, as of the lines of the files that have any."""
+    asked = files.select(key, content).join(offsets.select(key).distinct(), key, "left_semi")
+    return offset_to_line(offsets, line_index(asked, key, content), offset, key)
+
+
+def covered(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "byte_start") -> DataFrame:
+    """Points with ``covered``: they stand in a span (keys, byte_start, byte_end) of their keys, its end left out.
+
+    Span starts and points are sorted together per key and the furthest end so far is
+    carried on: one sort instead of each point against each span. Points with a null
+    key stand in none.
+    """
+    probe = points.select(*keys, F.col(at).cast("bigint").alias("_at"), F.lit(1).alias("_probe"), F.struct(*points.columns).alias("_row"), F.lit(None).cast("bigint").alias("_end"))
+    table = spans.select(*keys, F.col("byte_start").cast("bigint").alias("_at"), F.lit(0).alias("_probe"), F.lit(None).cast(probe.schema["_row"].dataType).alias("_row"), F.col("byte_end").cast("bigint").alias("_end")).dropna(subset=keys)
+    upto = Window.partitionBy(*keys).orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    met = probe.unionByName(table).withColumn("_end", F.max("_end").over(upto))
+    return met.where("_probe = 1").select("_row.*", F.coalesce(F.col("_end") > F.col("_at"), F.lit(False)).alias("covered"))
 
 
 def offset_to_line(offsets: DataFrame, lines: DataFrame, offset: str, key: str = "file_path") -> DataFrame:

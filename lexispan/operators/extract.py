@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexispan import schema
 from lexispan.functions.naming import SHORT_KINDS, detect_language, kind_label
 from lexispan.functions.spans import sha256
+from lexispan.session import ship
 
 #: Fact tables, and the schema of each without the columns that extraction adds.
 TABLES = {"symbols": schema.SYMBOLS, "imports": schema.IMPORTS, "scopes": schema.SCOPES, "scope_symbols": schema.SCOPE_SYMBOLS, "identifiers": schema.IDENTIFIERS, "syntax_nodes": schema.SYNTAX_NODES}
@@ -50,6 +51,7 @@ def _facts(batches):
 
 def facts(files: DataFrame) -> DataFrame:
     """(fact, body) rows of files (file_path, language, content); to be persisted before ``table`` splits it, so that parsing runs once."""
+    ship(files.sparkSession)
     known = files.where("language IS NOT NULL").select("file_path", "language", "content")
     return known.mapInArrow(_facts, "fact string, body string")
 
@@ -85,7 +87,8 @@ def index(files: DataFrame, path: str) -> int:
     from lexispan.sources.facts import save
 
     spark: SparkSession = files.sparkSession
-    save({"facts": facts(files), "source_files": files}, path)
+    facts(files).write.mode("overwrite").partitionBy("fact").parquet(f"{path}/facts")  # each table is read from its own folder
+    save({"source_files": files}, path)
     parsed, kept = spark.read.parquet(f"{path}/facts"), spark.read.parquet(f"{path}/source_files")
     symbols = entities(table(parsed, "symbols"))
     save({"symbols": symbols} | {n: table(parsed, n) for n in TABLES if n != "symbols"}, path)

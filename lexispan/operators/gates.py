@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexispan.errors import SpanError
 from lexispan.functions import diagnostics, naming
 from lexispan.schema import DIAGNOSTICS
+from lexispan.session import ship
 
 #: The tool that checks a language, its arguments before the file, and those that tell its version.
 TOOLS = {
@@ -34,6 +35,7 @@ def parse_gate(files: DataFrame, content: str = "after", language: str = "langua
             ok = [syntax_ok((text or "").encode(), lang) for text, lang in zip(b.column("text").to_pylist(), b.column("language").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("file_path"), pa.array(["parse"] * len(ok)), pa.array(ok, pa.bool_())], ["file_path", "gate", "is_valid"])
 
+    ship(files.sparkSession)
     rows = files.select("file_path", F.col(content).alias("text"), F.col(language).alias("language"))
     return rows.mapInArrow(check, "file_path string, gate string, is_valid boolean")
 

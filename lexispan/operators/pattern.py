@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispan.functions.spans import literal_positions, locate
+from lexispan.functions.spans import covered, literal_positions, locate
 
 
 def outside_nodes(matches: DataFrame, nodes: DataFrame, key: str = "file_path") -> DataFrame:
-    """Matches that begin inside none of the nodes (key, byte_start, byte_end).
-
-    Nodes of a file are folded into one sorted array per file, so each match is a
-    search in its own file's array and not a range join over all.
-    """
-    spans = nodes.groupBy(key).agg(F.collect_list(F.struct("byte_start", "byte_end")).alias("_nodes"))
-    met = matches.join(spans, key, "left")
-    inside = F.exists(F.col("_nodes"), lambda n: (n["byte_start"] <= F.col("byte_start")) & (F.col("byte_start") < n["byte_end"]))
-    return met.where(~F.coalesce(inside, F.lit(False))).drop("_nodes")
+    """Matches that begin inside none of the nodes (key, byte_start, byte_end)."""
+    return covered(matches, nodes, [key]).where("NOT covered").drop("covered")
 
 
 def find(files: DataFrame, needle: str, comments: DataFrame | None = None) -> DataFrame:

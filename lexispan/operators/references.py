@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispan.functions.spans import covered
+
 
 def not_shadowed(identifiers: DataFrame, scopes: DataFrame, declared: DataFrame) -> DataFrame:
-    """Identifiers that stand in no scope which declares their name at or before them (anti join on file and name, interval as rest)."""
-    s = declared.join(scopes.select("file_path", "scope_id", F.col("byte_start").alias("scope_start"), F.col("byte_end").alias("scope_end")), ["file_path", "scope_id"])
-    i, d = identifiers.alias("i"), s.alias("d")
-    hidden = (F.col("i.file_path") == F.col("d.file_path")) & (F.col("i.name") == F.col("d.name")) & (F.col("i.byte_start") >= F.col("d.scope_start")) & (F.col("i.byte_start") < F.col("d.scope_end")) & (F.col("i.byte_start") >= F.col("d.declaration_pos"))
-    return i.join(d, hidden, "left_anti")
+    """Identifiers that stand in no scope which declares their name at or before them: a declaration covers its scope from its place on."""
+    s = declared.join(scopes.select("file_path", "scope_id", "byte_start", "byte_end"), ["file_path", "scope_id"])
+    hides = s.select("file_path", "name", F.greatest("byte_start", "declaration_pos").alias("byte_start"), "byte_end")
+    return covered(identifiers, hides, ["file_path", "name"]).where("NOT covered").drop("covered")
 
 
 def name_matches(identifiers: DataFrame, name: str, kind: str | None) -> DataFrame:
@@ -49,22 +50,23 @@ def importing_files(imports: DataFrame, reexports: DataFrame, module: str, name:
 
 
 def find(symbol: dict, identifiers: DataFrame, scopes: DataFrame, declared: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """(file_path, byte_start, byte_end, node_kind, context, origin) of all references, by descending place.
+    """(file_path, byte_start, byte_end, node_kind, context, origin, by_glob) of all references, by descending place.
 
     symbol: file_path, name, kind, byte_start, byte_end, is_private. Each file is
     parsed once, by whoever made the tables; a qualified call is one reference.
+    ``by_glob``: the file sees the symbol through a glob import, which other names could come from too.
     """
     seen = not_shadowed(identifiers.where(~F.col("is_qualified")), scopes, declared.where(F.col("declaration_pos") > 0).where(~((F.col("file_path") == symbol["file_path"]) & (F.col("declaration_pos") == symbol["byte_start"]))))
     usable = name_matches(seen.unionByName(identifiers.where("is_qualified")), symbol["name"], symbol["kind"]).where("parent_kind <> 'use' AND parent_kind <> 'definition'")
-    here = outside(usable.where(F.col("file_path") == symbol["file_path"]), symbol["byte_start"], symbol["byte_end"]).withColumn("origin", F.lit("same_file"))
-    columns = ["file_path", "byte_start", "byte_end", "node_kind", context(F.col("parent_kind"), F.col("is_qualified")).alias("context"), "origin"]
+    here = outside(usable.where(F.col("file_path") == symbol["file_path"]), symbol["byte_start"], symbol["byte_end"]).withColumn("origin", F.lit("same_file")).withColumn("by_glob", F.lit(False))
+    columns = ["file_path", "byte_start", "byte_end", "node_kind", context(F.col("parent_kind"), F.col("is_qualified")).alias("context"), "origin", "by_glob"]
     if symbol.get("is_private"):
         return here.select(columns).distinct().orderBy(F.desc("byte_start"), "file_path")
     row = modules.where(F.col("file_path") == symbol["file_path"]).first()
     module = row.module_path if row else "crate"
     with_module = imports.join(modules, "file_path", "left")
     files = importing_files(with_module, reexported(with_module), module, symbol["name"]).where(F.col("file_path") != symbol["file_path"])
-    there = usable.join(files.select("file_path"), "file_path", "left_semi").withColumn("origin", F.lit("cross_file"))
+    there = usable.join(files.select("file_path", F.col("is_glob").alias("by_glob")), "file_path").withColumn("origin", F.lit("cross_file"))
     return here.unionByName(there).select(columns).distinct().orderBy(F.desc("byte_start"), "file_path")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.functions.spans import at_boundary, sha256, span_ok
+from lexispan.functions.spans import boundary_byte, locate, sha256, with_bytes
 
 
 def overlaps(replacements: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
@@ -14,31 +14,40 @@ def overlaps(replacements: DataFrame, keys: tuple[str, ...] = ("file_path",)) ->
     return replacements.withColumn("overlaps", F.coalesce(F.max("byte_end").over(before) > F.col("byte_start"), F.lit(False)))
 
 
+def _by_file(rows: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
+    """(file_path, _rows, _text): the rows of each file as one array beside its text, which so is joined and read once."""
+    own = rows.groupBy("file_path").agg(F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    return own.join(files.select("file_path", F.col("content").alias("_text")), "file_path", how)
+
+
 def checked(replacements: DataFrame, files: DataFrame) -> DataFrame:
     """Replacements with ``problem``: missing_file, bounds, utf8, overlap, or null for none."""
-    met = overlaps(replacements).join(files.select("file_path", F.col("content").alias("_text")), "file_path", "left")
-    problem = (
-        F.when(F.col("_text").isNull(), "missing_file")
-        .when(~span_ok("_text", "byte_start", "byte_end"), "bounds")
-        .when(~(at_boundary("_text", "byte_start") & at_boundary("_text", "byte_end")), "utf8")
-        .when(F.col("overlaps"), "overlap")
-    )
-    return met.withColumn("problem", problem).drop("_text", "overlaps")
+    met = _by_file(overlaps(replacements), files, "left")
+
+    def problem(data, x):
+        a, b, size = x["byte_start"], x["byte_end"], F.octet_length(data)
+        return (
+            F.when(data.isNull(), "missing_file").when(~((a >= 0) & (a <= b) & (b <= size)), "bounds")
+            .when(~(boundary_byte(data, a) & boundary_byte(data, b)), "utf8").when(x["overlaps"], "overlap")
+        )
+
+    told = with_bytes("_text", lambda data: F.transform("_rows", lambda x: F.struct(x.alias("r"), problem(data, x).alias("problem"))))
+    return met.select(F.inline(told)).select(*[F.col(f"r.{c}").alias(c) for c in replacements.columns], "problem")
 
 
 def spliced(content: Column, edits: Column) -> Column:
     """The text with all edits, an array of (byte_start, byte_end, content) that do not overlap.
 
     The kept gaps between edits in ascending order and the new texts are put together
-    in one pass, so many edits do not copy the text as often.
+    in one pass over bytes that are made once, so the work is that of the text and the edits together.
     """
-    data = F.encode(content, "UTF-8")
     e = F.array_sort(edits)
     starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(e, lambda x: x["byte_end"]))
     ends = F.concat(F.transform(e, lambda x: x["byte_start"]), F.array(F.octet_length(content).cast("bigint")))
-    gaps = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: F.substring(data, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")).cast("string"))
     new = F.concat(F.transform(e, lambda x: x["content"]), F.array(F.lit("")))
-    return F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), new.alias("n")), lambda x: F.concat(x["g"], x["n"])), "")
+    parts = F.arrays_zip(starts.alias("a"), ends.alias("b"), new.alias("n"))
+    piece = lambda data: lambda x: F.concat(F.substring(data, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")).cast("string"), x["n"])
+    return with_bytes(content, lambda data: F.array_join(F.transform(parts, piece(data)), ""))
 
 
 def rewritten(replacements: DataFrame, files: DataFrame) -> DataFrame:
@@ -57,15 +66,14 @@ def line_count(text: Column) -> Column:
 
 def preview(replacements: DataFrame, files: DataFrame) -> DataFrame:
     """Per replacement its lines in the file, and lines and bytes taken out and put in."""
-    met = replacements.join(files.select("file_path", F.encode("content", "UTF-8").alias("_data")), "file_path")
-    before = F.substring("_data", F.lit(1), F.col("byte_start").cast("int")).cast("string")
-    old = F.substring(F.col("_data"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string")
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return met.select(
-        *[c for c in replacements.columns if c != "content"], line.cast("bigint").alias("line_start"),
-        (line + F.greatest(line_count(old) - 1, F.lit(0))).cast("bigint").alias("line_end"),
-        line_count(old).alias("lines_removed"), line_count(F.col("content")).alias("lines_added"),
-        (F.col("byte_end") - F.col("byte_start")).alias("bytes_removed"), F.octet_length("content").cast("bigint").alias("bytes_added"),
+    met = _by_file(locate(replacements, files, "byte_start"), files)
+    cut = lambda data: lambda x: F.struct(x.alias("r"), line_count(F.substring(data, (x["byte_start"] + 1).cast("int"), (x["byte_end"] - x["byte_start"]).cast("int")).cast("string")).alias("lines_removed"))
+    rows = met.select(F.inline(with_bytes("_text", lambda data: F.transform("_rows", cut(data)))))
+    return rows.select(
+        *[F.col(f"r.{c}").alias(c) for c in replacements.columns if c != "content"], F.col("r.line_no").alias("line_start"),
+        (F.col("r.line_no") + F.greatest(F.col("lines_removed") - 1, F.lit(0))).cast("bigint").alias("line_end"),
+        "lines_removed", line_count(F.col("r.content")).alias("lines_added"),
+        (F.col("r.byte_end") - F.col("r.byte_start")).alias("bytes_removed"), F.octet_length("r.content").cast("bigint").alias("bytes_added"),
     )
 
 

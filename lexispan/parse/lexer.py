@@ -20,6 +20,9 @@ _LEXERS = {
 _LEXERS = {k: re.compile(v + _REST, re.DOTALL) for k, v in _LEXERS.items()}
 _RUST_OPEN = re.compile(r"/\*|\*/")
 _FAMILY = {"cpp": "c", "typescript": "javascript"}
+_JS_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: Words of JavaScript that an operand follows.
+_BEFORE_OPERAND = frozenset("return typeof case in of do else void delete instanceof new throw yield await".split())
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -33,7 +36,7 @@ class Token:
 
 @dataclass
 class Source:
-    """Tokens without comments; ``close`` maps an opening bracket's index to its closing one's."""
+    """Tokens without comments; ``close`` maps an opening bracket's index to its closing one's, ``opened`` the other way."""
 
     data: bytes
     language: str
@@ -41,6 +44,7 @@ class Source:
     comments: list[tuple[int, int]] = field(default_factory=list)
     close: dict[int, int] = field(default_factory=dict)
     unbalanced: bool = False
+    opened: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         text = self.data.decode("latin-1")
@@ -48,6 +52,10 @@ class Source:
         while m := lexer.search(text, at):
             at = max(m.end(), m.start() + 1)
             kind = m.lastgroup if m.lastgroup != "h" else "str"
+            if m[0] == "/" and lexer is _LEXERS["javascript"] and (pattern := self._pattern(text, m.start())):
+                self.tokens.append(Token("str", pattern, m.start(), m.start() + len(pattern)))
+                at = m.start() + len(pattern)
+                continue
             if kind == "comment":
                 if self.language == "rust" and m[0].startswith("/*"):  # these nest
                     at = self._nested_end(text, m.start())
@@ -68,8 +76,17 @@ class Source:
         self.unbalanced |= bool(waiting)
         for i in waiting:  # what is never closed ends with the source
             self.close[i] = len(self.tokens)
+        self.opened = {c: o for o, c in self.close.items()}
         self._lines = [0, *(m.end() for m in re.finditer(rb"\n", self.data))]
 
+    def _pattern(self, text: str, at: int) -> str | None:
+        """The regular expression that a slash opens where an operand may stand."""
+        last = self.tokens[-1] if self.tokens else None
+        if last and (last.kind in ("num", "str") or last.text in (")", "]", "}") or (last.kind == "name" and last.text not in _BEFORE_OPERAND)):
+            return None
+        m = _JS_PATTERN.match(text, at)
+        return m[0] if m else None
+
     @staticmethod
     def _nested_end(text: str, at: int) -> int:
         depth = 0

@@ -27,10 +27,25 @@ def scopes(src: Source) -> tuple[list[dict], list[dict]]:
         if src.text(o) == "{":
             by_open[o] = scope(o, src.close[o])
 
+    inner, waiting = [0] * n, [(n, 0)]  # of each token the innermost scope, from those open at it
+    for k in range(n):
+        while k >= waiting[-1][0]:
+            waiting.pop()
+        inner[k] = waiting[-1][1]
+        if k in by_open:
+            waiting.append((src.close[k], by_open[k]))
+
     def around(at: int) -> int:
         """The innermost scope of a token."""
-        own = [(src.close[o] - o, i) for o, i in by_open.items() if o < at < src.close[o]]
-        return min(own)[1] if own else 0
+        return inner[at]
+
+    def loop_in(k: int, stop: int) -> int | None:
+        """The ``in`` of a loop's header, behind a pattern of any length."""
+        while k < stop:
+            if src.text(k) == "in":
+                return k
+            k = src.close[k] + 1 if k in src.close else k + 1
+        return None
 
     def declare(scope_id: int, k: int, at: int | None = None) -> None:
         declared.append({"scope_id": scope_id, "name": src.name(k), "declaration_pos": src.tokens[k].start if at is None else at})
@@ -54,16 +69,16 @@ def scopes(src: Source) -> tuple[list[dict], list[dict]]:
             end = src.until(i + 1, "=;:")
             for k in _pattern_names(src, i + 1, end) or ([end - 1] if src.is_name(end - 1) and src.text(end - 1) not in _WORDS else []):
                 declare(around(i), k)
-        elif word == "for" and src.text(i - 1) not in (">", "}") and not src.is_name(i - 1):
-            at = next((k for k in range(i, min(n, i + 40)) if src.text(k) == "in"), None)
-            body = src.until(i, "{;")
+        elif word == "for" and src.text(i - 1) != ">" and not src.is_name(i - 1):
+            at = loop_in(i + 1, n)
+            body = src.until(at, "{;") if at else n  # a pattern may have braces of its own
             if at and body in by_open:
                 for k in _pattern_names(src, i + 1, at):
                     declare(by_open[body], k, spans[by_open[body]][0])
         elif word == "=>":  # names of a match arm, in the scope around it
             a = i - 1
             while a > 0 and src.text(a) not in (",", "{", "}", ";", "=>"):
-                a = next((o for o, c in src.close.items() if c == a), a) - 1
+                a = src.opened.get(a, a) - 1
             for k in _pattern_names(src, a + 1, i):
                 if src.text(k - 1) != "if":
                     declare(around(i), k)
@@ -78,10 +93,14 @@ def scopes(src: Source) -> tuple[list[dict], list[dict]]:
             for k in range(i + 1, end):
                 if src.is_name(k) and src.text(k) not in _WORDS and src.text(k - 1) in ("|", ",", "mut", "&", "("):
                     declare(own, k)
-    rows = []
-    for i, (a, b) in enumerate(spans):
-        outer = [(d - c, j) for j, (c, d) in enumerate(spans) if j != i and c <= a and b <= d and (d - c, -j) > (b - a, -i)]
-        rows.append({"scope_id": i, "parent_id": min(outer)[1] if outer else None, "byte_start": a, "byte_end": b})
+    parents: list[int | None] = [None] * len(spans)
+    held: list[int] = []
+    for i in sorted(range(len(spans)), key=lambda j: (spans[j][0], -spans[j][1], j)):
+        while held and spans[held[-1]][1] <= spans[i][0] and spans[held[-1]][1] < spans[i][1]:
+            held.pop()
+        parents[i] = next((j for j in reversed(held) if spans[j][1] >= spans[i][1]), None)
+        held.append(i)
+    rows = [{"scope_id": i, "parent_id": parents[i], "byte_start": a, "byte_end": b} for i, (a, b) in enumerate(spans)]
     return rows, declared
 
 

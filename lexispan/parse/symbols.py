@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexispan.parse.grammar import broken
 from lexispan.parse.lexer import Source, parameter_groups
 
 _FLAGS = ("is_async", "is_exported", "is_public", "is_static", "is_template")
@@ -36,7 +37,7 @@ def rust_start(src: Source, i: int) -> tuple[int, tuple[str, str | None], bool]:
     if src.text(first - 1) == "pub":
         return first - 1, ("public", None), is_async
     if src.text(first - 1) == ")":
-        opening = next((o for o, c in src.close.items() if c == first - 1), None)
+        opening = src.opened.get(first - 1)
         if opening and src.text(opening - 1) == "pub":
             scope = src.data[src.tokens[opening - 1].start : src.tokens[first - 1].end].decode("utf-8", "replace")
             return opening - 1, ("restricted", scope), is_async
@@ -155,9 +156,38 @@ def _c_parameters(src: Source, opening: int) -> list[str]:
     return out
 
 
+_C_ATTRIBUTES = ("__attribute__", "__declspec", "alignas", "_Alignas", "__asm__")
+
+
 def cpp(src: Source) -> list[dict]:
     out: list[dict] = []
 
+    def attributes_end(k: int) -> int:
+        """Past attributes that begin at a token."""
+        while True:
+            if src.text(k) in _C_ATTRIBUTES and src.text(k + 1) == "(":
+                k = src.close[k + 1] + 1
+            elif src.text(k) == "[" and src.text(k + 1) == "[":
+                k = src.close[k] + 1
+            else:
+                return k
+
+    def keyword(i: int, stop: int) -> int | None:
+        """The word that begins a type or namespace, behind whatever specifiers and attributes a header begins with."""
+        k = attributes_end(i)
+        while k < stop and src.is_name(k):
+            if src.text(k) in ("namespace", "class", "struct", "enum", "union"):
+                return k
+            k = attributes_end(k + 1)
+        return None
+
+    def call(i: int, stop: int) -> int:
+        """The bracket of parameters, or an equals sign before it."""
+        k = src.until(i, "(=", stop)
+        while k < stop and src.text(k) == "(" and src.text(k - 1) in _C_ATTRIBUTES:
+            k = src.until(src.close[k] + 1, "(=", stop)
+        return k
+
     def scan(i: int, last: int, container: str, in_class: bool) -> None:
         while i < last:
             first, template = i, False
@@ -186,18 +216,18 @@ def cpp(src: Source) -> list[dict]:
                 i += 1
                 continue
             stop = src.until(i, "{;", last)
-            word = next((k for k in range(i, min(stop, i + 4)) if src.text(k) in ("namespace", "class", "struct", "enum", "union")), None)
-            opening = src.until(i, "(=", stop)
-            if word is not None and word < opening:
+            word, opening = keyword(i, stop), call(i, stop)
+            names, k = [], 0
+            if word is not None:
                 kind = src.text(word)
-                k = word + 1 + (kind == "enum" and src.text(word + 1) in ("class", "struct"))
-                body = stop
-                end = src.close[body] if src.text(body) == "{" else body
-                names = []
+                k = attributes_end(word + 1 + (kind == "enum" and src.text(word + 1) in ("class", "struct")))
                 while k < stop and (src.is_name(k) or src.text(k) == "::"):
                     if src.is_name(k) and src.text(k) != "final":
                         names.append(src.name(k))
-                    k += 1
+                    k = attributes_end(k + 1)
+            if word is not None and (k == stop or src.text(k) in (":", "<")):  # else it only names a type
+                body = stop
+                end = src.close[body] if src.text(body) == "{" else body
                 if src.text(body) == "{" and kind != "union":
                     name = "::".join(names) if kind == "namespace" else (names[-1] if names else "")
                     if name:
@@ -322,6 +352,28 @@ def ecma(src: Source) -> list[dict]:
             i += 1
         return last - 1
 
+    def body_of(k: int, last: int) -> tuple[int | None, int]:
+        """Of a header whose parameters end before k: where its body opens (none: None), and where to go on.
+
+        A return type may hold braces of its own, and ends with the line where no sign carries it on.
+        """
+        if src.text(k) == "{":
+            return k, src.close[k] + 1
+        if src.text(k) != ":":
+            return None, k + (src.text(k) == ";")
+        k += 1
+        while k < last:
+            t, before = src.text(k), src.text(k - 1)
+            if t == ";":
+                return None, k + 1
+            wanted = before in (":", "|", "&", "=>", "<", ",", "?", "extends", "is", "keyof", "typeof", "readonly", "infer", "asserts", "unique", "new")
+            if t == "{" and not wanted:
+                return k, src.close[k] + 1
+            if not wanted and src.place(src.tokens[k].start)[0] > src.place(src.end(k - 1) - 1)[0] and t not in ("|", "&", "=>", "?", ":", "extends", "is", "[", "<", ">", ".", ","):
+                return None, k
+            k = src.close[k] + 1 if k in src.close else k + 1
+        return None, last
+
     def members(i: int, last: int, container: str) -> None:
         while i < last:
             first, flags = i, {}
@@ -338,14 +390,11 @@ def ecma(src: Source) -> list[dict]:
                 if src.text(k) == "<":
                     k = next((j + 1 for j in range(k, last) if src.text(j) == ">"), k)
                 if src.text(k) == "(":
-                    body = src.until(src.close[k] + 1, "{;", last)
-                    if src.text(body) == "{" and body - src.close[k] < 40:
-                        end = src.close[body]
-                        out.append(_symbol(src, src.name(i), "method", first, end, container, "::", names(k), ("public", None), **flags))
-                        scan(body + 1, end, f"{container}::{src.name(i)}", True)
-                        i = end + 1
-                        continue
-                    i = body + 1
+                    body, after = body_of(src.close[k] + 1, last)
+                    if body is not None:
+                        out.append(_symbol(src, src.name(i), "method", first, src.close[body], container, "::", names(k), ("public", None), **flags))
+                        scan(body + 1, src.close[body], f"{container}::{src.name(i)}", True)
+                    i = max(after, i + 1)
                     continue
             i = statement_end(i, last) + 1 if i < last else last
 
@@ -367,8 +416,8 @@ def ecma(src: Source) -> list[dict]:
             if word == "function":
                 named += src.text(named) == "*"
                 opening = src.until(named, "(", last)
-                body = src.until(src.close[opening] + 1, "{;", last) if opening < last else last
-                if src.is_name(named) and src.text(body) == "{":
+                body = body_of(src.close[opening] + 1, last)[0] if opening < last else None
+                if src.is_name(named) and body is not None:
                     end = src.close[body]
                     out.append(_symbol(src, src.name(named), "function", first, end, container, "::", names(opening), seen, start, **flags))
                     scan(body + 1, end, f"{container}::{src.name(named)}" if container else src.name(named), True)
@@ -416,7 +465,7 @@ def symbols(data: bytes, language: str) -> list[dict]:
 
 
 def syntax_ok(data: bytes, language: str) -> bool:
-    """Whether a source could be parsed: UTF-8, brackets that match, and for Python its own compiler's word."""
+    """Whether a source could be parsed: UTF-8, brackets that match, tokens that keep the rules of their language, and for Python its own compiler's word."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -429,4 +478,7 @@ def syntax_ok(data: bytes, language: str) -> bool:
         except (SyntaxError, ValueError):
             return False
         return True
-    return language not in EXTRACTORS or not Source(data, language).unbalanced
+    if language not in EXTRACTORS:
+        return True
+    src = Source(data, language)
+    return not src.unbalanced and broken(src) is None

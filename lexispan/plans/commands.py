@@ -54,7 +54,7 @@ def _payload(message: str, data: dict, operation_id: str | None = None, metadata
 
 def _check(edits: DataFrame, sources: DataFrame) -> None:
     """Edits that cannot be made are reported together."""
-    bad = rewrite.checked(edits, sources).where("problem IS NOT NULL").orderBy("file_path", "byte_start").limit(20).collect()
+    bad = rewrite.checked(edits, sources).where("problem IS NOT NULL").orderBy("file_path", "byte_start").collect()
     if bad:
         b = bad[0]
         raise SpanError("InvalidSpan", f"Invalid span ({b.byte_start}, {b.byte_end}) in {b.file_path}: {b.problem}", file=b.file_path, diagnostics=[{"tool": "spans", "level": "error", "message": r.problem, "file": r.file_path} for r in bad])
@@ -127,7 +127,7 @@ def patch_batch(spark, batch: str, create_backup=False, operation_id=None, metad
 def reference_edits(spark, path: str, symbol: str, kind: str | None, language: str) -> tuple[DataFrame, DataFrame, dict]:
     """Empty replacements for a definition and all references to it, and the files they are in."""
     found, sources = _find_symbol(spark, path, symbol, kind, language)
-    rows = [(0, 0, path, found.byte_start, found.byte_end, "")]
+    rows, by_glob = [(0, 0, path, found.byte_start, found.byte_end, "")], False
     root = files.workspace_root(path)
     if language == "rust":
         everything = sources
@@ -140,8 +140,12 @@ def reference_edits(spark, path: str, symbol: str, kind: str | None, language: s
         target = {"file_path": path, "name": symbol, "kind": found.kind, "byte_start": found.byte_start, "byte_end": found.byte_end, "is_private": found.visibility.level == "private"}
         refs = references.find(target, t["identifiers"], t["scopes"], t["scope_symbols"], t["imports"], modules).collect()
         rows += [(0, i + 1, r.file_path, r.byte_start, r.byte_end, "") for i, r in enumerate(refs)]
+        by_glob = any(r.by_glob for r in refs)
         sources = everything
-    return _edit(spark, rows), sources, {"references": len(rows) - 1, "kind": found.kind}
+    told = {"references": len(rows) - 1, "kind": found.kind}
+    if by_glob:
+        told["warnings"] = [f"some references to '{symbol}' are seen through glob imports and may mean another symbol"]
+    return _edit(spark, rows), sources, told
 
 
 def delete(spark, file: str, symbol: str, kind=None, language=None, create_backup=False, operation_id=None, metadata=None, validate=False, **gate) -> dict:

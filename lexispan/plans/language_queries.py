@@ -1,124 +1,259 @@
-"""Queries of the language parsers, over inline sources: extraction runs in the same job shape as over a source tree."""
+"""Queries of the language parsers: over a few sources with goldens, and over sources made from each document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispan.operators import extract, pattern, references, resolve, rewrite
+from lexispan.functions import diagnostics, naming
+from lexispan.operators import extract, labels, pattern, references, resolve, rewrite
 
 _SOURCES = {
-    "rust": ("src/lib.rs", "pub struct Foo; pub fn bar(a: i32) {}\nmod baz { pub(crate) fn inner() {} }\nimpl Foo { fn new() -> Self { Foo } }\n"),
-    "python": ("pkg/m.py", "class Outer:\n    class Inner:\n        def method(self, x: int):\n            pass\n\nasync def f(a, b=1):\n    return a\n"),
-    "cpp": ("a.cpp", "namespace utils {\n    void helper();\n}\ntemplate<typename T>\nT max(T a, T b) { return a > b ? a : b; }\n"),
-    "c": ("a.c", "#include <stdio.h>\nstruct P { int x; };\nint add(int a, int b) { return a + b; }\n"),
-    "java": ("A.java", "import java.util.List;\npublic class A { int n; A() {} static void add(int a, int b) {} }\n"),
-    "javascript": ("a.js", "const fs = require('fs');\nclass C { constructor() {} m(x) {} }\nexport async function f(a) { return a; }\n"),
-    "typescript": ("a.ts", "import type { U, V } from './types';\nexport interface I { id: string; }\nnamespace N {\n  export function g() {}\n}\ntype T = string | number;\n"),
-}
+    "rust": ("src/tide.rs", "pub struct Buoy { depth: f64 }\nenum Swell { Low, High(u8) }\nmod charts {\n    pub(super) fn sound(lead: &Line, fathoms: u32) -> u32 { fathoms }\n}\npub trait Drift { fn lean(&self); }\nimpl Drift for Buoy { fn lean(&self) {} }\n"),
+    "python": ("harbour/quay.py", "class Quay:\n    def moor(self, vessel, *, ropes=2):\n        def knot(kind):\n            return kind\n        return knot(vessel)\n\n\nasync def tow(barge: str, **opts):\n    return barge\n"),
+    "cpp": ("keel.cpp", "namespace hull {\nclass Plank {\n  int width() const { return w; }\n};\nenum class Wood { Oak, Elm };\n}\ntemplate <class W>\nstruct Pair { W port; };\nstatic double heel(double angle, const Plank& p) { return angle; }\n"),
+    "c": ("winch.c", "#include <math.h>\nstruct drum { int turns; };\nstruct drum *wind(struct drum *d, int turns) { d->turns += turns; return d; }\nstatic float pull(void) { return 1.5f; }\n"),
+    "java": ("Ferry.java", "package lake;\npublic class Ferry {\n    private long fare = 3;\n    Ferry(long fare) { this.fare = fare; }\n    enum Deck { UPPER, LOWER }\n    static long total(long riders, long[] extras) { return riders; }\n}\n"),
+    "javascript": ("gull.mjs", "export class Gull {\n  static hatch(egg) { return new Gull(egg); }\n  async glide(wind, { gust } = {}) { return wind; }\n}\nfunction* flock(size) { yield size; }\nlet wings = 2;\n"),
+    "typescript": ("reef.ts", "export interface Coral { hue: string }\nexport type Shoal = Coral[] | null;\nnamespace Polyp {\n  export function bud(seed: Coral): { twin: Coral } { return { twin: seed }; }\n}\nenum Tint { Pale }\nclass Reef<C> { grow(days: number): Promise<C> { return wait(days); } }\n"),
+}
 
 #: Goldens: kind, qualified name, the declaration's text, parameters.
 _SYMBOLS = {
     "rust": [
-        ("struct", "crate::Foo", "pub struct Foo;", ""), ("function", "crate::bar", "pub fn bar(a: i32) {}", "a"), ("module", "crate::baz", "mod baz { pub(crate) fn inner() {} }", ""),
-        ("function", "crate::baz::inner", "pub(crate) fn inner() {}", ""), ("impl", "crate::Foo", "impl Foo { fn new() -> Self { Foo } }", ""), ("function", "crate::new", "fn new() -> Self { Foo }", ""),
+        ("struct", "crate::Buoy", "pub struct Buoy { depth: f64 }", ""), ("enum", "crate::Swell", "enum Swell { Low, High(u8) }", ""),
+        ("module", "crate::charts", "mod charts {\n    pub(super) fn sound(lead: &Line, fathoms: u32) -> u32 { fathoms }\n}", ""), ("function", "crate::charts::sound", "pub(super) fn sound(lead: &Line, fathoms: u32) -> u32 { fathoms }", "lead,fathoms"),
+        ("trait", "crate::Drift", "pub trait Drift { fn lean(&self); }", ""), ("impl", "crate::Buoy", "impl Drift for Buoy { fn lean(&self) {} }", ""), ("function", "crate::lean", "fn lean(&self) {}", ""),
     ],
     "python": [
-        ("class", "module::Outer", "class Outer:\n    class Inner:\n        def method(self, x: int):\n            pass", ""), ("class", "module::Outer::Inner", "class Inner:\n        def method(self, x: int):\n            pass", ""),
-        ("function", "module::Outer::Inner::method", "def method(self, x: int):\n            pass", "x"), ("function", "module::f", "async def f(a, b=1):\n    return a", "a,b"),
+        ("class", "module::Quay", "class Quay:\n    def moor(self, vessel, *, ropes=2):\n        def knot(kind):\n            return kind\n        return knot(vessel)", ""),
+        ("function", "module::Quay::moor", "def moor(self, vessel, *, ropes=2):\n        def knot(kind):\n            return kind\n        return knot(vessel)", "vessel,ropes"),
+        ("function", "module::Quay::moor::knot", "def knot(kind):\n            return kind", "kind"), ("function", "module::tow", "async def tow(barge: str, **opts):\n    return barge", "barge,opts"),
+    ],
+    "cpp": [
+        ("namespace", "hull", "namespace hull {\nclass Plank {\n  int width() const { return w; }\n};\nenum class Wood { Oak, Elm };\n}", ""), ("class", "hull::Plank", "class Plank {\n  int width() const { return w; }\n}", ""),
+        ("method", "hull::Plank::width", "int width() const { return w; }", ""), ("enum", "hull::Wood", "enum class Wood { Oak, Elm }", ""), ("template_class", "Pair", "template <class W>\nstruct Pair { W port; }", ""),
+        ("function", "heel", "static double heel(double angle, const Plank& p) { return angle; }", "angle,p"),
+    ],
+    "c": [("struct", "drum", "struct drum { int turns; }", ""), ("function", "wind", "struct drum *wind(struct drum *d, int turns) { d->turns += turns; return d; }", "d,turns"), ("function", "pull", "static float pull(void) { return 1.5f; }", "")],
+    "java": [
+        ("class", "Ferry", "public class Ferry {\n    private long fare = 3;\n    Ferry(long fare) { this.fare = fare; }\n    enum Deck { UPPER, LOWER }\n    static long total(long riders, long[] extras) { return riders; }\n}", ""),
+        ("field", "Ferry.fare", "private long fare = 3;", ""), ("constructor", "Ferry.Ferry", "Ferry(long fare) { this.fare = fare; }", "fare"), ("enum", "Ferry.Deck", "enum Deck { UPPER, LOWER }", ""),
+        ("method", "Ferry.total", "static long total(long riders, long[] extras) { return riders; }", "riders,extras"),
     ],
-    "cpp": [("namespace", "utils", "namespace utils {\n    void helper();\n}", ""), ("function", "utils::helper", "void helper();", ""), ("template_function", "max", "template<typename T>\nT max(T a, T b) { return a > b ? a : b; }", "a,b")],
-    "c": [("struct", "P", "struct P { int x; }", ""), ("function", "add", "int add(int a, int b) { return a + b; }", "a,b")],
-    "java": [("class", "A", "public class A { int n; A() {} static void add(int a, int b) {} }", ""), ("field", "A.n", "int n;", ""), ("constructor", "A.A", "A() {}", ""), ("method", "A.add", "static void add(int a, int b) {}", "a,b")],
     "javascript": [
-        ("variable", "fs", "const fs = require('fs');", ""), ("class", "C", "class C { constructor() {} m(x) {} }", ""), ("method", "C::constructor", "constructor() {}", ""), ("method", "C::m", "m(x) {}", "x"),
-        ("function", "f", "async function f(a) { return a; }", "a"),
+        ("class", "Gull", "class Gull {\n  static hatch(egg) { return new Gull(egg); }\n  async glide(wind, { gust } = {}) { return wind; }\n}", ""), ("method", "Gull::hatch", "static hatch(egg) { return new Gull(egg); }", "egg"),
+        ("method", "Gull::glide", "async glide(wind, { gust } = {}) { return wind; }", "wind,gust"), ("function", "flock", "function* flock(size) { yield size; }", "size"), ("variable", "wings", "let wings = 2;", ""),
+    ],
+    "typescript": [
+        ("interface", "Coral", "interface Coral { hue: string }", ""), ("type_alias", "Shoal", "type Shoal = Coral[] | null;", ""), ("namespace", "Polyp", "namespace Polyp {\n  export function bud(seed: Coral): { twin: Coral } { return { twin: seed }; }\n}", ""),
+        ("function", "Polyp::bud", "function bud(seed: Coral): { twin: Coral } { return { twin: seed }; }", "seed"), ("enum", "Tint", "enum Tint { Pale }", ""), ("class", "Reef", "class Reef<C> { grow(days: number): Promise<C> { return wait(days); } }", ""),
+        ("method", "Reef::grow", "grow(days: number): Promise<C> { return wait(days); }", "days"),
     ],
-    "typescript": [("interface", "I", "interface I { id: string; }", ""), ("namespace", "N", "namespace N {\n  export function g() {}\n}", ""), ("function", "N::g", "function g() {}", ""), ("type_alias", "T", "type T = string | number;", "")],
 }
 
 
-def _files(spark: SparkSession, only: list[str]) -> DataFrame:
-    return extract.source_files(spark.createDataFrame([_SOURCES[k] for k in only], "file_path string, content string"))
-
-
-def _shown(symbols: DataFrame) -> DataFrame:
-    return symbols.select("kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"))
+def _files(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    return extract.source_files(spark.createDataFrame(rows, "file_path string, content string"))
 
 
 def _symbol_query(language: str):
     def run(spark, sf_dir):
-        files = _files(spark, [language])
-        return _shown(extract.table(extract.facts(files), "symbols"))
+        symbols = extract.table(extract.facts(_files(spark, [_SOURCES[language]])), "symbols")
+        return symbols.select("kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"))
 
     return run
 
 
-#: Facts of imports by language: file, kind, path, names, glob, reexport.
-_IMPORT_SOURCES = [
-    ("r.rs", "pub use crate::module::{foo, bar as b};\nuse super::x::*;\n"), ("p.py", "import os, sys\nfrom ..utils import helper as h\n"), ("i.cpp", '#include <a/b.h>\n#include "c.h"\n'),
-    ("J.java", "import static java.lang.Math.*;\n"), ("s.js", "import d, { e as f } from '@x/y';\nconst { g } = require('./z');\n"), ("t.ts", "import type K from './k';\nimport 'side';\n"),
-]
-_IMPORT_SQL = """SELECT * FROM (VALUES ('r.rs', 'UseCrate', 'crate/module', 'foo,b', false, true), ('r.rs', 'UseSuper', 'super/x', '*', true, false),
-('p.py', 'PythonImport', 'os', 'os', false, false), ('p.py', 'PythonImport', 'sys', 'sys', false, false), ('p.py', 'PythonFromParent', '../utils', 'h', false, false), ('i.cpp', 'CppSystemInclude', 'a/b.h', '', false, false),
-('i.cpp', 'CppLocalInclude', 'c.h', '', false, false), ('J.java', 'JavaStaticImport', 'java/lang/Math', '', true, false), ('s.js', 'JsDefaultImport', '@x/y', 'd,f', false, false), ('s.js', 'JsRequire', './z', 'g', false, false),
-('t.ts', 'TsTypeDefaultImport', './k', 'K', false, false), ('t.ts', 'JsSideEffectImport', 'side', '', false, false)) t(file_path, import_kind, path, names, is_glob, is_reexport)"""
+#: Sources with imports, and the facts of each: kind, path, names, glob, reexport.
+_IMPORTS = {
+    "log.rs": ("pub use crate::helm::{steer, wheel as w};\nuse super::deck::*;\nuse self::bilge;\n", [("UseCrate", "crate/helm", "steer,w", False, True), ("UseSuper", "super/deck", "*", True, False), ("UseSelf", "self", "bilge", False, False)]),
+    "mast.py": ("import math, json\nfrom ..sails import jib as j\n", [("PythonImport", "math", "math", False, False), ("PythonImport", "json", "json", False, False), ("PythonFromParent", "../sails", "j", False, False)]),
+    "oar.cpp": ('#include <lake/shore.h>\n#include "pier.h"\n', [("CppSystemInclude", "lake/shore.h", "", False, False), ("CppLocalInclude", "pier.h", "", False, False)]),
+    "Rope.java": ("import static lake.Depths.*;\nimport lake.Ferry;\n", [("JavaStaticImport", "lake/Depths", "", True, False), ("JavaImport", "lake/Ferry", "", False, False)]),
+    "cove.js": ("import bay, { isle as i } from '@lake/map';\nconst { cape } = require('./coast');\n", [("JsDefaultImport", "@lake/map", "bay,i", False, False), ("JsRequire", "./coast", "cape", False, False)]),
+    "fjord.ts": ("import type Ice from './ice';\nimport 'thaw';\n", [("TsTypeDefaultImport", "./ice", "Ice", False, False), ("JsSideEffectImport", "thaw", "", False, False)]),
+}
 
 
 def language_imports(spark, sf_dir):
     """Imports of all languages in one job."""
-    files = extract.source_files(spark.createDataFrame(_IMPORT_SOURCES, "file_path string, content string"))
-    rows = extract.table(extract.facts(files), "imports")
+    rows = extract.table(extract.facts(_files(spark, [(k, v[0]) for k, v in _IMPORTS.items()])), "imports")
     return rows.select("file_path", "import_kind", F.array_join("path", "/").alias("path"), F.array_join("imported_names", ",").alias("names"), "is_glob", "is_reexport")
 
 
-_REF_SOURCES = [
-    ("/w/src/lib.rs", "pub fn helper() {}\nfn main() { helper(); { fn helper() {} helper(); } let x = |helper: i32| helper(); }\n"),
-    ("/w/src/a.rs", "use crate::helper;\nfn f() { helper(); crate::helper(); }\n"), ("/w/src/b.rs", "fn g() { helper(); }\n"), ("/w/src/c.rs", "use crate::*;\nfn h(s: S) { s.helper(); }\n"),
-]
-
-
-def language_references(spark, sf_dir):
-    """References to a function in its file and in those that import it, inner declarations left out."""
-    files = extract.source_files(spark.createDataFrame(_REF_SOURCES, "file_path string, content string"))
-    rows = extract.facts(files)
-    tables = {n: extract.table(rows, n) for n in ("symbols", "identifiers", "scopes", "scope_symbols", "imports")}
-    from lexispan.functions.naming import module_path
-
-    modules = files.select("file_path", module_path("/w", "file_path").alias("module_path"))
-    target = {"file_path": "/w/src/lib.rs", "name": "helper", "kind": "function", "byte_start": 0, "byte_end": 18, "is_private": False}
-    found = references.find(target, tables["identifiers"], tables["scopes"], tables["scope_symbols"], tables["imports"], modules)
-    return found.select("file_path", "byte_start", "byte_end", F.col("context.kind").alias("context"), "origin")
-
-
-def language_pattern_replace(spark, sf_dir):
-    """A literal outside comments, found and replaced in two languages."""
-    code = [("a.rs", "fn f() { let x = 42; // 42\n 42 }\n"), ("b.py", "x = 42\n# 42\ny = '42'\n")]
-    files = extract.source_files(spark.createDataFrame(code, "file_path string, content string"))
-    comments = extract.table(extract.facts(files), "syntax_nodes").where("kind = 'comment'")
-    return rewrite.rewritten(pattern.replacements(files, "42", "7", comments), files).select("file_path", "n_edits", "after")
+_CROSS = [("/w/src/lib.rs", "fn anchor() {}\n"), ("/w/src/pier.rs", "pub fn moor() {}\npub fn cast_off() {}\n"), ("/w/src/boat.rs", "use crate::pier::moor as tie;\nuse crate::pier::*;\nfn moor() {}\n")]
 
 
 def language_cross_file(spark, sf_dir):
     """Names through imports of parsed sources: local first, then explicit, then glob, aliases by their target's first symbol."""
-    code = [("/w/src/lib.rs", "fn local() {}\n"), ("/w/src/a.rs", "pub fn helper() {}\npub fn other() {}\n"), ("/w/src/b.rs", "use crate::a::helper as util;\nuse crate::a::*;\nfn helper() {}\n")]
-    files = extract.source_files(spark.createDataFrame(code, "file_path string, content string"))
-    rows = extract.facts(files)
-    from lexispan.functions.naming import module_path
-
-    modules = files.select("file_path", module_path("/w", "file_path").alias("module_path"))
+    files = _files(spark, _CROSS)
+    rows = extract.facts(files).persist()
+    modules = files.select("file_path", naming.module_path("/w", "file_path").alias("module_path"))
     imports = resolve.import_targets(extract.table(rows, "imports"), modules)
-    probes = spark.createDataFrame([("/w/src/b.rs", n) for n in ("helper", "util", "other", "absent")], "current_file string, identifier string")
+    probes = spark.createDataFrame([("/w/src/boat.rs", n) for n in ("moor", "tie", "cast_off", "sunk")], "current_file string, identifier string")
     return resolve.across_files(probes, extract.table(rows, "symbols"), imports)
 
 
+#: Of each language: what stands before, between names, and after the functions of a made source; a function before and after its name; its length without the line end.
+_MADE = [
+    ("rs", "", "pub fn ", "(load: u32) -> u32 {\n    load\n}\n", 1, ""),
+    ("py", "", "def ", "(load):\n    return load\n", 1, ""),
+    ("c", "#include <math.h>\n", "static int ", "(int load) {\n    return load;\n}\n", 1, ""),
+    ("cpp", "", "long ", "(long load, int keel) {\n    return load;\n}\n", 1, ""),
+    ("java", "class Hold {\n", "    int ", "(int load) { return load; }\n", 1, "}\n"),
+    ("js", "'use strict';\n", "function ", "(load, { keel }) {\n  return /[}]/.test(load);\n}\n", 1, ""),
+    ("ts", "", "async function ", "(load: number): Promise<{ keel: number }> {\n  return { keel: load };\n}\n", 1, ""),
+]
+#: Kinds, containers, the bytes of the declaration's line before its begin, and parameters.
+_MADE_FACTS = [("function", "crate::", 0, "load"), ("function", "module::", 0, "load"), ("function", "", 0, "load"), ("function", "", 0, "load,keel"), ("method", "Hold.", 4, "load"), ("function", "", 0, "load,keel"), ("function", "", 0, "load")]
+
+
+def _made(spark, sf_dir) -> DataFrame:
+    """A source for each document: 1 to 6 functions, in the language of its number."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("which"), (F.col("doc_id") % 6).cast("int").alias("last"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _MADE]), F.col("which") + 1)
+    d = d.select("doc_id", "last", pick(0).alias("ext"), pick(1).alias("head"), pick(2).alias("before"), pick(3).alias("after"), pick(5).alias("tail"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.concat("before", F.lit("f"), F.col("doc_id").cast("string"), F.lit("_"), k.cast("string"), "after")), "")
+    return extract.source_files(d.select(F.concat(F.lit("made/"), F.col("doc_id").cast("string"), F.lit("."), F.col("ext")).alias("file_path"), F.concat("head", body, "tail").alias("content")))
+
+
+def _cases(column: str, values: list) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+def _quoted(values) -> list[str]:
+    return ["'" + str(v).replace("'", "''") + "'" for v in values]
+
+
+_MADE_SQL = f"""
+src AS (SELECT doc_id, (doc_id % 7)::INT AS which, unnest(generate_series(0, doc_id % 6)) AS k FROM documents WHERE text IS NOT NULL),
+fn AS (SELECT doc_id, which, k, 'f' || doc_id || '_' || k AS name, {_cases('which', [len(x[1]) for x in _MADE])} AS head, {_cases('which', [len(x[2]) for x in _MADE])} AS pre, {_cases('which', [len(x[3]) for x in _MADE])} AS post,
+  {_cases('which', [x[2] for x in _MADE_FACTS])} AS indent, 'made/' || doc_id || '.' || {_cases('which', _quoted(x[0] for x in _MADE))} AS file_path FROM src),
+sym AS (SELECT *, (head + k * (pre + length(name) + post) + indent)::BIGINT AS byte_start, (head + (k + 1) * (pre + length(name) + post) - 1)::BIGINT AS byte_end FROM fn)"""
+
+
+def made_symbols(spark, sf_dir):
+    """Functions of the made sources, all languages in one job: names, spans, parameters, visibility and node labels."""
+    s = extract.table(extract.facts(_made(spark, sf_dir)), "symbols").where("kind <> 'class'")
+    return s.select("file_path", "kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"), naming.kind_label("kind").alias("label"))
+
+
+def made_code_by_symbol(spark, sf_dir):
+    """Code of a symbol by its file and name (every second function), and of a span by its place."""
+    files = _made(spark, sf_dir).persist()
+    s = extract.entities(extract.table(extract.facts(files).persist(), "symbols")).where("kind <> 'class'")
+    chunks = extract.code_chunks(s, files)
+    asked = s.where("endswith(name, '_1') OR endswith(name, '_3')").select("file_path", F.col("name").alias("symbol_name"))
+    named = chunks.join(asked, ["file_path", "symbol_name"], "left_semi")
+    told = labels.with_code(named.drop("content"), chunks)
+    return told.select("file_path", "symbol_name", F.sha2("code", 256).alias("code_sha256"))
+
+
+def made_in_file(spark, sf_dir):
+    """First symbol of a file by name, any kind or the kind asked for."""
+    s = extract.table(extract.facts(_made(spark, sf_dir)), "symbols")
+    probes = s.where("endswith(name, '_0')").select("file_path", "name", F.explode(F.array(F.lit(None).cast("string"), F.lit("function"), F.lit("class"))).alias("kind"))
+    return resolve.in_file(s, probes).select("file_path", "name", "asked_kind", "kind", "byte_start", "byte_end")
+
+
+_HUB, _USERS = "/w/src/hub.rs", "pub fn beacon() { }\npub fn lamp() { beacon(); }\n"
+_USES = ["use crate::hub::beacon;\nfn run() { beacon(); crate::hub::beacon(); }\n", "use crate::hub::*;\nfn run(b: Hull) { beacon(); b.beacon(); }\n", "use crate::hub::beacon;\nfn run() { fn beacon() {} beacon(); }\n", "fn run() { beacon(); }\n", "use crate::hub::beacon;\nfn run() { let beacon = 1; drop(beacon); crate::hub::beacon(); }\n"]
+
+
+def made_references(spark, sf_dir):
+    """References to one function in its file and in a file per document: imported by name, by glob, shadowed, or not seen at all."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
+    users = d.select(F.concat(F.lit("/w/src/u"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), F.element_at(F.array(*map(F.lit, _USES)), (F.col("doc_id") % len(_USES)).cast("int") + 1).alias("content"))
+    files = extract.source_files(users.unionByName(spark.createDataFrame([(_HUB, _USERS)], "file_path string, content string")))
+    rows = extract.facts(files).persist()
+    t = {n: extract.table(rows, n) for n in ("identifiers", "scopes", "scope_symbols", "imports")}
+    modules = files.select("file_path", naming.module_path("/w", "file_path").alias("module_path"))
+    target = {"file_path": _HUB, "name": "beacon", "kind": "function", "byte_start": 0, "byte_end": len("pub fn beacon() { }"), "is_private": False}
+    found = references.find(target, t["identifiers"], t["scopes"], t["scope_symbols"], t["imports"], modules)
+    return found.select("file_path", "byte_start", "byte_end", F.col("context.kind").alias("context"), "origin", "by_glob")
+
+
+def _reference_sql() -> str:
+    def places(text: str, words: list[str], skip: int = 0) -> list[tuple[int, int]]:
+        out, at = [], text.index("fn run")
+        for w in words:
+            at = text.index(w, at)
+            out.append((at, at + len(w) - 1))
+            at += len(w)
+        return out[skip:]
+
+    wanted = [(0, places(_USES[0], ["beacon(", "crate::hub::beacon("]), False), (1, places(_USES[1], ["beacon(", "beacon("]), True), (4, places(_USES[4], ["crate::hub::beacon("]), False)]
+    parts = [f"SELECT '{_HUB}' AS file_path, {_USERS.index('beacon();')}::BIGINT AS byte_start, {_USERS.index('beacon();') + 6}::BIGINT AS byte_end, 'FunctionCall' AS context, 'same_file' AS origin, false AS by_glob"]
+    for which, spots, glob in wanted:
+        for a, b in spots:
+            parts.append(f"SELECT DISTINCT '/w/src/u' || doc_id || '.rs', {a}::BIGINT, {b}::BIGINT, 'FunctionCall', 'cross_file', {str(glob).lower()} FROM documents WHERE doc_id % {len(_USES)} = {which}")
+    return " UNION ALL ".join(parts)
+
+
+def made_visibility(spark, sf_dir):
+    """Visibility of items, and of each file those that other files can see."""
+    heads = ["fn", "pub fn", "pub(crate) fn", "pub(in crate::dock) async fn"]
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
+    code = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 4).cast("int") + 1), F.lit(" crane() {}\n"))
+    files = extract.source_files(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), code.alias("content")))
+    s = extract.table(extract.facts(files), "symbols")
+    return s.select("file_path", F.col("visibility.level").alias("level"), F.col("visibility.scope").alias("scope"), (F.col("visibility.level") != "private").alias("seen_outside"), F.col("flags.is_async").alias("is_async"))
+
+
+def made_pattern_replace(spark, sf_dir):
+    """A literal outside comments, found and replaced in a source per document."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
+    many = F.concat(F.lit("fn f() {\n"), F.repeat(F.lit("  hoist(7); // hoist(7)\n"), (F.col("doc_id") % 30).cast("int")), F.lit("/* hoist(7) /* hoist(7) */ */ hoist(7) }\n"))
+    files = extract.source_files(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), many.alias("content")))
+    comments = extract.table(extract.facts(files), "syntax_nodes").where("kind = 'comment'")
+    return rewrite.rewritten(pattern.replacements(files, "hoist(7)", "lower(12)", comments), files).select("file_path", "n_edits", F.col("after_sha256"))
+
+
+def super_imports(spark, sf_dir):
+    """Modules that relative paths mean: one level up, two, the module's own, and above the root."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IS NOT NULL").select("doc_id", "source").distinct()
+    modules = d.select(F.col("doc_id").alias("file_path"), F.concat_ws("::", F.lit("crate"), "source", F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("module_path"))
+    other = F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string"))
+    path = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("super"), other)).when(F.col("doc_id") % 4 == 1, F.array(F.lit("super"), F.lit("super"), "source", other)).when(F.col("doc_id") % 4 == 2, F.array(F.lit("self"))).otherwise(F.array(*[F.lit("super")] * 3, other))
+    return resolve.import_targets(d.select(F.col("doc_id").alias("file_path"), path.alias("path")), modules).select(F.col("file_path").alias("doc_id"), "target_file")
+
+
+_SUPER_SQL = """WITH d AS (SELECT DISTINCT doc_id, source FROM documents WHERE source IS NOT NULL)
+SELECT a.doc_id, CASE WHEN a.doc_id % 4 = 2 THEN a.doc_id WHEN a.doc_id % 4 < 2 THEN b.doc_id END AS target_file FROM d a LEFT JOIN d b ON b.source = a.source AND b.doc_id = a.doc_id + 1"""
+
+#: What tools say, with the document's number in it, and what is read from it: tool, output, line, column, message, code.
+_SAID = [
+    ("python", "  File \"{f}\", line {n}\n    x = = 1\n        ^\nSyntaxError: odd sign {n}", "n", "0", "'odd sign ' || n", "NULL"),
+    ("python", "SyntaxError: lost {n}", "0", "0", "'lost ' || n", "NULL"),
+    ("java", "{f}:{n}: error: no sail {n}\n  code\n1 error", "n", "0", "'no sail ' || n", "NULL"),
+    ("javascript", "{f}:{n} (9) TypeError: no keel", "n", "9", "'TypeError: no keel'", "NULL"),
+    ("typescript", "{f}({n},4): error TS2304: Cannot find name {n}", "n", "4", "'Cannot find name ' || n", "'TS2304'"),
+    ("typescript", "  the tool {n} broke  ", "0", "0", "'the tool ' || n || ' broke'", "NULL"),
+    ("c", "{f}:{n}:3: warning: slack rope", "n", "3", "'warning: slack rope'", "NULL"),
+]
+
+
+def diagnostics_tools(spark, sf_dir):
+    """Output of five tools, a run per document, and of runs that give no place; zero places are null, codes have their page."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct().withColumn("which", (F.col("doc_id") % len(_SAID)).cast("int"))
+    n, f = F.col("doc_id").cast("string"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".x"))
+    said = F.replace(F.replace(F.element_at(F.array(*[F.lit(x[1]) for x in _SAID]), F.col("which") + 1), F.lit("{f}"), f), F.lit("{n}"), n)
+    runs = d.select(n.alias("run_id"), f.alias("file"), said.alias("output"), F.element_at(F.array(*[F.lit(x[0]) for x in _SAID]), F.col("which") + 1).alias("tool"))
+    out = None
+    for tool in dict.fromkeys(x[0] for x in _SAID):
+        rows = diagnostics.PARSERS[tool](runs.where(F.col("tool") == tool).drop("tool"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("run_id", "file", "level", naming.nonzero("line").alias("line"), naming.nonzero("column").alias("column"), "message", "code", naming.remediation("code").alias("remediation"))
+
+
 def queries() -> dict:
     out = {f"{k}_symbols": _symbol_query(k) for k in _SYMBOLS}
-    return out | {f.__name__: f for f in (language_imports, language_references, language_pattern_replace, language_cross_file)}
+    return out | {f.__name__: f for f in (language_imports, language_cross_file, made_symbols, made_code_by_symbol, made_in_file, made_references, made_visibility, made_pattern_replace, super_imports, diagnostics_tools)}
 
 
 def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::BIGINT" for v in r) + ")" for r in rows)
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v}::BIGINT" for v in r) + ")" for r in rows)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -127,9 +262,22 @@ def oracle_sql() -> dict[str, str]:
         code = _SOURCES[k][1]
         placed = [(kind, name, code.index(text), code.index(text) + len(text), parameters) for kind, name, text, parameters in rows]
         out[f"{k}_symbols"] = f"SELECT * FROM (VALUES {_values(placed)}) t(kind, fully_qualified, byte_start, byte_end, parameters)"
-    out["language_imports"] = _IMPORT_SQL
-    refs = [("/w/src/lib.rs", 31, 37, "FunctionCall", "same_file"), ("/w/src/a.rs", 28, 34, "FunctionCall", "cross_file"), ("/w/src/a.rs", 38, 51, "FunctionCall", "cross_file"), ("/w/src/c.rs", 29, 35, "FunctionCall", "cross_file")]
-    out["language_references"] = f"SELECT * FROM (VALUES {_values(refs)}) t(file_path, byte_start, byte_end, context, origin)"
-    out["language_pattern_replace"] = "SELECT * FROM (VALUES ('a.rs', 2::BIGINT, 'fn f() { let x = 7; // 42' || chr(10) || ' 7 }' || chr(10)), ('b.py', 2, 'x = 7' || chr(10) || '# 42' || chr(10) || 'y = ''7''' || chr(10))) t(file_path, n_edits, after)"
-    out["language_cross_file"] = "SELECT * FROM (VALUES ('/w/src/b.rs', 'helper', '/w/src/b.rs', 'helper', 'function', 0), ('/w/src/b.rs', 'util', '/w/src/a.rs', 'helper', 'function', 1), ('/w/src/b.rs', 'other', '/w/src/a.rs', 'other', 'function', 2)) t(current_file, identifier, file_path, name, kind, priority)"
+    out["language_imports"] = f"SELECT * FROM (VALUES {_values([(k, *r) for k, v in _IMPORTS.items() for r in v[1]])}) t(file_path, import_kind, path, names, is_glob, is_reexport)"
+    boat, pier = "/w/src/boat.rs", "/w/src/pier.rs"
+    out["language_cross_file"] = f"SELECT current_file, identifier, file_path, name, kind, priority::INT AS priority FROM (VALUES {_values([(boat, 'moor', boat, 'moor', 'function', 0), (boat, 'tie', pier, 'moor', 'function', 1), (boat, 'cast_off', pier, 'cast_off', 'function', 2)])}) t(current_file, identifier, file_path, name, kind, priority)"
+    kind, full, parameters = _cases("which", _quoted(x[0] for x in _MADE_FACTS)), _cases("which", _quoted(x[1] for x in _MADE_FACTS)), _cases("which", _quoted(x[3] for x in _MADE_FACTS))
+    out["made_symbols"] = f"WITH {_MADE_SQL} SELECT file_path, {kind} AS kind, {full} || name AS fully_qualified, byte_start, byte_end, {parameters} AS parameters, 'symbol_' || {kind} AS label FROM sym"
+    text = f"{_cases('which', _quoted(x[2].lstrip() for x in _MADE))} || name || {_cases('which', _quoted(x[3][:-1] for x in _MADE))}"
+    out["made_code_by_symbol"] = f"WITH {_MADE_SQL} SELECT file_path, name AS symbol_name, sha256({text}) AS code_sha256 FROM sym WHERE k IN (1, 3)"
+    out["made_in_file"] = f"WITH {_MADE_SQL}, a AS (SELECT unnest([NULL, 'function']) AS asked_kind) SELECT file_path, name, asked_kind, {kind} AS kind, byte_start, byte_end FROM sym, a WHERE k = 0 AND (asked_kind IS NULL OR asked_kind = {kind})"
+    out["made_references"] = _reference_sql()
+    out["made_visibility"] = """SELECT DISTINCT 'd' || doc_id || '.rs' AS file_path, CASE doc_id % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'public' ELSE 'restricted' END AS level,
+CASE doc_id % 4 WHEN 2 THEN 'pub(crate)' WHEN 3 THEN 'pub(in crate::dock)' END AS scope, doc_id % 4 <> 0 AS seen_outside, doc_id % 4 = 3 AS is_async FROM documents"""
+    out["made_pattern_replace"] = """SELECT DISTINCT 'd' || doc_id || '.rs' AS file_path, (doc_id % 30 + 1)::BIGINT AS n_edits,
+sha256('fn f() {' || chr(10) || repeat('  lower(12); // hoist(7)' || chr(10), (doc_id % 30)::INT) || '/* hoist(7) /* hoist(7) */ */ lower(12) }' || chr(10)) AS after_sha256 FROM documents"""
+    out["super_imports"] = _SUPER_SQL
+    told = [_cases("which", [x[k] for x in _SAID]) for k in (2, 3, 4, 5)]
+    out["diagnostics_tools"] = f"""WITH d AS (SELECT DISTINCT doc_id AS n, 'f' || doc_id || '.x' AS file, (doc_id % {len(_SAID)})::INT AS which FROM documents)
+SELECT n::VARCHAR AS run_id, file, CASE WHEN which = 6 THEN 'warning' ELSE 'error' END AS level, nullif({told[0]}, 0)::BIGINT AS line, nullif({told[1]}, 0)::BIGINT AS "column", {told[2]} AS message, {told[3]} AS code,
+CASE WHEN which = 4 THEN 'https://www.typescriptlang.org/errors/TS2304' END AS remediation FROM d"""
     return out

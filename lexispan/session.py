@@ -1,7 +1,13 @@
-"""A session with the settings that results depend on."""
+"""A session with the settings that results depend on, and this package on the executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -10,3 +16,19 @@ def session(name: str = "lexispan", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session: they need not share a folder with the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_lexispan_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexispan-")  # executors fetch the file from there as long as the session lives
+    atexit.register(shutil.rmtree, folder, True)
+    packed = Path(folder, "lexispan_pkg.zip")
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    context.addPyFile(str(packed))
+    context._lexispan_shipped = True

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +20,65 @@ from lexispan.operators.extract import source_files
 SKIPPED = (".git", ".svn", ".hg", "target", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode", "dist", "build", ".pytest_cache", ".span-backup")
 
 
+_WILD = re.compile(r"[*?\[{]")
+_GLOB_PART = re.compile(r"(?P<deep>\*\*/)|(?P<rest>\*\*)|(?P<some>\*)|(?P<one>\?)|(?P<set>\[!?[^\]]+\])|\{(?P<either>[^}]*)\}|(?P<plain>.)", re.DOTALL)
+
+
 def local_path(path) -> F.Column:
     """A file: URI as a plain path; other stores' stay."""
     return F.regexp_replace(path, "^file:(//)?(?=/)", "")
 
 
+def unlisted(spark: SparkSession, paths: str | list[str], recursive: bool = False, glob: str | None = None) -> list[str]:
+    """Files that Spark's listing passes over because a name in their path begins with an underscore, such as ``__init__.py``.
+
+    Few files are so named, and the driver lists them; folders on the driver's own
+    disks are walked there, others through Hadoop's file systems.
+    """
+    fits = re.compile(_glob_regex(glob)) if glob else None
+    out = []
+    for top in [paths] if isinstance(paths, str) else paths:
+        plain = re.sub("^file:(//)?(?=/)", "", top)
+        if os.path.isfile(plain):
+            found = [plain] if os.path.basename(plain)[:1] in "_." else []
+        elif "://" not in plain:
+            walk = os.walk(plain) if recursive else [next(os.walk(plain), (plain, [], []))]
+            found = (os.path.join(d, n) for d, _, names in walk for n in names)
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(plain)
+            system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+            each = system.listFiles(path, recursive) if system.exists(path) else None
+            found = []
+            while each is not None and each.hasNext():
+                found.append(each.next().getPath().toString())
+        for f in found:
+            below = f[len(plain) :].split("/") if f != plain else ["_"]
+            if any(x.startswith("_") for x in below) and not any(x.startswith(".") for x in below) and (fits is None or fits.match(os.path.basename(f))):
+                out.append(f)
+    return sorted(out)
+
+
+def _opened(spark: SparkSession, path: str) -> bytes:
+    if "://" not in path:
+        return Path(path).read_bytes()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def read_texts(spark: SparkSession, paths: str | list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
     """(file_path, content, is_utf8) of files; what is not UTF-8 has null content."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    rows = reader.load(paths).select("path", "content")
+    if more := unlisted(spark, paths, recursive, glob):
+        rows = rows.unionByName(spark.createDataFrame([(p, _opened(spark, p)) for p in more], "path string, content binary"))
     text = F.col("content").cast("string")
-    return reader.load(paths).select(local_path(F.col("path")).alias("file_path"), F.when(F.is_valid_utf8(text), text).alias("content"), F.is_valid_utf8(text).alias("is_utf8"))
+    return rows.select(local_path(F.col("path")).alias("file_path"), F.when(F.is_valid_utf8(text), text).alias("content"), F.is_valid_utf8(text).alias("is_utf8"))
 
 
 def scan_rust(spark: SparkSession, root: str) -> DataFrame:
@@ -47,19 +96,38 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_glob(spark: SparkSession, pattern: str, language: str | None = None) -> DataFrame:
-    """Files that fit a pattern; without a given language, one of an unknown extension refuses the scan."""
-    import glob
+    """Files that fit a pattern, on any file system that Spark reads; without a given language, one of an unknown extension refuses the scan.
 
-    paths = sorted(p for p in glob.glob(pattern, recursive=True) if os.path.isfile(p))
-    if not paths:
+    ``**`` stands for any number of folders. The scan begins in the last folder before
+    a wildcard, and the whole path then decides.
+    """
+    whole = pattern if "://" in pattern else os.path.abspath(pattern)
+    root = os.path.dirname(whole if not _WILD.search(whole) else whole[: _WILD.search(whole).start()] + "x")
+    try:
+        found = read_texts(spark, root if _WILD.search(whole) else whole, bool(_WILD.search(whole)))
+    except AnalysisException:  # there is no such place
         return spark.createDataFrame([], schema.SOURCE_FILES)
-    rows = source_files(read_texts(spark, [os.path.abspath(p) for p in paths]).where("is_utf8"))
+    rows = source_files(found.where(F.col("file_path").rlike(_glob_regex(whole))).where("is_utf8"))
     if language:
         return rows.withColumn("language", F.lit(language))
     known = F.assert_true(F.col("language").isNotNull(), F.concat(F.lit("unknown language of "), "file_path"))
     return rows.where(F.coalesce(known.cast("string"), F.lit("")) == "")
 
 
+def _glob_regex(pattern: str) -> str:
+    """The pattern as a regular expression over whole paths; * and ? stay inside a folder, and hidden names need a dot of their own."""
+
+    def part(m: re.Match) -> str:
+        text = m[0]
+        return {
+            "deep": "(?:[^/.][^/]*/)*", "rest": "[^.].*", "some": "[^/]*", "one": "[^/]", "set": text.replace("[!", "[^"),
+            "either": "(?:" + "|".join(map(re.escape, (m["either"] or "").split(","))) + ")", "plain": re.escape(text),
+        }[m.lastgroup]
+
+    body = "".join(part(m) for m in _GLOB_PART.finditer(pattern))
+    return "^" + re.sub(r"/(?=\[\^/\])", "/(?!\\.)", body) + "$"
+
+
 def workspace_root(path: str) -> str | None:
     """The nearest folder above that holds a Cargo.toml."""
     start = Path(path).resolve()

@@ -1,14 +1,19 @@
 """Commands over temporary workspaces."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 from lexispan import cli
 from lexispan.errors import SpanError
-from lexispan.operators import extract
+from lexispan.operators import extract, gates
 from lexispan.plans import commands as c
 from lexispan.sources import backup, files
+from lexispan.streaming import incremental
 from lexispan.streaming.incremental import index_stream
 
 
@@ -17,18 +22,18 @@ def tree(tmp_path):
     (tmp_path / "Cargo.toml").write_text("[package]\nname='x'\n")
     src = tmp_path / "src"
     src.mkdir()
-    (src / "lib.rs").write_text("pub fn helper() {}\nfn main() { helper(); }\n// helper 42\nconst X: i32 = 42;\n")
-    (src / "a.rs").write_text("use crate::helper;\nfn f() { helper(); }\n")
-    (src / "b.rs").write_text("fn g() { helper(); }\n")
+    (src / "lib.rs").write_text("pub fn ballast() {}\nconst TONS: i32 = 42;\n// ballast 42\nfn load() { ballast(); }\n")
+    (src / "a.rs").write_text("use crate::ballast;\nfn trim() { ballast(); }\n")
+    (src / "b.rs").write_text("fn list() { ballast(); }\n")
     return tmp_path
 
 
 def test_patch_preview_backup_undo(spark, tree):
-    lib, new = tree / "src/lib.rs", "pub fn helper() { 1; }"
+    lib, new = tree / "src/lib.rs", "pub fn ballast() { 1; }"
     before = lib.read_text()
-    p = c.patch(spark, str(lib), "helper", new, preview=True)["data"]
-    assert lib.read_text() == before and p["preview"]["lines_added"] == 1 and p["preview"]["bytes_removed"] == 18
-    done = c.patch(spark, str(lib), "helper", new, create_backup=True, metadata='{"a": 1}')["data"]
+    p = c.patch(spark, str(lib), "ballast", new, preview=True)["data"]
+    assert lib.read_text() == before and p["preview"]["lines_added"] == 1 and p["preview"]["bytes_removed"] == 19
+    done = c.patch(spark, str(lib), "ballast", new, create_backup=True, metadata='{"a": 1}')["data"]
     assert lib.read_text().startswith(new) and done["metadata"] == {"a": 1} and done["files"][0]["before_hash"] != done["files"][0]["after_hash"]
     assert backup.read_manifest(spark, done["backup_manifest"]).count() == 1
     assert c.undo(spark, done["backup_manifest"])["data"]["files_restored"] == 1 and lib.read_text() == before
@@ -48,7 +53,7 @@ def test_syntax_gate_leaves_files(spark, tree):
     lib = tree / "src/lib.rs"
     before = lib.read_text()
     with pytest.raises(SpanError) as e:
-        c.patch(spark, str(lib), "helper", "pub fn helper( {")
+        c.patch(spark, str(lib), "ballast", "pub fn ballast( {")
     assert e.value.kind == "ParseValidationFailed" and lib.read_text() == before
     with pytest.raises(SpanError) as e:
         c.patch(spark, str(lib), "absent", "x")
@@ -56,10 +61,48 @@ def test_syntax_gate_leaves_files(spark, tree):
 
 
 def test_delete_takes_references_of_importers(spark, tree):
-    done = c.delete(spark, str(tree / "src/lib.rs"), "helper")["data"]
+    done = c.delete(spark, str(tree / "src/lib.rs"), "ballast")["data"]
     assert done["references"] == 2 and done["files_modified"] == 2
-    assert "helper()" not in (tree / "src/a.rs").read_text() and "// helper 42" in (tree / "src/lib.rs").read_text()
-    assert "helper()" in (tree / "src/b.rs").read_text()
+    assert "ballast()" not in (tree / "src/a.rs").read_text() and "// ballast 42" in (tree / "src/lib.rs").read_text()
+    assert "ballast()" in (tree / "src/b.rs").read_text()
+
+
+def test_delete_warns_of_globs(spark, tree):
+    (tree / "src/b.rs").write_text("use crate::*;\nfn list() { ballast(); }\n")
+    done = c.delete(spark, str(tree / "src/lib.rs"), "ballast")["data"]
+    assert done["references"] == 3 and "glob" in done["warnings"][0]
+
+
+def test_every_bad_edit_is_told(spark, tree):
+    batch = tree / "batch.json"
+    batch.write_text(json.dumps({"batches": [{"replacements": [{"file": "src/b.rs", "start": 900 + i, "end": 990, "content": "x"} for i in range(30)]}]}))
+    with pytest.raises(SpanError) as e:
+        c.patch_batch(spark, str(batch))
+    assert len(e.value.payload()["error"]["diagnostics"]) == 30
+
+
+def test_compilers_run_after_the_write_and_undo_it(spark, tmp_path):
+    good = tmp_path / "good.py"
+    good.write_text("def row():\n    return 1\n")
+    done = c.patch(spark, str(good), "row", "def row():\n    return 2", compilers=True)
+    assert done["status"] == "ok" and "return 2" in good.read_text()
+    before = good.read_text()
+    with pytest.raises(SpanError) as e:  # it parses, but does not compile
+        c.patch(spark, str(good), "row", "def row():\n    break", compilers=True)
+    told = e.value.payload()["error"]["diagnostics"]
+    assert e.value.kind == "CompilerValidationFailed" and told[0]["tool"] == "python" and "outside loop" in told[0]["message"] and "tool_version" in told[0]
+    assert good.read_text() == before
+    with pytest.raises(SpanError) as e:
+        gates.analyzer_gate(str(tmp_path), str(tmp_path / "absent"))
+    assert e.value.kind == "AnalyzerNotAvailable"
+    gates.analyzer_gate(str(tmp_path), "off")
+
+
+def test_missing_tools_pass_and_say_so(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("PATH", str(tmp_path))
+    assert gates.tool_metadata("rust") == {"tool": "cargo", "tool_path": None, "tool_version": None}
+    said, found = gates.compiler_gate(spark, ["a.c", "b.c"], "c")
+    assert [(x["is_valid"], x["tool_available"]) for x in said] == [(True, False)] * 2 and found.count() == 0
 
 
 def test_batch_all_or_nothing(spark, tree):
@@ -68,7 +111,7 @@ def test_batch_all_or_nothing(spark, tree):
     body = {"batches": [{"replacements": [{"file": "src/a.rs", "start": 0, "end": 3, "content": "use"}, {"file": "src/b.rs", "start": 0, "end": 2, "with": "new.txt"}]}]}
     batch.write_text(json.dumps(body))
     done = c.patch_batch(spark, str(batch), validate=False)["data"]
-    assert len(done["files"]) == 2 and (tree / "src/b.rs").read_text().startswith("two g()")
+    assert len(done["files"]) == 2 and (tree / "src/b.rs").read_text().startswith("two list()")
     body["batches"][0]["replacements"][1] = {"file": "src/b.rs", "start": 0, "end": 9999, "content": "x"}
     body["batches"][0]["replacements"][0]["content"] = "USE"
     batch.write_text(json.dumps(body))
@@ -83,13 +126,13 @@ def test_batch_all_or_nothing(spark, tree):
 
 
 def test_plan_stops_at_the_first_failure(spark, tree):
-    (tree / "w.rs").write_text("fn g() { 2; }")
+    (tree / "w.rs").write_text("fn list() { 2; }")
     plan = tree / "plan.json"
-    step = {"file": "src/b.rs", "symbol": "g", "kind": "function", "with": "w.rs"}
+    step = {"file": "src/b.rs", "symbol": "list", "kind": "function", "with": "w.rs"}
     plan.write_text(json.dumps({"steps": [step, step | {"symbol": "absent"}]}))
     with pytest.raises(SpanError) as e:
         c.run_plan(spark, str(plan))
-    assert "step 2" in str(e.value) and (tree / "src/b.rs").read_text().startswith("fn g() { 2; }")
+    assert "step 2" in str(e.value) and (tree / "src/b.rs").read_text().startswith("fn list() { 2; }")
     for bad in ({"steps": []}, {"steps": [step | {"symbol": " "}]}, {"steps": [step | {"kind": "class"}]}):
         plan.write_text(json.dumps(bad))
         with pytest.raises(SpanError) as e:
@@ -99,7 +142,7 @@ def test_plan_stops_at_the_first_failure(spark, tree):
 
 def test_apply_files_leaves_comments(spark, tree):
     done = c.apply_files(spark, str(tree / "src/*.rs"), "42", "43")["data"]
-    assert done["replacements"] == 1 and "// helper 42\nconst X: i32 = 43;" in (tree / "src/lib.rs").read_text()
+    assert done["replacements"] == 1 and "const TONS: i32 = 43;\n// ballast 42" in (tree / "src/lib.rs").read_text()
     (tree / "src/x.odd").write_text("42")
     with pytest.raises(Exception, match="unknown language"):
         files.scan_glob(spark, str(tree / "src/*")).collect()
@@ -109,10 +152,10 @@ def test_index_query_get_and_cli(spark, tree, tmp_path, capsys):
     db = str(tmp_path / "db")
     assert cli.main(["index", "--root", str(tree), "--db", db], spark) == 0
     rows = c.query(spark, db, ["rust", "fn"], show_code=True)["data"]["symbols"]
-    assert {r["name"] for r in rows} == {"helper", "main", "f", "g"} and all(r["code"].startswith(("fn", "pub fn")) for r in rows)
+    assert {r["name"] for r in rows} == {"ballast", "load", "trim", "list"} and all(r["code"].startswith(("fn", "pub fn")) for r in rows)
     assert c.query(spark, db, ["rust", "absent"], count=True)["data"]["counts"] == [{"label": "absent", "n_entities": 0}, {"label": "rust", "n_entities": 4}]
-    one = next(r for r in rows if r["name"] == "g")
-    assert c.get(spark, db, one["file_path"], one["byte_start"], one["byte_end"])["data"]["content"] == "fn g() { helper(); }"
+    one = next(r for r in rows if r["name"] == "list")
+    assert c.get(spark, db, one["file_path"], one["byte_start"], one["byte_end"])["data"]["content"] == "fn list() { ballast(); }"
     capsys.readouterr()
     assert cli.main(["patch", "--file", "absent.rs", "--symbol", "s", "--with", str(tree / "Cargo.toml")], spark) == 1
     assert json.loads(capsys.readouterr().err)["error"]["kind"] == "Io"
@@ -133,3 +176,50 @@ def test_stream_indexes_each_file_once(spark, tree, tmp_path):
     index_stream(spark, str(tree / "src"), out, mark).awaitTermination(120)
     names = extract.table(spark.read.parquet(out), "symbols")
     assert n == 4 and names.count() == 5 and names.where("name = 'late'").count() == 1
+
+
+def _names(spark, out):
+    return sorted(r.name for r in extract.table(incremental.current(spark, out), "symbols").collect())
+
+
+def test_refresh_minds_changed_and_deleted_files(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "facts")
+    src.mkdir()
+    for name, code in (("a.rs", "fn one() {}"), ("b.py", "def two(): pass\n"), ("__init__.py", "def start(): pass\n")):
+        (src / name).write_text(code)
+    assert incremental.refresh(spark, str(src), out) == {"new": 3, "changed": 0, "deleted": 0, "same": 0}
+    assert _names(spark, out) == ["one", "start", "two"]
+    (src / "a.rs").write_text("fn uno() {}\nfn eins() {}")
+    (src / "b.py").unlink()
+    (src / "c.c").write_text("int four() { return 4; }")
+    assert incremental.refresh(spark, str(src), out) == {"new": 1, "changed": 1, "deleted": 1, "same": 1}
+    assert _names(spark, out) == ["eins", "four", "start", "uno"]
+    assert incremental.refresh(spark, str(src), out) == {"new": 0, "changed": 0, "deleted": 0, "same": 3}
+    assert _names(spark, out) == ["eins", "four", "start", "uno"]
+
+
+def test_globs(spark, tmp_path):
+    for name in ("a.py", "p/__init__.py", "p/q/b.py", "p/_in/c.py", ".h/d.py", "p/e.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    found = lambda g: sorted(r.file_path[len(str(tmp_path)) + 1 :] for r in files.scan_glob(spark, f"{tmp_path}/{g}").collect())
+    assert found("**/*.py") == ["a.py", "p/__init__.py", "p/_in/c.py", "p/q/b.py"]
+    assert found("*.py") == ["a.py"] and found("p/?/[a-c].{py,rs}") == ["p/q/b.py"] and found("absent/*.py") == [] and found("a.py") == ["a.py"]
+
+
+def test_executors_get_the_package(tmp_path):
+    """Workers whose path lacks the repository still parse: the driver ships the package."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from lexispan.session import session
+from lexispan.operators import extract, gates
+spark = session(**{{"spark.ui.enabled": "false", "spark.master": "local[2]"}})
+rows = extract.source_files(spark.createDataFrame([("a.rs", "fn one() {{}}")], "file_path string, content string"))
+assert extract.table(extract.facts(rows), "symbols").first().name == "one"
+assert gates.parse_gate(rows, "content").first().is_valid
+print("parsed")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "parsed" in run.stdout, run.stderr[-2000:]

@@ -92,3 +92,22 @@ def test_diagnostics(spark, tool, file, output, want):
 def test_verdict_is_of_the_batch(spark):
     rows = rewrite.verdict(spark.createDataFrame([(1, True), (1, False), (2, True)], "batch_no int, is_valid boolean"))
     assert rows.where("applied").select(F.collect_set("batch_no")).first()[0] == [2]
+
+
+def test_covered_points(spark):
+    spans_ = spark.createDataFrame([("a", 2, 9), ("a", 3, 4), ("a", 12, 12), ("b", 0, 1), (None, 0, 99)], "k string, byte_start bigint, byte_end bigint")
+    points = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(14)], "k string, byte_start bigint")
+    got = sorted((r.k, r.byte_start) for r in spans.covered(points, spans_, ["k"]).where("covered").collect())
+    assert got == [("a", i) for i in range(2, 9)] + [("b", 0)]
+
+
+def test_many_edits_of_one_file(spark):
+    """Splicing, checks and previews of thousands of edits in one text: bytes are made once, lines come from one sort."""
+    n = 6000
+    files = spark.createDataFrame([("a", "xé\n" * n)], FILES)
+    cols = "batch_no bigint, ordinal bigint, file_path string, byte_start bigint, byte_end bigint, content string"
+    edits = spark.range(n).selectExpr("0L AS batch_no", "id AS ordinal", "'a' AS file_path", "id * 4 AS byte_start", "id * 4 + 1 AS byte_end", "'yy' AS content").to(spark.createDataFrame([], cols).schema)
+    assert rewrite.checked(edits, files).where("problem IS NOT NULL").count() == 0
+    assert rewrite.rewritten(edits, files).first().after == "yyé\n" * n
+    seen = rewrite.preview(edits, files)
+    assert seen.where("line_start <> ordinal + 1 OR lines_removed <> 1 OR bytes_added <> 2").count() == 0 and seen.count() == n

@@ -411,7 +411,7 @@ def similar_kept(docs: DataFrame, words: int = 5, seed: int = 42, distance: int
     low = ids.groupBy("t").agg(F.min("doc_id").alias("low"))
     nodes = written(found.groupBy("node").agg(F.min("t").alias("t"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).join(low, "t"), "nodes")
     same = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    near = links(same, distance)
+    near = links(same, distance).distinct()  # a pair may meet in several segments
     first = near.join(same.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     alike = nodes.join(same.withColumnRenamed("node", "x"), "fp").select("x", F.col("node").alias("y")).where("x <> y")
     pairs, edges, joined = first.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), None, None

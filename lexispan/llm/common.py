@@ -9,26 +9,12 @@ import re
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session: they need not share a folder with the driver."""
-    context = spark.sparkContext
-    if getattr(context, "_lexispan_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="lexispan-"))
-    with zipfile.ZipFile(folder / "lexispan_pkg.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    context.addPyFile(str(folder / "lexispan_pkg.zip"))
-    context._lexispan_shipped = True
+from lexispan.session import ship  # noqa: F401  the operators take it from here
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,6 +15,13 @@ prefix that both sides share with the last winner. Common prefixes of neighbours
 then tell, for each d, which anchors agree in the length - d bytes that follow;
 those that agree in the d bytes before too hold the same string.
 
+A gram that occurs more often than a reducer should hold is split by content. The
+distances d are cut into ranges; strings of a range share the bytes that all of
+them cover, so only contexts whose shared bytes occur twice can repeat there, and
+these, trimmed to the range, are dealt by the shared bytes and merged as others
+are. Where shared bytes occur too often for a reducer, each string is dealt by
+itself, and alike ones are one before they meet.
+
 Passages of so many words that have fewer bytes than the length are strings of
 the same kind, of several lengths: each has the smallest gram inside it as its
 anchor, lies inside that anchor's context, and is told by its hash.
@@ -299,22 +306,39 @@ def repeated_levels(items: list[list], length: int, reach: int, words: int = 0)
     return [(items[i][5], items[i][6], packed_spans(hit[i], own.get(i, []))) for i in sorted({*some, *own})]
 
 
+def ranges(length: int, reach: int, number: int = 8) -> list[tuple[int, int]]:
+    """The distances 0 to ``reach`` in ``number`` ranges, first and last."""
+    edges = [(reach + 1) * i // number for i in range(number + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+
+
+def shared_bytes(line: bytes, left: int, length: int, cuts: list[tuple[int, int]]) -> list[tuple[int, bytes]]:
+    """(-1 - number, bytes) of each range of distances whose strings the context could hold: what all its strings cover."""
+    return [(-1 - i, line[left - lo : left + length - hi]) for i, (lo, hi) in enumerate(cuts) if lo <= left and length - hi <= len(line) - left]
+
+
+def trimmed(line: bytes, left: int, length: int, lo: int, hi: int) -> tuple[bytes, int, int]:
+    """(context, right, left) that holds the strings of the distances lo to hi and no more."""
+    before, after = line[max(0, left - hi) : left], line[left : left + length - lo]
+    return after + before[::-1], len(after), len(before)
+
+
 def _digest(s: bytes, r: int) -> tuple[int, int]:
     d = hashlib.blake2b(s, digest_size=16, salt=r.to_bytes(4, "little")).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_000_000, words: int = 0) -> DataFrame:
+def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_000, words: int = 0) -> DataFrame:
     """(k1, k2, spans) of the documents with repeated strings, or passages of ``words`` words, spans being (start, end) in bytes, in no order.
 
     k1 and k2 name a document: its id (null: -1) and its text's hash. ``each``:
-    about as many contexts meet in a reducer. Grams that occur over ``hot`` times
-    count their strings one by one instead, spread by the strings' hashes; below
-    that a gram's contexts, alike ones taken together in each run, fit a task.
+    about as many contexts meet in a reducer. Grams that occur over ``hot`` times are
+    split by content, and so are ranges whose shared bytes occur over ``hot`` times.
     """
     spark = docs.sparkSession
     ship(spark)
     reach = length - GRAM
+    cuts = ranges(length, reach)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), "text").where(F.octet_length("text") >= (min(length, max(GRAM, 2 * words - 1)) if words else length))
 
     def find(batches):
@@ -330,104 +354,171 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
     twice = written(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
     total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_parts = max(parts(spark), total // each)
-    places = found.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gram", (F.col("n") > hot).alias("hot"))).alias("places"))
+    # a set: rows alike have the same places, which stand once however many rows there are
+    places = found.join(twice, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "gram", (F.col("n") > hot).alias("hot"))).alias("places"))
+    kinds = "kind int, part long, c1 long, c2 long, k1 long, k2 long, pos int, blob binary, n long"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def rows(kind, part, c1, c2, k1, k2, pos, blob, n):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int64()), *(pa.array(v, pa.int64()) for v in (c1, c2, k1, k2)), pa.array(pos, pa.int32()), pa.array(blob, pa.binary()), pa.array(n, pa.int64())], names)
+
+    def runs_out(runs, task):
+        """Kind 1: sorted runs, by reducer."""
+        for part, own in runs.items():
+            items = sorted((s, r, left, n, c1, c2) for (s, r), (left, n, c1, c2) in own.items())
+            for at in range(0, len(items), 20_000):
+                yield rows(1, [part], [task], [0], [0], [0], [0], [front_coded(items[at : at + 20_000])], [len(items[at : at + 20_000])])
+
+    def hot_out(crowd):
+        """Kind 3: contexts of hot grams; kind 2: hashes of the bytes that their ranges share, and of their passages."""
+        told: list[list] = [[], [], [], [], [], []]
+        for (s, r), (left, n, c1, c2) in crowd.items():
+            line = s[r:][::-1] + s[:r]
+            keys = shared_bytes(line, left, length, cuts)
+            if words:
+                keys += [(x << 16 | y, line[left - x : left + y]) for x, y in passages(line, left, length, words, r)]
+            for code, body in keys:
+                h = _digest(body, code & 0xFFFFFFFF)  # a string counts once for each of its anchors
+                for v, x in zip(told, (h[0], c1, c2, h[1], code, n), strict=True):
+                    v.append(x)
+            if len(told[0]) > 50_000:
+                yield rows(2, told[0], told[1], told[2], told[3], [0] * len(told[0]), told[4], [None] * len(told[0]), told[5])
+                told = [[], [], [], [], [], []]
+        yield rows(2, told[0], told[1], told[2], told[3], [0] * len(told[0]), told[4], [None] * len(told[0]), told[5])
+        items = list(crowd.items())
+        for at in range(0, len(items), 5000):
+            own = items[at : at + 5000]
+            yield rows(3, [0] * len(own), [v[2] for _, v in own], [v[3] for _, v in own], [v[0] for _, v in own], [0] * len(own), [k[1] for k, _ in own], [k[0] for k, _ in own], [v[1] for _, v in own])
 
     def contexts(batches):
-        """Members of contexts, runs of contexts by reducer, and the strings of hot grams."""
+        """Kind 0: members of contexts; then what their grams' kinds ask for."""
         task = TaskContext.get().partitionId()
-        names = ["kind", "part", "c1", "c2", "k1", "k2", "pos", "blob", "n"]
         runs: dict[int, dict] = {}
+        crowd: dict[tuple, list] = {}
         held = 0
-
-        def rows(kind, part, c1, c2, k1, k2, pos, blob, n):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int64()), *(pa.array(v, pa.int64()) for v in (c1, c2, k1, k2)), pa.array(pos, pa.int32()), pa.array(blob, pa.binary()), pa.array(n, pa.int64())], names)
-
-        def runs_out():
-            for part, own in runs.items():
-                items = sorted((s, r, left, n, c1, c2) for (s, r), (left, n, c1, c2) in own.items())
-                for at in range(0, len(items), 20_000):
-                    yield rows(1, [part], [task], [0], [0], [0], [0], [front_coded(items[at : at + 20_000])], [len(items[at : at + 20_000])])
-
         for batch in batches:
             member: list[list] = [[], [], [], [], []]
-            strings: dict[tuple, list] = {}
             for k1, k2, text, own in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("places").to_pylist(), strict=True):
                 text = text.as_py()
-                for p in {x["pos"]: x for x in own}.values():
+                for p in own:
                     a, part = p["pos"], p["gram"] % n_parts
                     after, before = text[a : a + length], text[max(0, a - reach) : a]
-                    s, r, left = after + before[::-1], len(after), len(before)
-                    seen = None if p["hot"] else runs.setdefault(part, {}).get((s, r))
-                    c1, c2 = seen[2:] if seen else _digest(s, r)
-                    for m, v in zip(member, (c1, c2, k1, k2, a), strict=True):
-                        m.append(v)
-                    if p["hot"]:
-                        strings.setdefault((c1, c2, s, r, left), [0])[0] += 1
-                    elif seen:
+                    s, r = after + before[::-1], len(after)
+                    where = crowd if p["hot"] else runs.setdefault(part, {})
+                    seen = where.get((s, r))
+                    if seen:
                         seen[1] += 1
                     else:
-                        runs[part][s, r] = [left, 1, c1, c2]
+                        seen = where[s, r] = [len(before), 1, *_digest(s, r)]
                         held += len(s)
+                    for m, v in zip(member, (seen[2], seen[3], k1, k2, a), strict=True):
+                        m.append(v)
+                if len(member[0]) > 50_000:
+                    yield rows(0, [0] * len(member[0]), *member, [None] * len(member[0]), [0] * len(member[0]))
+                    member = [[], [], [], [], []]
             yield rows(0, [0] * len(member[0]), *member, [None] * len(member[0]), [0] * len(member[0]))
-            for (c1, c2, s, r, left), (n,) in strings.items():
-                line, d = s[r:][::-1] + s[:r], [d for d in range(max(0, length - r), min(left, reach) + 1)]
-                ends = [(x, length - x) for x in d] + (passages(line, left, length, words, r) if words else [])
-                hashes = [_digest(line[left - x : left + y], x) for x, y in ends]  # a string counts once for each of its anchors
-                if ends:
-                    k = len(ends)
-                    yield rows(2, [h[0] for h in hashes], [c1] * k, [c2] * k, [h[1] for h in hashes], [0] * k, [x << 16 | y for x, y in ends], [None] * k, [n] * k)
             if held > 24 << 20:
-                yield from runs_out()
-                runs, held = {}, 0
-        yield from runs_out()
+                yield from runs_out(runs, task)
+                yield from hot_out(crowd)
+                runs, crowd, held = {}, {}, 0
+        yield from runs_out(runs, task)
+        yield from hot_out(crowd)
 
     # a row that stands twice, as its key then does, has each place twice; all places of a key go to each of its rows
-    mixed = written(keyed.join(places, ["k1", "k2"]).mapInArrow(released(contexts), "kind int, part long, c1 long, c2 long, k1 long, k2 long, pos int, blob binary, n long"), "contexts_z")
+    mixed = written(keyed.join(places, ["k1", "k2"]).mapInArrow(released(contexts), kinds), "contexts_z")
 
-    def merge(batches):
+    def split(batches):
+        """Kind 1: runs of the trimmed contexts of those ranges whose shared bytes occur twice; kind 4: the contexts that each came from."""
+        task = TaskContext.get().partitionId()
+        runs: dict[int, dict] = {}
+        held = 0
+        for batch in batches:
+            came: list[list] = [[], [], [], []]
+            for c1, c2, s, r, left, n, own in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "blob", "r", "left", "n", "own")), strict=True):
+                line, items = s[r:][::-1] + s[:r], []
+                for x in own:
+                    code = x["code"]
+                    if code >= 0:  # a passage
+                        d, m = code >> 16, code & 0xFFFF
+                        items.append((x["s1"], trimmed(line, left, d + m, d, d)))
+                    elif not x["crowded"]:
+                        whole = trimmed(line, left, length, *cuts[-1 - code])
+                        if whole[1] + whole[2] >= length:  # it holds a string
+                            items.append((x["s1"], whole))
+                    else:  # each string by itself
+                        lo, hi = cuts[-1 - code]
+                        alone = [trimmed(line, left, length, d, d) for d in range(max(lo, length - r), min(hi, left) + 1)]
+                        items.extend((_digest(*y[:2])[0], y) for y in alone)
+                for key, (body, right, before) in items:
+                    part = key % n_parts
+                    seen = runs.setdefault(part, {}).get((body, right))
+                    if seen:
+                        seen[1] += n
+                    else:
+                        seen = runs[part][body, right] = [before, n, *_digest(body, right)]
+                        held += len(body)
+                    for v, y in zip(came, (seen[2], seen[3], c1, c2), strict=True):
+                        v.append(y)
+            none = [0] * len(came[0])
+            yield rows(4, none, *came, none, [None] * len(none), none)
+            if held > 24 << 20:
+                yield from runs_out(runs, task)
+                runs, held = {}, 0
+        yield from runs_out(runs, task)
+
+    def solve(items, alone):
+        """(c1, c2, bits) of a stretch of distinct contexts in order; ``alone``: those too short for a string are passages, repeated if they came twice."""
+        if not alone:
+            return repeated_levels(items, length, reach, words)
+        out, whole, share = [], [], length + reach
+        for x in items:
+            share = min(share, x[0])
+            if x[2] + x[3] >= length:
+                x[0], share = share, length + reach
+                whole.append(x)
+            elif x[4] > 1:
+                out.append((x[5], x[6], packed_spans(np.zeros(reach + 1, bool), [x[3], x[2]])))
+        return out + (repeated_levels(whole, length, reach) if whole else [])
+
+    def merge(batches, alone):
         blobs: dict[int, list[bytes]] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 blobs.setdefault(part, []).append(blob)
-        for own in blobs.values():
-            out = []
-
-            def done(items):
-                for c1, c2, bits in repeated_levels(items, length, reach, words):
-                    out.append((c1, c2, bits))
-
-            items: list[list] = []
-            for x in merged(own):
+        for part in list(blobs):
+            out, items = [], []
+            for x in merged(blobs.pop(part)):
                 if items and x[0] == len(x[1]) == len(items[-1][1]) and x[2] == items[-1][2]:
                     items[-1][4] += x[4]
                     continue
                 if len(items) >= 20_000 and x[0] < GRAM:  # no string begins alike on both sides
-                    done(items)
+                    out.extend(solve(items, alone))
                     items = []
                 items.append(list(x))
-            done(items)
+            out.extend(solve(items, alone) if items else [])
             for at in range(0, len(out), 10_000):
                 c1, c2, bits = zip(*out[at : at + 10_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bits, pa.binary())], ["c1", "c2", "bits"])
 
-    cold = mixed.where("kind = 1").select("part", "blob").repartition(int(n_parts), "part").mapInArrow(released(merge), "c1 long, c2 long, bits binary")
+    def merge_whole(batches):
+        return merge(batches, False)
+
+    def merge_split(batches):
+        return merge(batches, True)
+
+    def solved_runs(runs, how):
+        return runs.where("kind = 1").select("part", "blob").repartition(int(n_parts), "part").mapInArrow(released(how), "c1 long, c2 long, bits binary")
+
+    solved, dealt = solved_runs(mixed, merge_whole), None
     if twice.where(F.col("n") > hot).limit(1).count():
-        strings = mixed.where("kind = 2").select(F.col("part").alias("s1"), F.col("k1").alias("s2"), "c1", "c2", F.col("pos").alias("d"), "n")
-        more = strings.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2")
-        level = strings.join(more, ["s1", "s2"]).groupBy("c1", "c2").agg(F.collect_set("d").alias("levels"))
-
-        def bits(batches):
-            for b in batches:
-                out = []
-                for v in b.column("levels").to_pylist():
-                    hit = np.zeros(reach + 1, bool)
-                    ends = [(x >> 16, x & 0xFFFF) for x in v]
-                    hit[[x for x, y in ends if x + y == length]] = True
-                    out.append(packed_spans(hit, [z for x, y in ends if x + y < length for z in (x, y)]))
-                yield pa.RecordBatch.from_arrays([b.column("c1"), b.column("c2"), pa.array(out, pa.binary())], ["c1", "c2", "bits"])
-
-        cold = cold.unionByName(level.mapInArrow(released(bits), "c1 long, c2 long, bits binary"))
-    solved = written(cold, "repeats")
+        shared = mixed.where("kind = 2").select(F.col("part").alias("s1"), F.col("k1").alias("s2"), "c1", "c2", F.col("pos").alias("code"), "n")
+        again = shared.groupBy("s1", "s2").agg(F.sum("n").alias("m")).where("m > 1").select("s1", "s2", (F.col("m") > hot).alias("crowded"))
+        asked = shared.join(again, ["s1", "s2"]).groupBy("c1", "c2").agg(F.collect_set(F.struct("code", "s1", "crowded")).alias("own"))
+        crowd = mixed.where("kind = 3").groupBy("c1", "c2").agg(F.first("blob").alias("blob"), F.first("pos").alias("r"), F.first("k1").alias("left"), F.sum("n").alias("n"))
+        dealt = written(crowd.join(asked, ["c1", "c2"]).mapInArrow(released(split), kinds), "split_z")
+        back = dealt.where("kind = 4").select("c1", "c2", "k1", "k2").join(solved_runs(dealt, merge_split), ["c1", "c2"]).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "bits")
+        solved = solved.unionByName(back)
+    solved = written(solved, "repeats")
 
     def intervals(batches):
         for b in batches:
@@ -453,11 +544,11 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 1_0
 
     where = mixed.where("kind = 0").select("c1", "c2", "k1", "k2", "pos").join(solved, ["c1", "c2"]).select("k1", "k2", "pos", "bits").mapInArrow(released(intervals), "k1 long, k2 long, start int, end int")
     out = written(where.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    discard(found, twice, mixed, solved)
+    discard(found, twice, mixed, dealt, solved)
     return out
 
 
-def remove(docs: DataFrame, length: int = 400, hot: int = 1_000_000, as_text: bool = False, words: int = 0) -> DataFrame:
+def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool = False, words: int = 0) -> DataFrame:
     """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else

@@ -1,6 +1,8 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic model of a text's form gives each document's evidence. Hosts and paths
+A logistic model of a text's form and of its words gives each document's evidence;
+what a word says is its log odds in labelled texts, learnt on other texts than the
+model's weights are. Hosts and paths
 are groups whose share of good documents is drawn from a Beta prior: the global
 mean for hosts, the host's posterior for paths. Grouped sums give the groups'
 shares and, by moments, how strongly the priors hold, so sites with few documents
@@ -26,33 +28,52 @@ _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
 _KIND[[9, 10, 11, 12, 13, 32]] = 5
 
 
-def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Form of each text: length, word length, shares of capitals, digits, marks and line ends, distinct words, words that repeat the one before."""
-    body, out = data.tobytes(), np.zeros((len(at) - 1, 9))
+def word_odds(texts: list[bytes], good: np.ndarray, least: int = 4) -> dict[bytes, float]:
+    """Log odds of good for the words, lower-cased, that stand in at least ``least`` texts: by the texts of each class that hold them, smoothed by a half."""
+    held: dict[bytes, list[int]] = {}
+    for b, y in zip(texts, good.astype(int).tolist(), strict=True):
+        for w in set(b.lower().split()):
+            held.setdefault(w, [0, 0])[y] += 1
+    n = np.bincount(good.astype(int), minlength=2) + 1
+    return {w: float(np.log((k[1] + 0.5) / n[1]) - np.log((k[0] + 0.5) / n[0])) for w, k in held.items() if sum(k) >= least}
+
+
+def features(data: np.ndarray, at: np.ndarray, odds: dict[bytes, float]) -> np.ndarray:
+    """Of each text: length, word length, shares of capitals, digits, marks and line ends, distinct words, words that repeat the one before; mean of its words' log odds, and share of words that have any."""
+    body, out = data.tobytes(), np.zeros((len(at) - 1, 11))
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         n = np.bincount(_KIND[data[a:b]], minlength=6)
         words, own = body[a:b].split(), max(1, b - a)
         w = max(1, len(words))
         letters = max(1, n[1] + n[2])
         again = sum(x == y for x, y in zip(words, words[1:]))  # noqa: B905  one is shorter
-        out[i] = (np.log1p(len(words)), own / w, n[2] / letters, n[3] / own, n[4] / own, n[4] / w, np.log1p(len(set(words))) - np.log1p(len(words)), again / w, body.count(b"\n", a, b) / w)
+        told = [o for o in map(odds.get, body[a:b].lower().split()) if o is not None]
+        out[i] = (np.log1p(len(words)), own / w, n[2] / letters, n[3] / own, n[4] / own, n[4] / w, np.log1p(len(set(words))) - np.log1p(len(words)), again / w, body.count(b"\n", a, b) / w, sum(told) / w, len(told) / w)
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = 6000) -> dict:
-    """Logistic weights from at most ``each`` labelled texts of the smallest hashed ids, whose crc32(id) mod 3 is not 1; of one class or none: no evidence."""
+    """Words' odds from every second, and logistic weights from the others, of at most ``each`` labelled texts of the smallest hashed ids, whose crc32(id) mod 3 is not 1; of one class or none: no evidence."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.lit(5), "doc_id")).limit(each)
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # one text for each id, so that what the driver gets is bounded by the ids
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     y = np.array([r.quality for r in rows], float)
     if len(set(y.tolist())) < 2:
         return {"weights": None, "prior": float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5}
-    data, at = flat(pa.array([r.text for r in rows]))
-    x = features(data, at)
+    texts = [r.text.encode() for r in rows]
+    half = np.arange(len(y)) % 2 == 0
+    if len(set(y[half])) < 2 or len(set(y[~half])) < 2:  # too few to part
+        odds, half = {}, np.zeros(len(y), bool)
+    else:
+        odds = word_odds([t for t, h in zip(texts, half, strict=True) if h], y[half])
+    y = y[~half]
+    data, at = flat(pa.array([r.text for r, h in zip(rows, half, strict=True) if not h]))
+    x = features(data, at, odds)
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - mean) / spread, -8, 8)
-    return {"mean": mean, "spread": spread, "weights": logistic(np.hstack((z, z * z)), y, ridge=1.0), "prior": float(np.clip(y.mean(), 0.01, 0.99))}
+    return {"odds": odds, "mean": mean, "spread": spread, "weights": logistic(np.hstack((z, z * z)), y, ridge=1.0), "prior": float(np.clip(y.mean(), 0.01, 0.99))}
 
 
 def evidence(docs: DataFrame, model: dict) -> DataFrame:
@@ -66,7 +87,7 @@ def evidence(docs: DataFrame, model: dict) -> DataFrame:
                 if model["weights"] is None:
                     p = np.full(len(part), model["prior"])
                 else:
-                    z = np.clip((features(data, at) - model["mean"]) / model["spread"], -8, 8)
+                    z = np.clip((features(data, at, model["odds"]) - model["mean"]) / model["spread"], -8, 8)
                     p = 1 / (1 + np.exp(-np.clip(np.hstack((z, z * z)) @ model["weights"][:-1] + model["weights"][-1], -12, 12)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "host", "path")), pa.array(p)], ["doc_id", "host", "path", "p"])
 

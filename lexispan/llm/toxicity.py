@@ -140,9 +140,8 @@ def fit(texts: list[bytes], toxic: list[int]) -> dict | None:
     if not bad or not good or len(set(y[rest])) < 2:
         return None
     words = telling_words(bad, good)
-    samples = [b[i : i + 256] for b in good for i in range(0, len(b), 1024)]
-    every = max(1, len(samples) // 20_000)
-    model = {"ordinary": trained(samples[::every], ORDINARY, 64, 8), "toxic": trained([b"".join(w) for w in words], TOXIC, 16, 6)}
+    samples = [b[i : i + 1024] for b in good for i in range(0, len(b), 1024)]
+    model = {"ordinary": trained(samples, ORDINARY, 64, 8), "toxic": trained([b"".join(w) for w in words], TOXIC, 16, 6)}
     x = Compressors(model["ordinary"], model["toxic"]).features([texts[i] for i in rest])
     model["weights"] = logistic(x, y[rest])
     return model
@@ -154,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, each: int = 3000) -> dict | None:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(3), "doc_id")
     chosen = known.where("toxic = 1").orderBy(order).limit(each).unionByName(known.where("toxic = 0").orderBy(order).limit(2 * each))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    # one text for each id, so that what the driver gets is bounded by the ids
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text.encode() for r in rows], [r.toxic for r in rows])
 

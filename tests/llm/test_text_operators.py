@@ -166,6 +166,24 @@ def test_suffix_dedup_is_brute_force(docs, empty, hot):
     assert all(r.kept.encode().decode() == r.kept for r in whole)
 
 
+def test_suffix_dedup_of_hot_grams(spark):
+    """One gram in every text, in long and short passages, split by content and string by string; rows alike in id and text."""
+    import hashlib
+
+    rng = random.Random(12)
+    gram, page = prose(rng, 12)[:70], prose(rng, 90)
+    texts = [prose(rng, rng.randint(0, 40)) + rng.choice([gram, page[:300], page[:420], page[100:505], page]) + prose(rng, rng.randint(0, 60)) for _ in range(160)]
+    texts += [texts[3]] * 40
+    rows = [(i if i < 160 else 160, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = sorted(brute.repeats(texts))
+    for hot in (40_000, 60, 1):
+        got = suffix_dedup.remove(table, 400, hot=hot).collect()
+        assert sorted((r.n_bytes, r.n_removed, len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == want
+    short = [sorted(map(str, ((r.doc_id, r.removed) for r in suffix_dedup.remove(table, 400, hot=hot, words=30).collect()))) for hot in (40_000, 60, 1)]
+    assert short[0] == short[1] == short[2] and short[0] != sorted(map(str, ((r.doc_id, r.removed) for r in suffix_dedup.remove(table, 400).collect())))
+
+
 def test_suffix_merge_keeps_order_and_prefixes():
     rng = random.Random(3)
     pool = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))).encode() for _ in range(400)]
@@ -277,9 +295,9 @@ def test_packing_plan_uses_each_piece_once():
     assert [sums.fill(left, g, n) for g, n in ((3, 1), (4, 2), (5, 3), (2, 2), (5, 2), (4, 3), (3, 3))] == [(3,), (3, 1), (3, 1, 1), (1, 1), (), (), ()]
 
 
-def test_packing_uses_pairs_and_triples(tmp_path):
+def test_packing_uses_pairs_and_triples():
     counts = np.zeros(101, np.int64)
-    counts[[90, 80, 70, 55, 10, 20, 12, 18, 25]] = [30, 30, 40, 9, 30, 20, 25, 30, 20]
+    counts[[80, 20, 60, 25, 15, 71, 9, 8, 12]] = 10  # 80 + 20, 60 + 25 + 15, 71 + 12 + 9 + 8
     patterns = packing.plan(counts, 100)
     full = {n: sum(t for own, t in patterns if len(own) == n and sum(own) == 100) for n in (2, 3, 4)}
     assert min(full.values()) > 0 and sum(t for _, t in patterns) <= brute.best_fit(counts, 100)
@@ -328,6 +346,71 @@ def test_quality(spark, docs, empty):
     assert one.count() == 400
 
 
+def test_quality_is_brute_force(spark, docs):
+    """Every number of classify, by loops over rows, words and sites; null sites and paths together."""
+    import math
+
+    texts, marks = labelled(spark)
+    both = texts.unionByName(docs).withColumn("source", F.when(F.col("doc_id") % 7 != 0, F.col("source"))).withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang"))).persist()
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+    got = quality.classify(both, marks, F.col("source"), path).collect()
+    model = quality.fit(both, marks)
+    rows = []
+    for r in both.collect():
+        b = (r.text or "").encode()
+        words = b.split()
+        w, own = max(1, len(words)), max(1, len(b))
+        capitals, digits = sum(65 <= c < 91 for c in b), sum(48 <= c < 58 for c in b)
+        letters, signs = capitals + sum(97 <= c < 123 or c > 127 for c in b), sum(33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in b)
+        told = [model["odds"][x] for x in b.lower().split() if x in model["odds"]]
+        x = [math.log1p(len(words)), own / w, capitals / max(1, letters), digits / own, signs / own, signs / w, math.log1p(len(set(words))) - math.log1p(len(words)), sum(p == q for p, q in zip(words, words[1:], strict=False)) / w, b.count(b"\n") / w, sum(told) / w, len(told) / w]
+        z = [min(max((v - m) / s, -8), 8) for v, m, s in zip(x, model["mean"], model["spread"], strict=True)]
+        total = sum(a * c for a, c in zip([*z, *(v * v for v in z), 1], model["weights"], strict=True))
+        rows.append((r.doc_id, r.source, f"{r.source or ''}/{r.lang or ''}", 1 / (1 + math.exp(-min(max(total, -12), 12)))))
+    hosts, paths = {}, {}
+    for _, h, q, p in rows:
+        for table, key in ((hosts, h), (paths, (h, q))):
+            n, good = table.get(key, (0, 0.0))
+            table[key] = (n + 1, good + p)
+    total, mean = len(rows), sum(r[3] for r in rows) / len(rows)
+    share = {h: g / n for h, (n, g) in hosts.items()}
+    host_weight = quality.prior_weight(sum(n * (share[h] - mean) ** 2 for h, (n, _) in hosts.items()), len(hosts), mean * (1 - mean), total)
+    drawn = sum(n * share[h] * (1 - share[h]) for (h, _), (n, _) in paths.items()) / total
+    path_weight = quality.prior_weight(sum(n * (g / n - share[h]) ** 2 for (h, _), (n, g) in paths.items()), len(paths), drawn, total)
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    want = []
+    for i, h, q, p in rows:
+        up = (max(hosts[h][1] - p, 0) + host_weight * mean) / (hosts[h][0] - 1 + host_weight)
+        down = (max(paths[h, q][1] - p, 0) + path_weight * up) / (paths[h, q][0] - 1 + path_weight)
+        want.append((i is None, i or 0, str(h), q, up, down, 1 / (1 + math.exp(-(logit(down) + logit(p) - math.log(model["prior"] / (1 - model["prior"])))))))
+    found = sorted((r.doc_id is None, r.doc_id or 0, str(r.host), r.path, r.host_posterior, r.path_posterior, r.score) for r in got)
+    assert [r[:4] for r in found] == [r[:4] for r in sorted(want)]
+    assert np.allclose([r[4:] for r in found], [r[4:] for r in sorted(want)], atol=1e-9)
+
+
+def test_toxicity_is_brute_force(spark, docs):
+    """Scores by a compressor call for each window, and the labels that training may see."""
+    import math
+
+    import zstandard
+
+    texts, marks = labelled(spark)
+    model = toxicity.train(texts, marks)
+    turned = marks.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.train(texts, turned)
+    assert model["toxic"] == again["toxic"] and model["ordinary"] == again["ordinary"] and (model["weights"] == again["weights"]).all()
+    c = toxicity.Compressors(model["ordinary"], model["toxic"])
+    both = texts.limit(60).unionByName(docs)
+    for r in toxicity.score(both, model).collect():
+        b = (r.text or "").encode()
+        starts = [0, *range(toxicity.STEP, max(1, len(b) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)] if b else []
+        gains = [max(0, len(c.plain.compress(b[i : i + toxicity.WINDOW])) - len(c.both.compress(b[i : i + toxicity.WINDOW]))) for i in starts]
+        x = [math.log1p(sum(gains)), min(max(gains, default=0), 8), min(sum(g >= 2 for g in gains), 20), math.log1p(len(gains)), 1]
+        want = 1 / (1 + math.exp(-min(max(sum(a * w for a, w in zip(x, model["weights"], strict=True)), -30), 30)))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.7) and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert zstandard.ZstdCompressionDict(model["ordinary"], dict_type=zstandard.DICT_TYPE_RAWCONTENT) is not None
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rows = [("big", "big/a", 0.9)] * 200 + [("big", "big/b", 0.1)] + [("poor", "poor/a", 0.1)] * 200 + [("tiny", "tiny/a", 0.0)]
     sites, mean, host_weight, path_weight = quality.posteriors(spark.createDataFrame(rows, "host string, path string, p double"))

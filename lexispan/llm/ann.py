@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Each shard's graph is one row of flat arrays: neighbours of the lowest level, a
-row of slots per vector, and those of the upper levels. Query blocks meet all
-shards, and the shards' nearest are merged.
+row of slots per vector, and those of the upper levels. Query blocks go to each
+shard, whose graph is moved and read once, and the shards' nearest are merged.
 """
 
 from __future__ import annotations
@@ -131,30 +131,42 @@ def index(vectors: DataFrame, shard_rows: int = 4096, m: int = 16, ef: int = 80,
     n = max(1, -(-rows.count() // shard_rows))
     names = ["shard", "dim", "ids", "starts", "vectors", "levels", "entry", "links"]
 
+    def graph(s, batches):
+        own = pa.Table.from_batches(batches).combine_chunks()
+        for at, x in matrices(own.column("embedding")):
+            ids = own.column("vec_id").to_numpy()[at]
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            _, first, of = np.unique(x, axis=0, return_index=True, return_inverse=True)
+            rank = np.argsort(first)  # nodes by their smallest id
+            of = np.argsort(rank)[of.ravel()]
+            by = np.argsort(of, kind="stable")
+            starts = np.concatenate(([0], np.cumsum(np.bincount(of))))
+            node = x[first[rank]]
+            g = build(node, ids[first[rank]], m, ef, seed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s], pa.int64()), pa.array([x.shape[1]], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[by], starts.astype(np.int64), node.astype(np.float64), g.levels.astype(np.int8))), pa.array([g.entry], pa.int32()), pa.array([[v.tobytes() for v in g.links]], pa.list_(pa.binary()))], names
+            )
+
     def graphs(batches):
-        held: dict[int, list] = {}
+        """Shards come one after another, and one is held at a time."""
+        now, held = None, []
         for b in batches:
             shard = b.column("shard").to_numpy()
-            for s in np.unique(shard):
-                held.setdefault(int(s), []).append(b.take(pa.array(np.flatnonzero(shard == s))))
-        for s in sorted(held):
-            own = pa.Table.from_batches(held.pop(s)).combine_chunks()
-            for at, x in matrices(own.column("embedding")):
-                ids = own.column("vec_id").to_numpy()[at]
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
-                _, first, of = np.unique(x, axis=0, return_index=True, return_inverse=True)
-                rank = np.argsort(first)  # nodes by their smallest id
-                of = np.argsort(rank)[of.ravel()]
-                by = np.argsort(of, kind="stable")
-                starts = np.concatenate(([0], np.cumsum(np.bincount(of))))
-                node = x[first[rank]]
-                g = build(node, ids[first[rank]], m, ef, seed)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int64()), pa.array([x.shape[1]], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[by], starts.astype(np.int64), node.astype(np.float64), g.levels.astype(np.int8))), pa.array([g.entry], pa.int32()), pa.array([[v.tobytes() for v in g.links]], pa.list_(pa.binary()))], names
-                )
-
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")).repartition(max(parts(spark), n), "shard")
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if x == y:
+                    continue
+                if held and int(shard[x]) != now:
+                    yield from graph(now, held)
+                    held = []
+                now = int(shard[x])
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from graph(now, held)
+
+    # a partition for each shard: by its hash, several could fall into one
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard")
     return written(dealt.mapInArrow(released(graphs), "shard long, dim int, ids binary, starts binary, vectors binary, levels binary, entry int, links array<binary>"), "graphs"), n
 
 
@@ -178,14 +190,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 160, b
 
     few = max(1, ask.count() // block)
     asked = ask.repartition(few).mapInArrow(released(blocks), "dim int, q_ids binary, q_vectors binary")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    # a graph, then the blocks that it answers; each query asks each shard, as any may hold a nearest one
+    asked = asked.join(graphs.groupBy("dim").agg(F.collect_list("shard").alias("shards")), "dim").select(F.explode("shards").alias("shard"), "dim", "q_ids", "q_vectors")
+    empty = [F.lit(None).cast(graphs.schema[c].dataType).alias(c) for c in ("ids", "starts", "vectors", "levels", "entry", "links")]
+    both = graphs.withColumns({"q_ids": F.lit(None).cast("binary"), "q_vectors": F.lit(None).cast("binary")}).withColumn("kind", F.lit(0))
+    both = both.unionByName(asked.select("shard", "dim", *empty, "q_ids", "q_vectors").withColumn("kind", F.lit(1)))
 
     def answers(batches):
+        ids = starts = g = None
         for b in batches:
             for row in b.to_pylist():
-                x = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-                ids, starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
-                g = Graph(x, np.frombuffer(row["levels"], np.int8), [np.frombuffer(v, np.int32).reshape(len(x), -1) for v in row["links"]], row["entry"])
+                if not row["kind"]:
+                    x = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
+                    ids, starts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
+                    g = Graph(x, np.frombuffer(row["levels"], np.int8), [np.frombuffer(v, np.int32).reshape(len(x), -1) for v in row["links"]], row["entry"])
+                    continue
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, row["dim"])
                 out = [[], [], []]
                 for own, v in zip(q_ids.tolist(), q, strict=True):
@@ -198,6 +217,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 160, b
                         out[0].append(own), out[1].append(j), out[2].append(float(np.sqrt(d)))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    met = graphs.join(asked, ["shard", "dim"]).repartition(max(parts(spark), n)).mapInArrow(released(answers), "query_id long, vec_id long, score double")
+    met = both.repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "dim", "kind").mapInArrow(released(answers), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

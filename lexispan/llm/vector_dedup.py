@@ -25,8 +25,12 @@ def collide(distance: float, width: float) -> float:
     return 1 - 2 * below - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def layout(n: int, cosine: float, width: float = 2.0, bucket: int = 32, miss: float = 1e-3) -> tuple[int, int]:
-    """(k, tables): unrelated vectors come about ``bucket`` to a bucket, links of the least cosine are missed at ``miss``."""
+def layout(n: int, cosine: float, width: float = 2.0, bucket: int = 256, miss: float = 1e-3) -> tuple[int, int]:
+    """(k, tables): unrelated vectors come about ``bucket`` to a bucket, links of the least cosine are missed at ``miss``.
+
+    Comparing a bucket's vectors costs less than moving them to another table, so
+    buckets are full and tables few.
+    """
     near, far = collide(math.sqrt(2 - 2 * cosine), width), collide(math.sqrt(2), width)
     k = max(2, round(math.log(max(n, bucket) / bucket) / -math.log(far)))
     return k, max(1, math.ceil(math.log(miss) / math.log1p(-(near**k))))

@@ -57,6 +57,7 @@ def test_no_rows(spark):
 def test_more_tables_for_more_vectors():
     k1, t1 = vector_dedup.layout(1000, 0.9)
     k2, t2 = vector_dedup.layout(1_000_000, 0.9)
+    assert t2 < vector_dedup.layout(1_000_000, 0.9, bucket=32)[1]
     assert k2 > k1 and t2 > t1
     near = vector_dedup.collide(np.sqrt(0.2), 2.0)
     assert (1 - near**k2) ** t2 <= 1e-3
@@ -78,6 +79,16 @@ def test_search_recall_and_scores(table, rows):
     assert hit / total > 0.95
 
 
+def test_ties_at_the_last_rank_go_to_the_smaller_id(spark):
+    """Vectors at one distance in several shards; and vectors of another dimension in the same shards."""
+    ring = [(i, [float(np.cos(a)), float(np.sin(a))], 0) for i, a in enumerate(np.linspace(0, 2 * np.pi, 48, endpoint=False), 1)]
+    same = [(100 + i, [2.0, 0.0], 0) for i in range(30)] + [(200 + i, [1.0, 0.0, float(i)], 0) for i in range(9)]
+    rows = spark.createDataFrame([(0, [3.0, 0.0], 0), *ring, *same], SCHEMA)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(rows, rows.where("vec_id IN (0, 200)"), 10, shard_rows=12).collect()}
+    assert [got[0, k] for k in range(1, 11)] == [(100 + i, 1.0) for i in range(10)]
+    assert [got[200, k] for k in range(1, 9)] == [(200 + i, float(i)) for i in range(1, 9)]
+
+
 def test_few_candidates_all_come(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (None, [1.0, 1.0], 0)], SCHEMA)
     got = sorted(tuple(r) for r in ann.search(few, few.where("vec_id = 0"), 10).collect())

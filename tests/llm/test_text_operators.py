@@ -430,13 +430,33 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in cp.STAGES[:-1]:
         n = docs.count()
         docs = common.written(stage(spark, docs, str(tmp_path)), f"test-{name}")
-        assert docs.columns == cp.COLUMNS
+        assert docs.columns == list(cp.OWN)
         if name != "mix_sources":
             assert docs.count() <= n
     assert not docs.where("n_chars <> length(text)").where("n_chars IS NOT NULL").count()
     assert cp.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_edges(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, no rows, other columns of clashing names, and no n_chars or lang."""
+    import corpus_pipeline as cp
+
+    marks = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    clash = {c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("score", "kept", "predicted", "size", "copies", "t", "node", "fp", "_t", "spans", "k1", "piece", "target")}
+    now = docs.withColumns(clash).drop("n_chars", "lang")
+    for k, (_, stage) in enumerate(cp.STAGES[:-1]):
+        now = common.written(stage(spark, now, str(tmp_path)), "test-edges")
+        assert now.columns == ["doc_id", "text", "source", *clash]
+        rows = now.collect()
+        assert rows and all(r[c] == c + ("none" if r.doc_id is None else str(r.doc_id)) for r in rows for c in clash)
+        if k == 1:
+            assert sum(not (r.text or "").split() for r in rows) == 1 and max(len(r.text or "") for r in rows) > 30_000
+    assert cp.pack_sequences(spark, now, str(tmp_path)).where("offset < 0 OR length > 1024").count() == 0
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_near_copies_are_confirmed_on_shingles(spark, docs, empty):
     rng = random.Random(12)
     texts = []

@@ -44,8 +44,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexispan.llm.suffix_dedup import remove
 
-    found = remove(table(spark, sf_dir, "documents"), 400)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # strings of 400 bytes go; repeated passages of 51 words, which may be shorter, are told in a column of their own
+    found = remove(table(spark, sf_dir, "documents"), 400, words=51, tell=True)
+    covered = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), covered.alias("n_passage_bytes"))
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

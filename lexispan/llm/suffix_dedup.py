@@ -329,7 +329,7 @@ def _digest(s: bytes, r: int) -> tuple[int, int]:
 
 
 def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_000, words: int = 0) -> DataFrame:
-    """(k1, k2, spans) of the documents with repeated strings, or passages of ``words`` words, spans being (start, end) in bytes, in no order.
+    """(k1, k2, spans) of the documents with repeated strings, or passages of ``words`` words, spans being (start, end, short) in bytes, in no order; short ones are passages.
 
     k1 and k2 name a document: its id (null: -1) and its text's hash. ``each``:
     about as many contexts meet in a reducer. Grams that occur over ``hot`` times are
@@ -522,7 +522,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
 
     def intervals(batches):
         for b in batches:
-            row, start, end = [], [], []
+            row, start, end, short = [], [], [], []
             for i, (pos, body) in enumerate(zip(b.column("pos").to_pylist(), b.column("bits").to_pylist(), strict=True)):
                 cut = reach // 8 + 1
                 d = np.flatnonzero(np.unpackbits(np.frombuffer(body[:cut], np.uint8), bitorder="little"))
@@ -532,33 +532,45 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
                     if last is not None and x <= last:
                         last = end[-1] = max(last, y)
                     else:
-                        row.append(i), start.append(x), end.append(y)
+                        row.append(i), start.append(x), end.append(y), short.append(True)
                         last = y
                 if not len(d):
                     continue
                 edge = np.flatnonzero(np.diff(d) > 1)
                 for x, y in zip(d[np.concatenate(([0], edge + 1))].tolist(), d[np.concatenate((edge, [len(d) - 1]))].tolist(), strict=True):
-                    row.append(i), start.append(pos - y), end.append(pos - x + length)
+                    row.append(i), start.append(pos - y), end.append(pos - x + length), short.append(False)
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["k1", "k2", "start", "end"])
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(short, pa.bool_())], ["k1", "k2", "start", "end", "short"])
 
-    where = mixed.where("kind = 0").select("c1", "c2", "k1", "k2", "pos").join(solved, ["c1", "c2"]).select("k1", "k2", "pos", "bits").mapInArrow(released(intervals), "k1 long, k2 long, start int, end int")
-    out = written(where.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    where = mixed.where("kind = 0").select("c1", "c2", "k1", "k2", "pos").join(solved, ["c1", "c2"]).select("k1", "k2", "pos", "bits").mapInArrow(released(intervals), "k1 long, k2 long, start int, end int, short boolean")
+    out = written(where.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "short")).alias("spans")), "spans")
     discard(found, twice, mixed, dealt, solved)
     return out
 
 
-def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool = False, words: int = 0) -> DataFrame:
-    """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
+def _joined(spans_: list[tuple[int, int]]) -> list[dict]:
+    """Maximal runs of spans."""
+    runs: list[dict] = []
+    for x, y in sorted(spans_):
+        if runs and x <= runs[-1]["end"]:
+            runs[-1]["end"] = max(runs[-1]["end"], y)
+        else:
+            runs.append({"start": x, "end": y})
+    return runs
+
+
+def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool = False, words: int = 0, tell: bool = False) -> DataFrame:
+    """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed, ``removed``, the maximal runs taken out as (start, end), and ``passages``.
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else
     in the input, or with ``words`` a passage of so many whole words, however short
-    in bytes. Null texts are empty; texts shorter than ``length`` lose nothing;
-    rows alike are copies of each other; no documents give none. Columns of the
-    input whose names clash with those added are replaced.
+    in bytes; with ``tell`` such passages stay. ``passages`` has the maximal runs of
+    both kinds. Null texts are empty; texts shorter than ``length`` lose nothing
+    but passages; rows alike are copies of each other; no documents give none. Columns of
+    the input whose names clash with those added are replaced.
     """
     ship(docs.sparkSession)
-    base = docs.drop("kept", "n_bytes", "n_removed", "removed", "k1", "k2", "spans")
+    base = docs.drop("kept", "n_bytes", "n_removed", "removed", "passages", "k1", "k2", "spans")
     found = spans(docs.select("doc_id", "text"), length, hot=hot, words=words)
     keyed = base.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("k2", F.xxhash64("text"))
     rows = keyed.join(found, ["k1", "k2"], "left")
@@ -567,21 +579,19 @@ def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool
     def cut(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            kept, removed, size = [], [], []
+            kept, removed, both, size = [], [], [], []
             for text, own in zip(b.column("text").cast(pa.large_binary()), b.column("spans").to_pylist(), strict=True):
-                text, runs = text.as_py() or b"", []
-                for x, y in sorted((s["start"], s["end"]) for s in own or ()):
-                    if runs and x <= runs[-1]["end"]:
-                        runs[-1]["end"] = max(runs[-1]["end"], y)
-                    else:
-                        runs.append({"start": x, "end": y})
+                text, own = text.as_py() or b"", own or ()
+                both.append(_joined([(s["start"], s["end"]) for s in own]))
+                runs = _joined([(s["start"], s["end"]) for s in own if not s["short"]]) if tell else both[-1]
                 edges = [0, *(v for r in runs for v in (r["start"], r["end"])), len(text)]
                 kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(runs), size.append(len(text))
             gone = [s - len(k) for s, k in zip(size, kept, strict=True)]
             if as_text:
                 kept = [k.decode("utf-8", "ignore") for k in kept]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind)], [*names, "kept", "n_bytes", "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind), pa.array(both, kind)], [*names, "kept", "n_bytes", "n_removed", "removed", "passages"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    return rows.select(*names, "text", "spans").mapInArrow(released(cut), f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>")
+    runs = "array<struct<start:bigint,end:bigint>>"
+    return rows.select(*names, "text", "spans").mapInArrow(released(cut), f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed {runs}, passages {runs}")

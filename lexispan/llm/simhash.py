@@ -201,16 +201,20 @@ def links(values: DataFrame, distance: int = 4) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp, 1 + len(mask)).view(np.int64)), pa.array(probe.ravel())], ["key", "fp", "probe"])
 
     def find(batches):
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
+        """Buckets come one after another; what is read of one is put together once."""
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             new = [batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("probe").to_numpy(zero_copy_only=False)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            end = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0
-            if end:
-                yield from out(*bucket_links(*(x[:end] for x in held), distance))
-                held = [x[end:] for x in held]
-        if len(held[0]):
-            yield from out(*bucket_links(*held, distance))
+            if not len(new[0]):
+                continue
+            end = np.searchsorted(new[0], new[0][-1])
+            if end or (held and held[-1][0][-1] != new[0][0]):
+                held.append([x[:end] for x in new])
+                yield from out(*bucket_links(*(np.concatenate(x) for x in zip(*held, strict=True)), distance))
+                held = []
+            held.append([x[end:] for x in new])
+        if held:
+            yield from out(*bucket_links(*(np.concatenate(x) for x in zip(*held, strict=True)), distance))
 
     def out(a, b):
         if len(a):

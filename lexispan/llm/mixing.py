@@ -22,35 +22,48 @@ def draw(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def weighted_sources(sizes: DataFrame, cycle: int = 3) -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column], sums: dict[str, str], wide: bool) -> DataFrame:
+    """Rows with ``_nth`` from 1 and, for each of ``sums``, the sum of that column over the rows before.
+
+    ``wide``: rows are many, so they are dealt by ranges of the order, summed inside each
+    range, and only the ranges' own sums, a row for each partition, meet in a task.
+    """
+    last = Window.unboundedPreceding
+    if not wide:
+        by = Window.orderBy(*order)
+        return rows.withColumns({"_nth": F.row_number().over(by)} | {k: F.coalesce(F.sum(c).over(by.rowsBetween(last, -1)), F.lit(0)) for k, c in sums.items()})
+    dealt = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    by = Window.partitionBy("_part").orderBy(*order)
+    inside = dealt.withColumns({"_nth": F.row_number().over(by)} | {k: F.coalesce(F.sum(c).over(by.rowsBetween(last, -1)), F.lit(0)) for k, c in sums.items()})
+    whole = dealt.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = Window.orderBy("_part").rowsBetween(last, -1)
+    base = whole.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_base{c}") for c in ("_n", *(f"_{k}" for k in sums))])
+    met = inside.join(base, "_part").withColumns({"_nth": F.col("_nth") + F.col("_base_n")} | {k: F.col(k) + F.col(f"_base_{k}") for k in sums})
+    return met.drop("_part", "_base_n", *(f"_base_{k}" for k in sums))
+
+
+def weighted_sources(sizes: DataFrame, cycle: int = 3, wide: bool = False) -> DataFrame:
     """(source, source_size) with weights 1 to ``cycle``, repeating, over the sources in code point order, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    return sizes.withColumn("weight", ((F.row_number().over(order) - 1) % cycle + 1).cast("double"))
+    numbered = ranked(sizes, [F.col("source").asc_nulls_last()], {}, wide)
+    return numbered.withColumn("weight", ((F.col("_nth") - 1) % cycle + 1).cast("double")).drop("_nth")
 
 
-def water_fill(weighted: DataFrame, most: float = 3.0) -> DataFrame:
+def water_fill(weighted: DataFrame, most: float = 3.0, wide: bool = False) -> DataFrame:
     """Add ``target``: shares of all sizes by weight, none above ``most`` times its source's size.
 
     Sources fill up in the order of most * size / weight. If the first k are full,
     the others share what those leave by weight, so the level is that of the
-    smallest k whose next source is not above its limit. One row per source is
-    all that meets in a task here.
+    smallest k whose next source is not above its limit. ``wide`` as in ``ranked``.
     """
     full = F.lit(most) * F.col("source_size")
-    up = Window.orderBy(F.col("fill"), F.col("source").asc_nulls_last())
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    onward = up.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    level = (
-        weighted.withColumn("fill", full / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every))
-        .withColumn("taken_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(onward))
-        .withColumn("level", (F.col("total") - F.lit(most) * F.col("taken_before")) / F.col("weight_left"))
-        # the level that holds is the first that its own source stays at or under
-        .withColumn("held", F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(every))
-    )
-    return level.withColumn("target", F.coalesce(F.least(full, F.col("held.level") * F.col("weight")), full)).drop("fill", "total", "taken_before", "weight_left", "level", "held")
+    filled = ranked(weighted.withColumn("fill", full / F.col("weight")), [F.col("fill"), F.col("source").asc_nulls_last()], {"taken_before": "source_size", "weight_before": "weight"}, wide)
+    # two sums and one level are all that the driver sees of the sources
+    total, weights = weighted.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = filled.withColumn("level", (F.lit(float(total or 0)) - F.lit(most) * F.col("taken_before")) / (F.lit(float(weights or 0)) - F.col("weight_before")))
+    # the level that holds is the first that its own source stays at or under
+    held = level.agg(F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level")))).first()[0]
+    target = F.least(full, F.lit(held.level) * F.col("weight")) if held else full
+    return filled.withColumn("target", target).drop("fill", "taken_before", "weight_before", "_nth")
 
 
 def mix(docs: DataFrame, sizes: Column, most: float = 3.0, cycle: int = 3, seed: int = 17, weights: DataFrame | None = None, broadcast_rows: int = 50_000) -> DataFrame:
@@ -60,20 +73,23 @@ def mix(docs: DataFrame, sizes: Column, most: float = 3.0, cycle: int = 3, seed:
     lacks are not taken. Null text has size 0; a null source is a source of its own;
     a null id draws by its text; rows alike in id draw alike; without rows there is
     nothing to take. Columns of the input whose names clash with those added are
-    replaced. The table of rates is broadcast only if it was counted to have at
-    most ``broadcast_rows`` rows; beyond that it is joined by shuffling.
+    replaced. Sources are ranked in one task, and their rates broadcast, only if they
+    were counted to be at most ``broadcast_rows``; beyond that they are ranked by ranges
+    and the rates joined by shuffling.
     """
     added = ("size", "source_size", "weight", "target", "rate", "copies")
     sized = docs.drop(*added).withColumn("size", sizes.cast("long"))
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = written(per, "sources")
+    wide = per.count() > broadcast_rows  # else one task may rank them all
     if weights is None:
-        per = weighted_sources(per, cycle)
+        per = weighted_sources(per, cycle, wide)
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double"))
         per = per.join(w, per.source.eqNullSafe(w._s)).drop("_s").where("weight > 0")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0))
-    rates = written(water_fill(per, most).withColumn("rate", rate).withColumnRenamed("source", "_source"), "rates")
-    rates = F.broadcast(rates) if rates.count() <= broadcast_rows else rates
+    rates = written(water_fill(per, most, wide).withColumn("rate", rate).withColumnRenamed("source", "_source"), "rates")
+    rates = rates if wide else F.broadcast(rates)
     joined = sized.join(rates, sized.source.eqNullSafe(rates._source), "left").drop("_source", "weight").fillna({"rate": 0.0})
     text = [c for c in ("text", "source") if c in docs.columns]
     key = F.when(F.col("doc_id").isNull(), draw(seed, "doc_id", *text)).otherwise(draw(seed, "doc_id"))

@@ -125,6 +125,8 @@ def test_mixing_targets(spark, docs, rows, empty):
     key = lambda r: (str(r.doc_id), str(r.text), r.copies)
     assert sorted(map(key, again)) == sorted(map(key, m))
     assert mixing.emitted(mixing.mix(docs, mixing.word_count())).count() == sum(r.copies for r in m)
+    wide = mixing.mix(docs, mixing.word_count(), broadcast_rows=1).collect()  # as with more sources than a task may rank
+    assert sorted((*key(r), str(r.source), r.target, r.source_size) for r in wide) == sorted((*key(r), str(r.source), r.target, r.source_size) for r in m)
     assert mixing.mix(empty, mixing.word_count()).count() == 0
     given = spark.createDataFrame([("s1", 1.0), ("s2", 0.0)], "source string, weight double")
     assert {r.source for r in mixing.mix(docs, mixing.word_count(), weights=given).where("copies > 0").collect()} == {"s1"}

@@ -139,6 +139,16 @@ def made_symbols(spark, sf_dir):
     return s.select("file_path", "kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"), naming.kind_label("kind").alias("label"))
 
 
+def made_symbols_sql(spark, sf_dir):
+    """The same by SQL, with a registered table function joined laterally."""
+    from lexispan.functions.tables import register
+
+    register(spark)
+    return spark.sql(
+        "SELECT s.file_path, s.kind, s.fully_qualified, s.byte_start, s.byte_end, array_join(s.parameters, ',') AS parameters FROM {made} m, LATERAL source_symbols(m.file_path, m.language, m.content) s WHERE s.kind <> 'class'", made=_made(spark, sf_dir)
+    )
+
+
 def made_code_by_symbol(spark, sf_dir):
     """Code of a symbol by its file and name (every second function), and of a span by its place."""
     files = _made(spark, sf_dir).persist()
@@ -249,7 +259,7 @@ def diagnostics_tools(spark, sf_dir):
 
 def queries() -> dict:
     out = {f"{k}_symbols": _symbol_query(k) for k in _SYMBOLS}
-    return out | {f.__name__: f for f in (language_imports, language_cross_file, made_symbols, made_code_by_symbol, made_in_file, made_references, made_visibility, made_pattern_replace, super_imports, diagnostics_tools)}
+    return out | {f.__name__: f for f in (language_imports, language_cross_file, made_symbols, made_symbols_sql, made_code_by_symbol, made_in_file, made_references, made_visibility, made_pattern_replace, super_imports, diagnostics_tools)}
 
 
 def _values(rows: list[tuple]) -> str:
@@ -267,6 +277,7 @@ def oracle_sql() -> dict[str, str]:
     out["language_cross_file"] = f"SELECT current_file, identifier, file_path, name, kind, priority::INT AS priority FROM (VALUES {_values([(boat, 'moor', boat, 'moor', 'function', 0), (boat, 'tie', pier, 'moor', 'function', 1), (boat, 'cast_off', pier, 'cast_off', 'function', 2)])}) t(current_file, identifier, file_path, name, kind, priority)"
     kind, full, parameters = _cases("which", _quoted(x[0] for x in _MADE_FACTS)), _cases("which", _quoted(x[1] for x in _MADE_FACTS)), _cases("which", _quoted(x[3] for x in _MADE_FACTS))
     out["made_symbols"] = f"WITH {_MADE_SQL} SELECT file_path, {kind} AS kind, {full} || name AS fully_qualified, byte_start, byte_end, {parameters} AS parameters, 'symbol_' || {kind} AS label FROM sym"
+    out["made_symbols_sql"] = f"WITH {_MADE_SQL} SELECT file_path, {kind} AS kind, {full} || name AS fully_qualified, byte_start, byte_end, {parameters} AS parameters FROM sym"
     text = f"{_cases('which', _quoted(x[2].lstrip() for x in _MADE))} || name || {_cases('which', _quoted(x[3][:-1] for x in _MADE))}"
     out["made_code_by_symbol"] = f"WITH {_MADE_SQL} SELECT file_path, name AS symbol_name, sha256({text}) AS code_sha256 FROM sym WHERE k IN (1, 3)"
     out["made_in_file"] = f"WITH {_MADE_SQL}, a AS (SELECT unnest([NULL, 'function']) AS asked_kind) SELECT file_path, name, asked_kind, {kind} AS kind, byte_start, byte_end FROM sym, a WHERE k = 0 AND (asked_kind IS NULL OR asked_kind = {kind})"

@@ -15,7 +15,8 @@ prefix that both sides share with the last winner. Common prefixes of neighbours
 then tell, for each d, which anchors agree in the length - d bytes that follow;
 those that agree in the d bytes before too hold the same string.
 
-A gram that occurs more often than a reducer should hold is split by content. The
+Contexts of a gram that occurs often are put together before they are dealt. If more
+of them differ than a reducer should hold, the gram is split by content. The
 distances d are cut into ranges; strings of a range share the bytes that all of
 them cover, so only contexts whose shared bytes occur twice can repeat there, and
 these, trimmed to the range, are dealt by the shared bytes and merged as others
@@ -333,7 +334,8 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
 
     k1 and k2 name a document: its id (null: -1) and its text's hash. ``each``:
     about as many contexts meet in a reducer. Grams that occur over ``hot`` times are
-    split by content, and so are ranges whose shared bytes occur over ``hot`` times.
+    put together first, and if over ``hot`` of their contexts differ, they are split by
+    content; so are ranges whose shared bytes over ``hot`` contexts hold.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -370,25 +372,11 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
                 yield rows(1, [part], [task], [0], [0], [0], [0], [front_coded(items[at : at + 20_000])], [len(items[at : at + 20_000])])
 
     def hot_out(crowd):
-        """Kind 3: contexts of hot grams; kind 2: hashes of the bytes that their ranges share, and of their passages."""
-        told: list[list] = [[], [], [], [], [], []]
-        for (s, r), (left, n, c1, c2) in crowd.items():
-            line = s[r:][::-1] + s[:r]
-            keys = shared_bytes(line, left, length, cuts)
-            if words:
-                keys += [(x << 16 | y, line[left - x : left + y]) for x, y in passages(line, left, length, words, r)]
-            for code, body in keys:
-                h = _digest(body, code & 0xFFFFFFFF)  # a string counts once for each of its anchors
-                for v, x in zip(told, (h[0], c1, c2, h[1], code, n), strict=True):
-                    v.append(x)
-            if len(told[0]) > 50_000:
-                yield rows(2, told[0], told[1], told[2], told[3], [0] * len(told[0]), told[4], [None] * len(told[0]), told[5])
-                told = [[], [], [], [], [], []]
-        yield rows(2, told[0], told[1], told[2], told[3], [0] * len(told[0]), told[4], [None] * len(told[0]), told[5])
+        """Kind 3: contexts of grams that occur often, with the gram as part."""
         items = list(crowd.items())
         for at in range(0, len(items), 5000):
             own = items[at : at + 5000]
-            yield rows(3, [0] * len(own), [v[2] for _, v in own], [v[3] for _, v in own], [v[0] for _, v in own], [0] * len(own), [k[1] for k, _ in own], [k[0] for k, _ in own], [v[1] for _, v in own])
+            yield rows(3, [v[4] for _, v in own], [v[2] for _, v in own], [v[3] for _, v in own], [v[0] for _, v in own], [0] * len(own), [k[1] for k, _ in own], [k[0] for k, _ in own], [v[1] for _, v in own])
 
     def contexts(batches):
         """Kind 0: members of contexts; then what their grams' kinds ask for."""
@@ -409,7 +397,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
                     if seen:
                         seen[1] += 1
                     else:
-                        seen = where[s, r] = [len(before), 1, *_digest(s, r)]
+                        seen = where[s, r] = [len(before), 1, *_digest(s, r), *[p["gram"]] * p["hot"]]
                         held += len(s)
                     for m, v in zip(member, (seen[2], seen[3], k1, k2, a), strict=True):
                         m.append(v)
@@ -427,6 +415,32 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
     # a row that stands twice, as its key then does, has each place twice; all places of a key go to each of its rows
     mixed = written(keyed.join(places, ["k1", "k2"]).mapInArrow(released(contexts), kinds), "contexts_z")
 
+    def late(batches):
+        """Kind 1 of contexts that came together first."""
+        task, runs, held = TaskContext.get().partitionId(), {}, 0
+        for batch in batches:
+            for gram, c1, c2, s, r, left, n in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "blob", "r", "left", "n")), strict=True):
+                runs.setdefault(gram % n_parts, {})[s, r] = [left, n, c1, c2]
+                held += len(s)
+            if held > 24 << 20:
+                yield from runs_out(runs, task)
+                runs, held = {}, 0
+        yield from runs_out(runs, task)
+
+    def shares(batches):
+        """Hashes of the bytes that the ranges of a context share, and of its passages."""
+        for batch in batches:
+            told: list[list] = [[], [], [], [], []]
+            for c1, c2, s, r, left in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "blob", "r", "left")), strict=True):
+                line = s[r:][::-1] + s[:r]
+                keys = shared_bytes(line, left, length, cuts)
+                if words:
+                    keys += [(x << 16 | y, line[left - x : left + y]) for x, y in passages(line, left, length, words, r)]
+                for code, body in keys:
+                    for v, x in zip(told, (*_digest(body, code & 0xFFFFFFFF), c1, c2, code), strict=True):  # a string counts once for each of its anchors
+                        v.append(x)
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in told[:4]), pa.array(told[4], pa.int32())], ["s1", "s2", "c1", "c2", "code"])
+
     def split(batches):
         """Kind 1: runs of the trimmed contexts of those ranges whose shared bytes occur twice; kind 4: the contexts that each came from."""
         task = TaskContext.get().partitionId()
@@ -507,26 +521,44 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
         return merge(batches, True)
 
     def solved_runs(runs, how):
-        return runs.where("kind = 1").select("part", "blob").repartition(int(n_parts), "part").mapInArrow(released(how), "c1 long, c2 long, bits binary")
+        return runs.repartition(int(n_parts), "part").mapInArrow(released(how), "c1 long, c2 long, bits binary")
 
-    solved, dealt = solved_runs(mixed, merge_whole), None
+    runs, dealt, crowd, wide, shared = mixed.where("kind = 1").select("part", "blob"), None, None, None, None
     if twice.where(F.col("n") > hot).limit(1).count():
-        shared = mixed.where("kind = 2").select(F.col("part").alias("s1"), F.col("k1").alias("s2"), "c1", "c2", F.col("pos").alias("code"), "n")
-        again = shared.groupBy("s1", "s2").agg(F.sum("n").alias("m")).where("m > 1").select("s1", "s2", (F.col("m") > hot).alias("crowded"))
-        asked = shared.join(again, ["s1", "s2"]).groupBy("c1", "c2").agg(F.collect_set(F.struct("code", "s1", "crowded")).alias("own"))
-        crowd = mixed.where("kind = 3").groupBy("c1", "c2").agg(F.first("blob").alias("blob"), F.first("pos").alias("r"), F.first("k1").alias("left"), F.sum("n").alias("n"))
-        dealt = written(crowd.join(asked, ["c1", "c2"]).mapInArrow(released(split), kinds), "split_z")
-        back = dealt.where("kind = 4").select("c1", "c2", "k1", "k2").join(solved_runs(dealt, merge_split), ["c1", "c2"]).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "bits")
-        solved = solved.unionByName(back)
+        # alike contexts of all tasks are one, and most grams have few then
+        crowd = mixed.where("kind = 3").groupBy("c1", "c2").agg(F.first("part").alias("gram"), F.first("blob").alias("blob"), F.first("pos").alias("r"), F.first("k1").alias("left"), F.sum("n").alias("n"))
+        crowd = written(crowd, "crowd_z")
+        wide = written(crowd.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("gram"), "wide")
+        runs = runs.unionByName(crowd.join(wide, "gram", "left_anti").mapInArrow(released(late), kinds).select("part", "blob"))
+        if wide.limit(1).count():
+            many = crowd.join(wide, "gram", "left_semi")
+            shared = written(many.mapInArrow(released(shares), "s1 long, s2 long, c1 long, c2 long, code int"), "shared")
+            again = shared.groupBy("s1", "s2").agg(F.count("*").alias("m"))
+            again = again.where("m > 1").select("s1", "s2", (F.col("m") > hot).alias("crowded"))
+            alike = many.where("n > 1").select("c1", "c2")  # these repeat each other
+            own = shared.join(alike, ["c1", "c2"], "left_semi").select("s1", "s2", "c1", "c2", "code", F.lit(False).alias("crowded"))
+            asked = shared.join(again, ["s1", "s2"]).select("s1", "s2", "c1", "c2", "code", "crowded").unionByName(own)
+            asked = asked.groupBy("c1", "c2", "code", "s1").agg(F.max("crowded").alias("crowded")).groupBy("c1", "c2").agg(F.collect_list(F.struct("code", "s1", "crowded")).alias("own"))
+            dealt = written(many.join(asked, ["c1", "c2"]).mapInArrow(released(split), kinds), "split_z")
+    solved = solved_runs(runs, merge_whole)
+    if dealt is not None:
+        back = dealt.where("kind = 4").select("c1", "c2", "k1", "k2").join(solved_runs(dealt.where("kind = 1").select("part", "blob"), merge_split), ["c1", "c2"])
+        back = back.groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.collect_set("bits").alias("bits"))  # one row for a context
+        solved = solved.select("c1", "c2", F.array("bits").alias("bits")).unionByName(back)
+    else:
+        solved = solved.select("c1", "c2", F.array("bits").alias("bits"))
     solved = written(solved, "repeats")
 
     def intervals(batches):
         for b in batches:
             row, start, end, short = [], [], [], []
-            for i, (pos, body) in enumerate(zip(b.column("pos").to_pylist(), b.column("bits").to_pylist(), strict=True)):
+            for i, (pos, told) in enumerate(zip(b.column("pos").to_pylist(), b.column("bits").to_pylist(), strict=True)):
                 cut = reach // 8 + 1
-                d = np.flatnonzero(np.unpackbits(np.frombuffer(body[:cut], np.uint8), bitorder="little"))
-                more = np.frombuffer(body[cut:], "<u2").tolist()
+                hit = np.frombuffer(told[0][:cut], np.uint8)
+                for body in told[1:]:
+                    hit = hit | np.frombuffer(body[:cut], np.uint8)
+                d = np.flatnonzero(np.unpackbits(hit, bitorder="little"))
+                more = np.frombuffer(b"".join(body[cut:] for body in told), "<u2").tolist()
                 last = None
                 for x, y in sorted((pos - x, pos + y) for x, y in zip(more[::2], more[1::2], strict=True)):
                     if last is not None and x <= last:
@@ -544,7 +576,7 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
 
     where = mixed.where("kind = 0").select("c1", "c2", "k1", "k2", "pos").join(solved, ["c1", "c2"]).select("k1", "k2", "pos", "bits").mapInArrow(released(intervals), "k1 long, k2 long, start int, end int, short boolean")
     out = written(where.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "short")).alias("spans")), "spans")
-    discard(found, twice, mixed, dealt, solved)
+    discard(found, twice, mixed, crowd, wide, shared, dealt, solved)
     return out
 
 

@@ -549,28 +549,37 @@ def spans(docs: DataFrame, length: int = 400, each: int = 40_000, hot: int = 40_
         solved = solved.select("c1", "c2", F.array("bits").alias("bits"))
     solved = written(solved, "repeats")
 
+    def around(told: list[bytes]) -> list[tuple[int, int, bool]]:
+        """(start, end, short) of the repeated strings of a context, from its anchor."""
+        cut, out = reach // 8 + 1, []
+        hit = np.frombuffer(told[0][:cut], np.uint8)
+        for body in told[1:]:
+            hit = hit | np.frombuffer(body[:cut], np.uint8)
+        d = np.flatnonzero(np.unpackbits(hit, bitorder="little"))
+        more = np.frombuffer(b"".join(body[cut:] for body in told), "<u2").tolist()
+        for x, y in sorted((-x, y) for x, y in zip(more[::2], more[1::2], strict=True)):
+            if out and x <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], y), True)
+            else:
+                out.append((x, y, True))
+        edge = np.flatnonzero(np.diff(d) > 1)
+        if len(d):
+            out += [(-y, length - x, False) for x, y in zip(d[np.concatenate(([0], edge + 1))].tolist(), d[np.concatenate((edge, [len(d) - 1]))].tolist(), strict=True)]
+        return out
+
     def intervals(batches):
+        known: dict[tuple, list] = {}  # few patterns of hits make up most
         for b in batches:
             row, start, end, short = [], [], [], []
             for i, (pos, told) in enumerate(zip(b.column("pos").to_pylist(), b.column("bits").to_pylist(), strict=True)):
-                cut = reach // 8 + 1
-                hit = np.frombuffer(told[0][:cut], np.uint8)
-                for body in told[1:]:
-                    hit = hit | np.frombuffer(body[:cut], np.uint8)
-                d = np.flatnonzero(np.unpackbits(hit, bitorder="little"))
-                more = np.frombuffer(b"".join(body[cut:] for body in told), "<u2").tolist()
-                last = None
-                for x, y in sorted((pos - x, pos + y) for x, y in zip(more[::2], more[1::2], strict=True)):
-                    if last is not None and x <= last:
-                        last = end[-1] = max(last, y)
-                    else:
-                        row.append(i), start.append(x), end.append(y), short.append(True)
-                        last = y
-                if not len(d):
-                    continue
-                edge = np.flatnonzero(np.diff(d) > 1)
-                for x, y in zip(d[np.concatenate(([0], edge + 1))].tolist(), d[np.concatenate((edge, [len(d) - 1]))].tolist(), strict=True):
-                    row.append(i), start.append(pos - y), end.append(pos - x + length), short.append(False)
+                key = tuple(told)
+                found = known.get(key)
+                if found is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                    found = known[key] = around(told)
+                for x, y, z in found:
+                    row.append(i), start.append(pos + x), end.append(pos + y), short.append(z)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("k1").take(take), b.column("k2").take(take), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(short, pa.bool_())], ["k1", "k2", "start", "end", "short"])
 

@@ -89,6 +89,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where("vec_id % 100 = 0"), 10)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.centroids import cluster, told
+
+    return told(*cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.quality_rules import judge
+
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexispan.llm.runs import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents"), stretch=True))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -100,7 +100,7 @@ def moved(found: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """Each centroid that has vectors at the floor of their means, the others where they were.
 
     Tasks add up their vectors per cluster first, so what is shuffled is at most a row per
-    task and cluster, however many vectors one cluster has; the driver gets one row per cluster.
+    task, cluster and place, however many vectors one cluster has; the driver gets the k centroids.
     """
     k, components = len(centroids), len(centroids[0])
 
@@ -113,14 +113,14 @@ def moved(found: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
                 own = v[cluster == c]
                 n[c] += len(own)
                 total[c] += own.sum(0).astype(object)
-        for c in np.flatnonzero(n).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([n[c]], pa.int64()), *(pa.array([int(x)], pa.decimal128(38, 0)) for x in total[c])], ["cluster", "n", *(f"s{i}" for i in range(components))])
-
-    sums = [f"s{i}" for i in range(components)]
-    parts = found.select("cluster", "v").mapInArrow(released(summed), "cluster int, n long, " + ", ".join(f"{s} decimal(38,0)" for s in sums))
-    out = list(centroids)
-    for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in sums)).collect():
-        out[r.cluster] = [int(r[s]) // r.n for s in sums]
+        own = np.flatnonzero(n)
+        columns = [np.repeat(own, components).astype(np.int32), np.tile(np.arange(components, dtype=np.int32), len(own)), np.repeat(n[own], components)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(total[own].ravel().tolist(), pa.decimal128(38, 0))], ["cluster", "place", "n", "total"])
+
+    parts = found.select("cluster", "v").mapInArrow(released(summed), "cluster int, place int, n long, total decimal(38,0)")
+    out = [list(c) for c in centroids]
+    for r in parts.groupBy("cluster", "place").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
+        out[r.cluster][r.place] = int(r.total) // r.n
     return out
 
 

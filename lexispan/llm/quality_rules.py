@@ -2,8 +2,8 @@
 
 A rule is a whole-number signal of a text and a list of cutoffs from lenient to
 strict. Labelled texts are parted by a checksum of their ids. In each stratum one part
-proposes: for every rule the strictest cutoff that it bears, and the order of the
-rules by the bad texts that they alone find. That makes a path of nested sets of
+proposes: for every rule the cutoff that parts bad from good best, and the order of the
+rules by the bad texts that those before them miss. That makes a path of nested sets of
 rejected texts, each step one cutoff stricter. The other part, the holdout, tests the
 steps in order: the exact binomial tail says whether so few good texts would be
 rejected if the true share were above the limit. Steps in a fixed order need no
@@ -101,14 +101,8 @@ def steps() -> dict[str, Column]:
         "symbols": share("n_symbols", "n_words"), "repeats": share("n_repeat_words", "n_words"), "same_lines": share("n_dup_lines", "n_lines"),
         "capitals": share("n_capitals", "word_chars"), "marks": share("n_marks", "n_words"), "long_words": share("word_chars", "n_words"), "short_words": share("word_chars", "n_words"),
     }
-    out = {}
-    for rule, cutoffs in RULES.items():
-        reaches = (lambda x, c: x <= c) if rule == "short_words" else (lambda x, c: x >= c)
-        first = F.lit(STEPS)
-        for k, c in reversed(list(enumerate(cutoffs))):
-            first = F.when(reaches(signal[rule], c), k).otherwise(first)
-        out[rule] = first
-    return out
+    spared = lambda rule: (lambda c: signal[rule] > c) if rule == "short_words" else (lambda c: signal[rule] < c)
+    return {rule: F.size(F.filter(F.array(*map(F.lit, cutoffs)), spared(rule))) for rule, cutoffs in RULES.items()}
 
 
 def tail(n: int, few: int, share: float) -> float:
@@ -119,22 +113,49 @@ def tail(n: int, few: int, share: float) -> float:
     return min(1.0, fsum(exp(term(i)) for i in range(few + 1)))
 
 
-def proposed(tuning: DataFrame, limit: float) -> DataFrame:
+def proposed(tuning: DataFrame, limit: float, broadcast_rows: int = 50_000) -> DataFrame:
     """(stratum, rule, nth, cutoff): per stratum the rules worth having, in order, each with its strictest cutoff to test.
 
-    ``tuning`` has a row per labelled text: stratum, good, and a step per rule. A cutoff is borne if it rejects at
-    most limit / rules of the good texts, and worth having if it finds a bad one; rules go by the bad that they find,
-    then by name.
+    ``tuning`` has a row per labelled text: stratum, good, and a step per rule. A rule's cutoff is that which finds the most
+    bad texts less the good ones that it rejects, of those rejecting at most limit / rules of the good; of equal
+    ones the middle. Rules are taken by the bad less the good texts that those before them leave,
+    then by name, as long as there are more bad ones.
     """
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES])).alias("x")
     cells = tuning.select("stratum", "good", rules).groupBy("stratum", "x.rule", "x.step").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
-    # twelve cells a rule and stratum at most: their running sums are made as arrays of one row
-    per = cells.groupBy("stratum", "rule").agg(F.sort_array(F.collect_list(F.struct("step", "good", "bad"))).alias("cells"), F.sum("good").alias("all_good"))
+    # STEPS + 1 cells a rule and stratum at most: their running sums are made as arrays of one row
+    per = cells.groupBy("stratum", "rule").agg(F.collect_list(F.struct("step", "good", "bad")).alias("cells"), F.sum("good").alias("all_good"))
     upto = lambda k, what: F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + F.when(c["step"] <= k, c[what]).otherwise(0))
     borne = F.filter(F.sequence(F.lit(0), F.lit(STEPS - 1)), lambda k: upto(k, "good") * len(RULES) <= F.col("all_good") * limit)
-    per = per.select("stratum", "rule", F.array_max(borne).alias("cutoff"), "cells").where("cutoff IS NOT NULL").withColumn("found", upto(F.col("cutoff"), "bad")).where("found > 0")
-    by = F.sort_array(F.collect_list(F.struct((-F.col("found")).alias("found"), "rule", "cutoff")))
-    return per.groupBy("stratum").agg(by.alias("path")).select("stratum", F.posexplode("path").alias("nth", "x")).select("stratum", "x.rule", "nth", "x.cutoff")
+    gain = F.transform(borne, lambda k: F.struct((upto(k, "bad") - upto(k, "good")).alias("gain"), k.alias("k")))
+    per = per.select("stratum", "rule", gain.alias("gains")).withColumn("most", F.array_max("gains")["gain"]).where("most > 0")
+    best = F.filter("gains", lambda g: g["gain"] == F.col("most"))
+    per = per.select("stratum", "rule", F.element_at(best, ((F.size(best) + 1) / 2).cast("int"))["k"].alias("cutoff"))
+    cutoffs = per.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    met = _by_stratum(tuning, cutoffs, broadcast_rows, "inner")
+    # texts by the rules that reject them: at most twice as many cells a stratum as there are sets of rules
+    sets = met.groupBy("stratum", "cutoffs", "good", _rejecting().alias("by")).agg(F.count("*").alias("n"))
+
+    @F.udf("array<string>")
+    def order(sets):
+        """The rules in the order in which they are worth having."""
+        left, out = [(set(s.by), s.n if not s.good else -s.n) for s in sets], []
+        while left:
+            gain = {r: sum(n for by, n in left if r in by) for r in RULES}
+            rule = min(gain, key=lambda r: (-gain[r], r))
+            if gain[rule] <= 0:
+                break
+            out.append(rule)
+            left = [(by, n) for by, n in left if rule not in by]
+        return out
+
+    paths = sets.groupBy("stratum").agg(F.first("cutoffs").alias("cutoffs"), order(F.collect_list(F.struct("good", "by", "n"))).alias("rules"))
+    return paths.select("stratum", "cutoffs", F.posexplode("rules").alias("nth", "rule")).select("stratum", "rule", "nth", F.col("cutoffs")[F.col("rule")].alias("cutoff"))
+
+
+def _rejecting() -> Column:
+    """Names of the rules that reject a text by its stratum's ``cutoffs``."""
+    return F.array_compact(F.array(*[F.when(F.col(r) <= F.col("cutoffs")[r], F.lit(r)) for r in RULES]))
 
 
 def _by_stratum(rows: DataFrame, facts: DataFrame, broadcast_rows: int, how: str = "left") -> DataFrame:
@@ -185,14 +206,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: Column, limit: float = 0.
     rejects. Other columns are not read. Labels with crc32(id as text) mod 3 of 0 propose, those with 2 are
     the holdout, and those with 1 are never used.
     """
-    rows = written(counts(docs, stratum), "counts")
-    rows = rows.withColumn("base_failed", base_failed()).withColumns(steps())
+    rows = written(counts(docs, stratum).withColumn("base_failed", base_failed()).withColumns(steps()), "counts")
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
     labelled = rows.where("NOT base_failed").join(known, "doc_id").withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 3).where("part <> 1")
     labelled = written(labelled.select("stratum", "part", "good", *RULES), "labelled")
-    paths = written(proposed(labelled.where("part = 0"), limit), "paths")
+    paths = written(proposed(labelled.where("part = 0"), limit, broadcast_rows), "paths")
     cutoffs = written(controlled(labelled.where("part = 2 AND good"), paths, limit, error, broadcast_rows), "cutoffs")
     met = _by_stratum(rows, cutoffs, broadcast_rows)
-    by = F.array_compact(F.array(*[F.when(F.col(r) <= F.col("cutoffs")[r], F.lit(r)) for r in RULES]))
-    met = met.withColumn("rejected_by", by)
+    met = met.withColumn("rejected_by", _rejecting())
     return met.select("doc_id", "stratum", *COUNTS, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))

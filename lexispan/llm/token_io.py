@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.llm.common import parts, released, scratch_path, ship
-from lexispan.llm.tokens import encoder, slices
+from lexispan.llm.tokens import encoder, flat, slices
 
 MAGIC, VERSION = b"LXID", 2
 BLOCK = 1024
@@ -231,17 +231,36 @@ def read_segment(data: bytes, only: list[int] | None = None) -> tuple[np.ndarray
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_ids: int = 3 << 20) -> None:
     """Encode whole texts (null: empty), end each with ``end_id``, and write segments in ascending order of doc_id under ``path``.
 
-    Null ids come first; rows that share an id stand beside each other, by text.
+    Null ids come first; rows that share an id stand beside each other, by their token ids.
     Segments are rows of a table of one binary column, so any store that Spark
     writes to will do: (part, nth) order them, ``tokens`` counts their ids.
+
+    Texts are encoded where they are read, and their ids dealt out by ranges of doc_id, which a scan
+    of that column alone gives: ranges of about as many documents each, unless ids repeat.
     """
     spark = docs.sparkSession
     ship(spark)
+    n = parts(spark)
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    cuts = docs.select(doc_id).agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    bounds = np.array(cuts[: n - 1], np.int64)
+    kind = np.dtype("<u2" if len(encoder(vocabulary).marks) <= 1 << 16 else "<u4")
+
+    def encoded(batches):
+        encode = encoder(vocabulary).encode
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                ids, at = encode(piece.column("text"))
+                doc = piece.column("doc_id")
+                place = np.searchsorted(bounds, doc.fill_null(0).to_numpy(), "right").astype(np.int32)
+                place[np.asarray(doc.is_null())] = 0
+                body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at * kind.itemsize), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(place), body.cast(pa.binary())], ["doc_id", "place", "ids"])
 
     def segments(batches):
         from pyspark import TaskContext
 
-        encode, part_id, nth = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
+        part_id, nth = TaskContext.get().partitionId(), 0
         held_ids, held_docs, held_sizes, held_null, held = [], [], [], [], 0
 
         def put():
@@ -255,13 +274,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_
             return row
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids, at = encode(piece.column("text"))
-                n = np.diff(at) + 1
-                out = np.full(len(ids) + len(n), end_id, np.uint32)
+            for piece in slices(batch, "ids", 8 << 20):
+                data, at = flat(piece.column("ids"))
+                n = np.diff(at) // kind.itemsize + 1
+                out = np.full(int(n.sum()), end_id, np.uint32)
                 keep = np.ones(len(out), bool)
                 keep[np.cumsum(n) - 1] = False
-                out[keep] = ids
+                out[keep] = np.frombuffer(data, kind)
                 doc = piece.column("doc_id")
                 held_ids.append(out), held_sizes.append(n), held_null.append(doc.null_count)
                 held_docs.append(doc.fill_null(0).to_numpy())
@@ -271,9 +290,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_
         if held:
             yield put()
 
-    # doc_id alone decides the ranges, so ranges are few only where ids repeat
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first())
-    dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(released(segments), "part int, nth int, tokens long, nulls long, body binary").write.option("compression", "none").parquet(path)
+    rows = docs.select(doc_id, "text").mapInArrow(released(encoded), "doc_id long, place int, ids binary")
+    dealt = rows.repartitionById(n, "place").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    dealt.select("doc_id", "ids").mapInArrow(released(segments), "part int, nth int, tokens long, nulls long, body binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark, path: str, with_ids: bool = False, broadcast_rows: int = 100_000) -> DataFrame:

@@ -11,6 +11,7 @@ gathered with numpy.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,13 @@ _WIDE_SPACE[
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts (null: empty) and the n + 1 places where they begin and end."""
+    """The bytes of all texts or byte strings (null: empty) and the n + 1 places where they begin and end."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    raw = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
+    texts = texts.cast(pa.large_binary() if raw else pa.large_string())
     if texts.null_count:
-        texts = texts.fill_null("")
+        texts = texts.fill_null(b"" if raw else "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -82,14 +84,20 @@ class BatchEncoder:
     before, pieces of one space and what follows are put one after another, and
     the ids that begin with a space tell them apart. The other pieces are encoded
     each by itself.
+
+    Every text gets the ids that the library gives it, whatever texts stand beside it. The strings of
+    special tokens in a text give their ids too, as the library has it; with ``ordinary``
+    they are text like any other.
     """
 
-    def __init__(self, path: str, keep: int = 600_000, together: int = 1000):
+    def __init__(self, path: str, keep: int = 600_000, together: int = 1000, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        special = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(special)) if special and not ordinary else None
         self.keep, self.together = keep, together
         self.known = _Known()
         vocabulary = self.tokenizer.get_vocab()
@@ -160,13 +168,23 @@ class BatchEncoder:
             at = pc.index_in(pieces, value_set=self.known.pieces)
         return at.to_numpy()
 
+    def _lowered(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts without capitals of A to Z, as their case is lost; but a letter under a mark is the library's matter, and so is what only looks like a special token."""
+        upper = _UPPER[data]
+        alone = np.append(data[1:] < 128, True)
+        alone[offsets[1:][offsets[1:] > 0] - 1] = True  # what comes next is another text
+        upper &= alone
+        low = data + (upper.view(np.uint8) << 5)
+        if self.special:
+            for m in self.special.finditer(low.tobytes()):
+                low[m.start() : m.end()] = data[m.start() : m.end()]
+        return low
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the n + 1 places where each text's ids begin and end."""
         data, offsets = flat(texts)
-        if self.suffix and len(data):  # case is lost; but a letter under a mark is the library's matter
-            upper = _UPPER[data]
-            upper[:-1] &= data[1:] < 128
-            data = data + (upper.view(np.uint8) << 5)
+        if self.suffix and len(data):
+            data = self._lowered(data, offsets)
         starts = cuts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

@@ -55,6 +55,37 @@ def test_encoder_is_the_tokenizer():
         assert len(ids) == 0 and at.tolist() == [0]
 
 
+def test_encoder_equals_the_plain_call_in_any_company():
+    """Texts that begin and end in any character, beside any others, special strings among them."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    sign = lambda: chr(rng.choice([rng.randrange(1, 128), rng.randrange(65, 91), rng.randrange(128, 0x800), rng.randrange(0x800, 0xD800), rng.randrange(0xE000, 0x110000), 0x301, 0x308, 0xC4]))
+    word = lambda: rng.choice(["the", "USA", "été", "Vitamin C", "it'S", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", " ", "  ", "\n", sign(), sign() + sign(), "12", "!?", "A\u0301"])
+    texts = ["vitamin C", "ähnlich", "the USA", "été", "", "I", "\u0301x", None, "A", "alike", "Z<|endoftext|", ">"]
+    texts += [sign() + "".join(word() for _ in range(rng.randrange(6))) + sign() for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain = Tokenizer.from_file(vocabulary(name))
+        want = [x.ids for x in plain.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        for size in (1, 7, len(texts)):
+            e = BatchEncoder(vocabulary(name))
+            for k in range(0, len(texts) if size > 1 else 300, size):
+                ids, at = e.encode(pa.array(texts[k : k + size], pa.string()))
+                for i, w in enumerate(want[k : k + size]):
+                    assert ids[at[i] : at[i + 1]].tolist() == w, texts[k + i]
+        plain.encode_special_tokens = True
+        ids, at = BatchEncoder(vocabulary(name), ordinary=True).encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in plain.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_token_files_do_not_depend_on_partitions(spark):
+    texts = ["the USA", "été", "vitamin C", "ähnlich", None, "I", "", "Ümit A", "<|endoftext|>"] * 6
+    rows = [(i // 2 if i % 9 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [sorted(map(tuple, token_io.round_trip(d, vocabulary("word_bpe_49k.json")).collect()), key=str) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy(F.desc("text")))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(rows)
+
+
 def test_encoder_knows_every_letter_and_mark():
     """Letters that normalisation takes apart, marks under capitals, stops, and white space of all kinds."""
     signs = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20)) if unicodedata.category(chr(c))[0] in "LMZ"]

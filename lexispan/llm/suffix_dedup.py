@@ -600,18 +600,17 @@ def _joined(spans_: list[tuple[int, int]]) -> list[dict]:
     return runs
 
 
-def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool = False, words: int = 0, tell: bool = False) -> DataFrame:
-    """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed, ``removed``, the maximal runs taken out as (start, end), and ``passages``.
+def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool = False, words: int = 0) -> DataFrame:
+    """Documents with ``kept`` (remaining bytes, or with ``as_text`` the text of those characters that remain whole), n_bytes, n_removed and ``removed``, the maximal runs taken out as (start, end).
 
     A byte goes if a string of ``length`` bytes that covers it starts anywhere else
     in the input, or with ``words`` a passage of so many whole words, however short
-    in bytes; with ``tell`` such passages stay. ``passages`` has the maximal runs of
-    both kinds. Null texts are empty; texts shorter than ``length`` lose nothing
+    in bytes. Null texts are empty; texts shorter than ``length`` lose nothing
     but passages; rows alike are copies of each other; no documents give none. Columns of
     the input whose names clash with those added are replaced.
     """
     ship(docs.sparkSession)
-    base = docs.drop("kept", "n_bytes", "n_removed", "removed", "passages", "k1", "k2", "spans")
+    base = docs.drop("kept", "n_bytes", "n_removed", "removed", "k1", "k2", "spans")
     found = spans(docs.select("doc_id", "text"), length, hot=hot, words=words)
     keyed = base.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("k2", F.xxhash64("text"))
     rows = keyed.join(found, ["k1", "k2"], "left")
@@ -620,19 +619,17 @@ def remove(docs: DataFrame, length: int = 400, hot: int = 40_000, as_text: bool
     def cut(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
-            kept, removed, both, size = [], [], [], []
+            kept, removed, size = [], [], []
             for text, own in zip(b.column("text").cast(pa.large_binary()), b.column("spans").to_pylist(), strict=True):
-                text, own = text.as_py() or b"", own or ()
-                both.append(_joined([(s["start"], s["end"]) for s in own]))
-                runs = _joined([(s["start"], s["end"]) for s in own if not s["short"]]) if tell else both[-1]
+                text = text.as_py() or b""
+                runs = _joined([(s["start"], s["end"]) for s in own or ()])
                 edges = [0, *(v for r in runs for v in (r["start"], r["end"])), len(text)]
                 kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append(runs), size.append(len(text))
             gone = [s - len(k) for s, k in zip(size, kept, strict=True)]
             if as_text:
                 kept = [k.decode("utf-8", "ignore") for k in kept]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind), pa.array(both, kind)], [*names, "kept", "n_bytes", "n_removed", "removed", "passages"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(removed, kind)], [*names, "kept", "n_bytes", "n_removed", "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    runs = "array<struct<start:bigint,end:bigint>>"
-    return rows.select(*names, "text", "spans").mapInArrow(released(cut), f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed {runs}, passages {runs}")
+    return rows.select(*names, "text", "spans").mapInArrow(released(cut), f"{schema}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from lexispan.errors import SpanError
@@ -95,7 +96,7 @@ def run(spark, a: argparse.Namespace) -> dict:
         return c.query(spark, a.db, a.label, a.list, a.count, a.show_code)
     if a.command == "get":
         return c.get(spark, a.db, a.file, a.start, a.end)
-    n = extract.index(files.scan_tree(spark, a.root), a.db)
+    n = extract.index(files.scan_tree(spark, a.root), a.db, os.path.abspath(a.root))
     return {"status": "ok", "message": f"Indexed {n} symbol(s)", "data": {"symbols": n}}
 
 

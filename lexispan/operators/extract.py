@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispan import schema
-from lexispan.functions.naming import SHORT_KINDS, detect_language, kind_label
+from lexispan.functions.naming import SHORT_KINDS, detect_language, kind_label, module_path
 from lexispan.functions.spans import sha256
 from lexispan.session import ship
+from lexispan.sources.scratch import written
 
 #: Fact tables, and the schema of each without the columns that extraction adds.
 TABLES = {"symbols": schema.SYMBOLS, "imports": schema.IMPORTS, "scopes": schema.SCOPES, "scope_symbols": schema.SCOPE_SYMBOLS, "identifiers": schema.IDENTIFIERS, "syntax_nodes": schema.SYNTAX_NODES}
@@ -82,8 +83,24 @@ def code_chunks(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return symbols.join(files.select("file_path", "content"), "file_path").select("file_path", "byte_start", "byte_end", F.col("name").alias("symbol_name"), text.alias("content"))
 
 
-def index(files: DataFrame, path: str) -> int:
-    """Write all fact tables of the files under ``path``; the number of symbols."""
+def bound_tables(parsed: DataFrame, symbols: DataFrame, files: DataFrame, root: str) -> dict[str, DataFrame]:
+    """The tables ``references`` and ``calls`` of parsed facts: all identifiers are bound in one plan.
+
+    calls: (from_id, to_id, type, n_calls) between entities; a call outside any function has no row.
+    """
+    from lexispan.operators import binding, resolve
+
+    t = {n: table(parsed, n) for n in TABLES}
+    modules = files.select("file_path", module_path(root, "file_path").alias("module_path"))
+    bound = written(binding.bind(t["identifiers"], t["scopes"], t["scope_symbols"], symbols, resolve.import_targets(t["imports"], modules), modules), "bound")
+    ids = symbols.select("file_path", "name", "byte_start", "entity_id").dropDuplicates(["file_path", "name", "byte_start"])
+    end = lambda file, name, start, into: ids.select(F.col("file_path").alias(file), F.col("name").alias(name), F.col("byte_start").alias(start), F.col("entity_id").alias(into))
+    called = binding.calls(bound, symbols).join(end("file_path", "caller", "caller_start", "from_id"), ["file_path", "caller", "caller_start"]).join(end("target_file", "callee", "callee_start", "to_id"), ["target_file", "callee", "callee_start"])
+    return {"references": binding.references(bound), "calls": called.select("from_id", "to_id", F.lit("calls").alias("type"), "n_calls")}
+
+
+def index(files: DataFrame, path: str, root: str = "") -> int:
+    """Write all fact tables of the files under ``path``, references and calls of all symbols with them; the number of symbols. Modules are named from ``root`` on."""
     from lexispan.sources.facts import save
 
     spark: SparkSession = files.sparkSession
@@ -94,4 +111,5 @@ def index(files: DataFrame, path: str) -> int:
     save({"symbols": symbols} | {n: table(parsed, n) for n in TABLES if n != "symbols"}, path)
     own = spark.read.parquet(f"{path}/symbols")
     save({"entity_labels": entity_labels(own), "code_chunks": code_chunks(own, kept)}, path)
+    save(bound_tables(parsed, own, kept, root), path)
     return own.count()

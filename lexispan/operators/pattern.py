@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispan.functions.spans import covered, literal_positions, locate
+from lexispan.operators.nesting import innermost
 
 
 def outside_nodes(matches: DataFrame, nodes: DataFrame, key: str = "file_path") -> DataFrame:
@@ -13,6 +14,12 @@ def outside_nodes(matches: DataFrame, nodes: DataFrame, key: str = "file_path")
     return covered(matches, nodes, [key]).where("NOT covered").drop("covered")
 
 
+def outside_kinds(matches: DataFrame, nodes: DataFrame, kinds: list[str], key: str = "file_path") -> DataFrame:
+    """Matches whose innermost node (key, node_id, parent_id, depth, kind, byte_start, byte_end) is of none of the kinds: one sort finds it."""
+    met = innermost(matches, nodes, [key]).join(nodes.where(F.col("kind").isin(kinds)).select(key, "node_id"), [key, "node_id"], "left_anti")
+    return met.drop("node_id")
+
+
 def find(files: DataFrame, needle: str, comments: DataFrame | None = None) -> DataFrame:
     """(file_path, nth, byte_start, byte_end, line_no, col): a literal that itself begins a line comment is found in comments too."""
     found = literal_positions(files, needle)

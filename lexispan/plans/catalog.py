@@ -30,15 +30,15 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from lexispan.plans import language_queries
+    from lexispan.plans import language_queries, structure_queries
 
-    return _QUERIES | language_queries.queries()
+    return _QUERIES | language_queries.queries() | structure_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispan.plans import language_queries
+    from lexispan.plans import language_queries, structure_queries
 
-    return _SQL | language_queries.oracle_sql()
+    return _SQL | language_queries.oracle_sql() | structure_queries.oracle_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

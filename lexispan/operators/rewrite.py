@@ -35,7 +35,7 @@ def checked(replacements: DataFrame, files: DataFrame) -> DataFrame:
     return met.select(F.inline(told)).select(*[F.col(f"r.{c}").alias(c) for c in replacements.columns], "problem")
 
 
-def spliced(content: Column, edits: Column) -> Column:
+def edited_text(content: Column, edits: Column) -> Column:
     """The text with all edits, an array of (byte_start, byte_end, content) that do not overlap.
 
     The kept gaps between edits in ascending order and the new texts are put together
@@ -54,7 +54,7 @@ def rewritten(replacements: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, before, after, before_sha256, after_sha256, n_edits) of each file with replacements."""
     edits = replacements.groupBy("file_path").agg(F.collect_list(F.struct(F.col("byte_start").cast("bigint").alias("byte_start"), F.col("byte_end").cast("bigint").alias("byte_end"), "content")).alias("edits"))
     met = edits.join(files.select("file_path", F.col("content").alias("before")), "file_path")
-    out = met.withColumn("after", spliced(F.col("before"), F.col("edits")))
+    out = met.withColumn("after", edited_text(F.col("before"), F.col("edits")))
     return out.select("file_path", "before", "after", sha256("before").alias("before_sha256"), sha256("after").alias("after_sha256"), F.size("edits").cast("bigint").alias("n_edits"))
 
 

@@ -17,7 +17,7 @@ _LEXERS = {
     "java": rf"{_C_COMMENT}|(?P<str>\"\"\".*?(?:\"\"\"|\Z)|{_QUOTED})|",
     "javascript": rf"{_C_COMMENT}|(?P<str>`(?:\\.|[^`\\])*`?|{_QUOTED})|",
 }
-_LEXERS = {k: re.compile(v + _REST, re.DOTALL) for k, v in _LEXERS.items()}
+_LEXERS = {k: re.compile(v + (_REST.replace("(?P<name>", "(?P<name>(?:r#)?", 1) if k == "rust" else _REST), re.DOTALL) for k, v in _LEXERS.items()}
 _RUST_OPEN = re.compile(r"/\*|\*/")
 _FAMILY = {"cpp": "c", "typescript": "javascript"}
 _JS_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
@@ -103,7 +103,8 @@ class Source:
         return 0 <= i < len(self.tokens) and self.tokens[i].kind == "name"
 
     def name(self, i: int) -> str:
-        return decoded(self.tokens[i].text)
+        """The name that a token stands for; r# only says that it is no keyword."""
+        return decoded(self.tokens[i].text.removeprefix("r#"))
 
     def end(self, i: int) -> int:
         """Byte end of a token; of one past the last, the source's end without white space."""

@@ -62,8 +62,12 @@ def _rust_type_name(src: Source, i: int, last: int) -> str:
 
 
 def rust(src: Source) -> list[dict]:
-    out, inside = [], []  # (end of a module's tokens, its path)
+    out, inside, past = [], [], 0  # (end of a module's tokens, its path); end of a macro's patterns and templates
     for i, t in enumerate(src.tokens):
+        if t.text == "macro_rules" and src.text(i + 1) == "!":
+            past = max(past, src.close.get(i + 3, i))
+        if i < past:
+            continue
         while inside and i >= inside[-1][0]:
             inside.pop()
         container = inside[-1][1] if inside else "crate"
@@ -310,7 +314,10 @@ def java(src: Source) -> list[dict]:
                 names = [[src.name(k) for k in g if src.is_name(k)] for g in parameter_groups(src, opening)]
                 out.append(_symbol(src, name, kind, first, end, container, ".", [n[-1] for n in names if n], seen, **flags))
             elif owner and first < stop and src.text(i) not in ("import", "package", "{"):
-                cut = src.until(i, "=;,", last)
+                cut, depth = i, 0
+                while cut < last and (depth or src.text(cut) not in ("=", ";", ",")):  # a comma between type arguments ends nothing
+                    depth += (src.text(cut) == "<") - (src.text(cut) == ">")
+                    cut += 1
                 if src.is_name(cut - 1) and cut - 1 > i:
                     while src.text(end) != ";" and end < last:  # an initialiser may hold blocks
                         end = src.until(end + 1, ";", last)
@@ -465,7 +472,7 @@ def symbols(data: bytes, language: str) -> list[dict]:
 
 
 def syntax_ok(data: bytes, language: str) -> bool:
-    """Whether a source could be parsed: UTF-8, brackets that match, tokens that keep the rules of their language, and for Python its own compiler's word."""
+    """Whether a source breaks none of the rules that ``grammar`` knows (for Python: whether it compiles); some broken sources pass, as this is no full parser: UTF-8, brackets that match, tokens that keep the rules of their language, and for Python its own compiler's word."""
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:

@@ -1,4 +1,6 @@
-"""Goldens of the language recognisers."""
+"""Recognisers of languages against programs grown from small grammars, whose facts are known as they grow."""
+
+import random
 
 import pytest
 
@@ -7,130 +9,277 @@ from lexispan.parse.lexer import Source
 from lexispan.parse.scopes import identifiers, scopes
 from lexispan.parse.symbols import symbols, syntax_ok
 
+SEEDS = range(12)
+SEPARATOR = {"java": "."}
+ROOT = {"rust": "crate::", "python": "module::"}
 
-def brief(code, language):
-    return [(s["kind"], s["fully_qualified"]) for s in symbols(code.encode(), language)]
 
+class Grower:
+    """Writes a program and notes what it declares: (kind, path)."""
 
-LONG = ", ".join(f"step{i}: number" for i in range(30))
+    def __init__(self, seed: int, language: str):
+        self.rng, self.language, self.n, self.want = random.Random(f"{language}{seed}"), language, 0, []
 
+    def name(self, upper: bool = False) -> str:
+        self.n += 1
+        word = self.rng.choice(["zephyr", "quartz", "n_9", "sedge"])
+        return f"{word.capitalize() if upper else word}{self.n}"
 
-@pytest.mark.parametrize(
-    ("language", "code", "want"),
-    [
-        ("rust", "//! tides only\n", []),
-        ("rust", "struct Jetty;\nimpl Jetty {}\nimpl Clone for Jetty { fn clone(&self) -> Self { Jetty } }", [("struct", "crate::Jetty"), ("impl", "crate::Jetty"), ("impl", "crate::Jetty"), ("function", "crate::clone")]),
-        ("rust", "mod bay { mod inlet { fn wade() {} } fn swim() {} }\nfn row() {}", [("module", "crate::bay"), ("module", "crate::bay::inlet"), ("function", "crate::bay::inlet::wade"), ("function", "crate::bay::swim"), ("function", "crate::row")]),
-        ("rust", 'fn sail(w: fn(f32) -> f32) { let t = "fn tack() {}"; /* fn luff() {} /* deeper */ fn jibe() {} */ }', [("function", "crate::sail")]),
-        ("rust", "impl<R: Send> Rig<R> for spar::Boom<R> where R: Sync { fn trim(&self) {} }", [("impl", "crate::Boom"), ("function", "crate::trim")]),
-        ("python", "class Dock:\n    class Bollard:\n        def tie(self):\n            pass\n", [("class", "module::Dock"), ("class", "module::Dock::Bollard"), ("function", "module::Dock::Bollard::tie")]),
-        ("python", "def ebb():\n    marks = [\n3]\n    def low():\n        pass\n\ndef flow(): pass\n", [("function", "module::ebb"), ("function", "module::ebb::low"), ("function", "module::flow")]),
-        ("cpp", "namespace cargo {\n    long weigh();\n}\n", [("namespace", "cargo"), ("function", "cargo::weigh")]),
-        ("cpp", "class Crate {\nprivate:\n    bool sealed();\n};\n", [("class", "Crate")]),
-        ("cpp", "class Barrel {\npublic:\n    class Hoop {\n        int bend() { return 0; }\n    };\n};\n", [("class", "Barrel"), ("class", "Barrel::Hoop"), ("method", "Barrel::Hoop::bend")]),
-        ("cpp", "template <typename K, class V>\nV fetch(K key) { return V(key); }\n", [("template_function", "fetch")]),
-        ("cpp", "template<class T>\nclass Net {\n  T haul() { return catch_; }\n};\n", [("template_class", "Net"), ("method", "Net::haul")]),
-        ("cpp", "long knots;\n", []),
-        ("cpp", "enum class Wind { North, South };\nstruct Mark { float lat; };\nint steer() { while (on) { turn(); } return 1; }", [("enum", "Wind"), ("struct", "Mark"), ("function", "steer")]),
-        ("cpp", "static const volatile inline __attribute__((packed)) struct Chart { int scale; } shown;\nstruct __attribute__((aligned(8))) Log { int n; };\nclass LAKE_API Pilot final : public Crew<int> { int call() { return 1; } };\nstruct Later;\nenum Sky : char { Fair };\n", [("struct", "Chart"), ("struct", "Log"), ("class", "Pilot"), ("method", "Pilot::call"), ("enum", "Sky")]),
-        ("c", "struct drum *wind(struct drum *d) { return d; }\n__attribute__((noinline)) static int slip(int m) { return m; }\nstruct spot here = { 1 };\n", [("function", "wind"), ("function", "slip")]),
-        ("c", "#include <math.h>\nstatic int knots(int a, int *b) { return a - *b; }\n", [("function", "knots")]),
-        ("java", "class Lock { void fill(int a, int b) {} }", [("class", "Lock"), ("method", "Lock.fill")]),
-        ("java", "class Gate { Gate() {} protected long level = 9; byte[] marks = {1, 2}; }", [("class", "Gate"), ("constructor", "Gate.Gate"), ("field", "Gate.level"), ("field", "Gate.marks")]),
-        ("java", "package canal;\nimport sea.Level;\npublic interface Sluice { void open(); }\nenum Side { LEFT, RIGHT; int width() { return 2; } }", [("interface", "Sluice"), ("method", "Sluice.open"), ("enum", "Side"), ("method", "Side.width")]),
-        ("javascript", "class Plover { constructor() {} peck(at) {} }", [("class", "Plover"), ("method", "Plover::constructor"), ("method", "Plover::peck")]),
-        ("javascript", "var sand = 3;\nexport function dig() { return sand; }\nasync function wade() { await dig(); }\nconst shape = /[{(]\\//;", [("variable", "sand"), ("function", "dig"), ("function", "wade"), ("variable", "shape")]),
-        ("typescript", "namespace Shells {\n  export function count() {}\n}\n", [("namespace", "Shells"), ("function", "Shells::count")]),
-        ("typescript", "const wave = (high: boolean): string => `~${high}`;", [("variable", "wave")]),
-        ("typescript", "export interface Dune {\n  height: number;\n}\ntype Grain = Dune | undefined;\nenum Hue {\n  Tan\n}\nclass Beach<S> {\n  rake(rows: S): void {\n    return;\n  }\n}", [("interface", "Dune"), ("type_alias", "Grain"), ("enum", "Hue"), ("class", "Beach"), ("method", "Beach::rake")]),
-        ("typescript", f"class Course {{ plot(x: number): Promise<Map<string, Array<{{ {LONG} }}>>> {{ return x; }}\n  abstract bare(): {{ leg: string }}\n  legs(a: unknown): a is Leg | {{ k: 1 }} {{ return true; }} }}\nfunction chart(a): {{ b: number }} {{ return a; }}\nfunction later(): void;\nfunction now() {{}}", [("class", "Course"), ("method", "Course::plot"), ("method", "Course::legs"), ("function", "chart"), ("function", "now")]),
-    ],
-)
-def test_symbols(language, code, want):
-    assert brief(code, language) == want
+    def note(self, kind: str, path: list[str]) -> None:
+        self.want.append((kind, ROOT.get(self.language, "") + SEPARATOR.get(self.language, "::").join(path)))
 
+    def several(self, most: int, make) -> list:
+        return [make() for _ in range(self.rng.randint(1, most))]
 
-def test_places_are_bytes():
-    s = symbols(b"\nfn cast_off() {\n    shout(\"ho\");\n}\n\nmod night {\n    fn watch() {\n    }\n}", "rust")
-    assert [(x["name"], x["byte_start"], x["line_start"], x["line_end"], x["col_start"], x["col_end"]) for x in s][0] == ("cast_off", 1, 2, 4, 0, 1)
-    assert (s[2]["name"], s[2]["line_start"], s[2]["line_end"]) == ("watch", 7, 8)
-    two = symbols("// ü\nfn höhe() {}".encode(), "rust")[0]
-    assert (two["name"], two["byte_start"], two["byte_end"]) == ("höhe", 6, 6 + len("fn höhe() {}".encode()))
+    def noise(self, line: str, block: tuple[str, str] | None, string: str) -> str:
+        """What looks like a declaration and is none."""
+        self.n += 1
+        return self.rng.choice([f"{line} fn def class function {self.n}() {{\n", *([f"{block[0]} class fake {{ void x() {block[1]}\n"] if block else []), f"{string}\n"])
 
 
-def test_visibility_and_flags():
-    s = symbols(b"fn hold() {} pub fn deck() {} pub(crate) fn mess() {} pub async unsafe fn dive() {}", "rust")
-    assert [(x["visibility"]["level"], x["visibility"]["scope"]) for x in s] == [("private", None), ("public", None), ("restricted", "pub(crate)"), ("public", None)]
-    assert s[3]["flags"]["is_async"] and not s[2]["flags"]["is_async"]
-    assert symbols(b"async def drift():\n    pass\n", "python")[0]["flags"]["is_async"]
-    j = symbols(b"public class Weir { static void spill() {} }", "java")
-    assert j[0]["flags"]["is_public"] and j[1]["flags"]["is_static"]
-    e = symbols(b"export function comb() { return 8; }\n", "javascript")[0]
-    assert e["flags"]["is_exported"]
+def rust(g: Grower, path: list[str], deep: int) -> str:
+    def function():
+        name = g.name()
+        g.note("function", [*path, name])
+        head = g.rng.choice(["", "pub ", "pub(super) ", "const ", 'pub unsafe extern "C" ', "#[inline(always)]\nasync "])
+        return f"{head}fn {name}<'a, const N: usize>(q: [u8; N], r: &'a dyn Fn(u8) -> u8) -> impl Iterator<Item = u8> + 'a where u8: Copy {{ let s = '}}'; loop {{ break }} }}\n"
 
+    def raw():
+        name = g.rng.choice(["try", "match", "dyn"])
+        g.note("function", [*path, name])
+        return f"pub fn r#{name}(r#type: u8) {{ r#{name}(r#type) }}\n"
 
-@pytest.mark.parametrize(
-    ("language", "code", "want"),
-    [
-        ("python", "def hail(ship: str, *flags, horn=2, **calls) -> str:\n    return ship\n", ["ship", "flags", "horn", "calls"]),
-        ("cpp", "double load(double tons, const Hold& hold) { return tons; }", ["tons", "hold"]),
-        ("java", "class Pump { void run(final Set<Map<Key, Valve>> lines, long... rates) {} }", ["lines", "rates"]),
-        ("typescript", "function plot(from: Point, via: Map<string, Point>): Point {\n  return from;\n}", ["from", "via"]),
-        ("rust", "fn lash(&mut self, mut rope: Rope, ends: (u8, u8)) {}", ["rope", "ends"]),
-    ],
-)
-def test_parameters(language, code, want):
-    assert symbols(code.encode(), language)[-1]["parameters"] == want
+    def kept(kind, text):
+        name = g.name(True)
+        g.note(kind, [*path, name])
+        return text.format(n=name)
 
+    def implementation():
+        name = g.name(True)
+        g.note("impl", [*path, name])
+        head = g.rng.choice(["impl {n}", "impl<T> From<T> for {n}", "unsafe impl<'b, T: ?Sized> a::b::Send for x::{n}<'b, T>"]).format(n=name)
+        return head + " {\n" + "".join(g.several(2, function)) + "}\n"
 
-@pytest.mark.parametrize(
-    ("language", "code", "want"),
-    [
-        ("rust", "use crate::rig::sheet;", [("UseCrate", ["crate", "rig"], ["sheet"], False)]),
-        ("rust", "use super::keel;", [("UseSuper", ["super"], ["keel"], False)]),
-        ("rust", "use crate::galley::*;", [("UseCrate", ["crate", "galley"], ["*"], True)]),
-        ("rust", "use crate::galley::{stove, pot, pan};", [("UseCrate", ["crate", "galley"], ["stove", "pot", "pan"], False)]),
-        ("rust", "use crate::oar as Blade;", [("UseCrate", ["crate"], ["Blade"], False)]),
-        ("rust", "extern crate ropes;\nuse ropes::Splice;", [("PlainUse", ["ropes"], ["Splice"], False)]),
-        ("rust", "use lake::{depth::{self, Lead}, shore};", [("PlainUse", ["lake"], ["shore"], False), ("PlainUse", ["lake", "depth"], ["self", "Lead"], False)]),
-        ("python", "import math, json", [("PythonImport", ["math"], ["math"], False), ("PythonImport", ["json"], ["json"], False)]),
-        ("python", "import lake.shore\n", [("PythonImport", ["lake", "shore"], ["lake"], False)]),
-        ("python", "from lake.shore import sand", [("PythonFrom", ["lake", "shore"], ["sand"], False)]),
-        ("python", "from math import *\n", [("PythonFrom", ["math"], ["*"], True)]),
-        ("python", "from . import tide\n", [("PythonFromRelative", ["."], ["tide"], False)]),
-        ("python", "from ..moon import phase", [("PythonFromParent", ["..", "moon"], ["phase"], False)]),
-        ("python", "from ... import ocean", [("PythonFromAncestor", ["..."], ["ocean"], False)]),
-        ("python", "from fleet import (tug,\n  brig as b)\n", [("PythonFrom", ["fleet"], ["tug", "b"], False)]),
-        ("c", '#include <math.h>\n#include "dock/pier.h"\n', [("CppSystemInclude", ["math.h"], [], False), ("CppLocalInclude", ["dock", "pier.h"], [], False)]),
-        ("java", "import static lake.Depths.*;", [("JavaStaticImport", ["lake", "Depths"], [], True)]),
-        ("java", "import lake.boats.Ferry;\n", [("JavaImport", ["lake", "boats", "Ferry"], [], False)]),
-        ("javascript", "const net = require('knots');", [("JsRequire", ["knots"], ["net"], False)]),
-        ("javascript", "import { Float } from '@lake/cork';", [("JsImport", ["@lake", "cork"], ["Float"], False)]),
-        ("javascript", "import * as reefs from './reefs';\nimport 'storm';", [("JsNamespaceImport", [".", "reefs"], ["reefs"], True), ("JsSideEffectImport", ["storm"], [], False)]),
-        ("typescript", "import type { Mast, Yard } from './spars';", [("TsTypeImport", [".", "spars"], ["Mast", "Yard"], False)]),
-        ("typescript", "import type Hull from './hull';\n", [("TsTypeDefaultImport", [".", "hull"], ["Hull"], False)]),
-        ("typescript", "import { Sail, type Cloth } from 'loft';\n", [("JsImport", ["loft"], ["Sail", "Cloth"], False)]),
-        ("typescript", "import { 'top-sail' as gaff } from './loft';\n", [("JsImport", [".", "loft"], ["gaff"], False)]),
-    ],
-)
-def test_imports(language, code, want):
-    assert [(f["import_kind"], f["path"], f["imported_names"], f["is_glob"]) for f in imports(code.encode(), language)] == want
+    def module():
+        name = g.name()
+        g.note("module", [*path, name])
+        return f"pub mod {name} {{\n{rust(g, [*path, name], deep - 1)}}}\n" if deep else f"mod {name} {{}}\n"
+
+    options = [
+        function, implementation, module, lambda: kept("struct", "struct {n}(u8, Vec<(u8, u8)>);\n"), lambda: kept("struct", "pub struct {n}<T> where T: Ord {{ a: T, b: [u8; 3] }}\n"),
+        lambda: kept("enum", "enum {n} {{ Up(u8), Down {{ by: i64 }}, Flat = 7 }}\n"), lambda: kept("trait", "pub trait {n}: Sized {{ const K: u8; type O; }}\n"),
+        lambda: g.noise("//", ("/* /* fn no() {} */", "*/"), 'static S: &str = r#"fn " in() {}"#;'), lambda: "macro_rules! heap { ($a:ty) => { fn hidden() -> $a { 1 } struct Unseen; } }\n", raw,
+    ]
+    return "".join(g.rng.choice(options)() for _ in range(g.rng.randint(2, 6)))
+
+
+def python(g: Grower, path: list[str], deep: int, pad: str = "") -> str:
+    def function():
+        name = g.name()
+        g.note("function", [*path, name])
+        head = g.rng.choice(["def ", "async def ", f"@wrap(a, b=[1,\n  2])\n{pad}def "])
+        body = python(g, [*path, name], deep - 1, pad + "    ") if deep and g.rng.random() < 0.4 else f"{pad}    return {{'def no(): pass': [1, 2]}}\n"
+        return f"{pad}{head}{name}(self, x=(1, 2), *, y: 'dict[str, int]' = None) -> int:\n{body}"
+
+    def kind():
+        name = g.name(True)
+        g.note("class", [*path, name])
+        body = python(g, [*path, name], deep - 1, pad + "    ") if deep else f"{pad}    pass\n"
+        return f"{pad}class {name}(Base, metaclass=Meta):\n{body}"
+
+    other = [f'{pad}"""def a():\nclass B: pass\n"""\n', f"{pad}# class C:\n{pad}z = lambda def_: 0\n", f"{pad}if x:\n{pad}    w = 1\n"]
+    return "".join(g.several(3, lambda: g.rng.choice([function, kind])())) + g.rng.choice(other)
+
+
+def cpp(g: Grower, path: list[str], deep: int) -> str:
+    free = "method" if path and path[-1][0].isupper() else "function"
+
+    def function():
+        name = g.name()
+        g.note(free, [*path, name])
+        return f"static std::map<int, Box<Box<int>>> {name}(const Box<int>& a, int (*b)(int, char), char c = '{{') noexcept {{ auto f = [&](int q) {{ return q; }}; return {{}}; }}\n"
+
+    def holder(kind, head):
+        name = g.name(True)
+        g.note(kind, [*path, name])
+        inside = cpp(g, [*path, name], deep - 1) if deep else "int z;\n"
+        return f"{head} {name} final : public virtual Base<int>, private Other {{\npublic:\n{inside}}};\n"
+
+    def space():
+        name = g.name()
+        g.note("namespace", [*path, name])
+        return f"namespace {name} {{\n{cpp(g, [*path, name], deep - 1)}}}\n"
+
+    options = [function, lambda: holder("class", "class"), lambda: holder("struct", "struct [[nodiscard]]"), lambda: g.noise("//", ("/* ", "*/"), 'auto t = R"(int no() { })";'), lambda: g.noise("//", None, "#define Q(a) int no() { return a; }")]
+    return "".join(g.rng.choice(options + ([space] if free == "function" and deep else []))() for _ in range(g.rng.randint(2, 4)))
+
+
+def java(g: Grower, path: list[str], deep: int) -> str:
+    def kind():
+        word, name = g.rng.choice(["class", "interface", "enum"]), g.name(True)
+        own = [*path, name]
+        g.note(word, own)
+        out = [f"@Deprecated(since = \"class A {{\") {g.rng.choice(['public ', ''])}{word} {name}{'<T extends Comparable<? super T>>' if word != 'enum' else ''} {{\n"]
+        out += ["  ONE, TWO;\n"] * (word == "enum")
+        if word != "interface":
+            field = g.name()
+            g.note("field", [*own, field])
+            g.note("constructor", [*own, name])
+            out.append(f"  private static final Map<String, int[]> {field} = make(1, '{{'), {field}b = null;\n  {name}(int... a) {{ this(a, 2); }}\n")
+        method = g.name()
+        g.note("method", [*own, method])
+        out.append(f"  <R> R {method}(final List<? extends R> in) throws A, B" + (";\n" if word == "interface" else " { return make(in -> { return in; }); }\n"))
+        return "".join(out) + (java(g, own, deep - 1) if deep else "") + "}\n"
+
+    return "".join(g.several(2, kind)) + g.noise("//", ("/* ", "*/"), "")
+
+
+def script(g: Grower, path: list[str], deep: int) -> str:
+    typed = g.language == "typescript"
+
+    def function():
+        name = g.name()
+        g.note("function", [*path, name])
+        sign = "(a: { b: [number, string] }, ...c: unknown[]): asserts a is any" if typed else "({ a = 1, b: [c] }, ...d)"
+        return f"{g.rng.choice(['', 'async ', 'export ', 'export default '])}function {name}{sign} {{ return `${{'function no() {{'}}`; }}\n"
+
+    def kind():
+        name = g.name(True)
+        g.note("class", [*path, name])
+        methods = []
+        for _ in range(g.rng.randint(1, 3)):
+            m = g.name()
+            g.note("method", [*path, name, m])
+            methods.append(f"  {g.rng.choice(['', 'static ', 'async '])}{m}(x) {{ if (x) {{ return /[}}(]/.test(x); }} }}\n")
+        return f"{g.rng.choice(['', 'export '])}class {name} extends mix(A, B) {{\n{''.join(methods)}}}\n"
+
+    def variable():
+        name = g.name()
+        g.note("variable", [*path, name])
+        value = g.rng.choice(["{ class: 1, f() { return 2; } }", "[1, /}/g]", "(x) => ({ y: x })", "`a${`b${1}`}c`"])
+        return f"{g.rng.choice(['const', 'let', 'var'])} {name} = {value};\n"
+
+    def of_types():
+        word, name = g.rng.choice(["interface", "type_alias", "enum", "namespace"]), g.name(True)
+        g.note(word, [*path, name])
+        if word == "namespace":
+            return f"namespace {name} {{\n{script(g, [*path, name], 0)}}}\n"
+        return {"interface": f"export interface {name}<T = {{}}> extends A<T>, B {{ f(x: T): void; readonly [k: string]: unknown }}\n", "type_alias": f"type {name}<K> = K extends `${{infer R}}` ? {{ [P in R]: () => void }} : never;\n", "enum": f"const enum {name} {{ A = 1 << 2, B = 'class' }}\n"}[word]
+
+    options = [function, kind, variable, lambda: g.noise("//", ("/* ", "*/"), "'class no { }';")] + ([of_types] if typed and deep else [])
+    return "".join(g.rng.choice(options)() for _ in range(g.rng.randint(2, 6)))
+
+
+GROW = {"rust": rust, "python": python, "cpp": cpp, "java": java, "javascript": script, "typescript": script}
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+@pytest.mark.parametrize("language", GROW)
+def test_symbols_of_grown_programs(language, seed):
+    g = Grower(seed, language)
+    code = GROW[language](g, [], 2)
+    data, found = code.encode(), symbols(code.encode(), language)
+    assert [(s["kind"], s["fully_qualified"]) for s in found] == g.want, code
+    for s in found:
+        own, before = data[s["byte_start"] : s["byte_end"]], data[: s["byte_start"]]
+        assert s["name"].encode() in own
+        assert (s["line_start"], s["col_start"]) == (before.count(b"\n") + 1, len(before) - before.rfind(b"\n") - 1)
+        assert s["line_end"] == s["line_start"] + own.count(b"\n")
+        inside = [x for x in found if x["fully_qualified"].startswith(s["fully_qualified"] + SEPARATOR.get(language, "::")) and s["kind"] != "impl"]
+        assert all(s["byte_start"] <= x["byte_start"] and x["byte_end"] <= s["byte_end"] for x in inside)
+    assert syntax_ok(data, language), code
+
+
+def test_members_carry_their_modifiers():
+    """One source a language in which each modifier occurs with and without its neighbours."""
+    rows = {s["name"]: s for s in symbols("mod coast { pub(in crate::coast) const unsafe fn ebb(ref mut pull: Moon, (lo, hi): (u8, u8), _: ()) {} async fn flow<F>(self: Box<Self>, f: F) {} pub trait Wave {} }".encode(), "rust")}
+    assert {n: (r["visibility"]["level"], r["visibility"]["scope"], r["flags"]["is_async"], r["parameters"]) for n, r in rows.items()} == {
+        "coast": ("private", None, False, []), "ebb": ("restricted", "pub(in crate::coast)", False, ["pull", "lo", "_"]), "flow": ("private", None, True, ["f"]), "Wave": ("public", None, False, []),
+    }
+    rows = {s["name"]: s for s in symbols(b"class Reed:\n    async def bend(self, /, by, *rest, why=None, **more): pass\n    def stand(cls): pass\n", "python")}
+    assert (rows["bend"]["flags"]["is_async"], rows["bend"]["parameters"], rows["stand"]["flags"]["is_async"]) == (True, ["by", "rest", "why", "more"], False)
+    rows = {s["name"]: s for s in symbols(b"abstract class Moor { public static final <T> T peat(T[] a, Map<T, ? super T>... b) { return null; } protected abstract void fen(); public int bog; }", "java")}
+    assert {n: (r["flags"]["is_public"], r["flags"]["is_static"], r["parameters"]) for n, r in rows.items()} == {"Moor": (False, False, []), "peat": (True, True, ["a", "b"]), "fen": (False, False, []), "bog": (True, False, [])}
+    rows = {s["name"]: s for s in symbols(b"export async function sand(a, { b }, [c] = [], ...d) {}\nfunction silt() {}\nexport class Loam {}", "typescript")}
+    assert {n: (r["flags"]["is_async"], r["flags"]["is_exported"]) for n, r in rows.items()} == {"sand": (True, True), "silt": (False, False), "Loam": (False, True)}
+    (s,) = symbols("/* ø */ template <class T> auto dune(T&& wind, std::vector<std::pair<T, int>> grains) { return wind; }".encode(), "cpp")
+    assert (s["kind"], s["parameters"], s["byte_start"], s["flags"]["is_template"]) == ("template_function", ["wind", "grains"], 9, True)
+
+
+def imported(g: Grower) -> tuple[str, list]:
+    """One statement and the facts (kind, path, names, is_glob) that it gives."""
+    a, b, c, d = (g.name() for _ in range(4))
+    pick = g.rng.choice
+    if g.language == "rust":
+        top, kind = pick([("crate", "UseCrate"), ("super", "UseSuper"), ("self", "UseSelf"), (a, "PlainUse")])
+        head = pick(["", "pub ", "pub(crate) ", "#[cfg(test)]\n"])
+        form = pick(["name", "star", "list", "alias", "deep"])
+        tail, facts = {
+            "name": (f"{b}::{c}", [(kind, [top, b], [c], False)]), "star": (f"{b}::{c}::*", [(kind, [top, b, c], ["*"], True)]), "list": (f"{b}::{{ {c}, {d} as r#{a}x, }}", [(kind, [top, b], [c, f"{a}x"], False)]),
+            "alias": (f"{b} as {d}", [(kind, [top], [d], False)]), "deep": (f"{{{b}::{{{c}, self}}, {d}}}", [(kind, [top], [d], False), (kind, [top, b], [c, "self"], False)]),
+        }[form]
+        return f"{head}use {top}::{tail};\n", facts
+    if g.language == "python":
+        dots, kind = pick([("", "PythonFrom"), (".", "PythonFromRelative"), ("..", "PythonFromParent"), ("....", "PythonFromAncestor")])
+        where, path = pick([(a, [a]), (f"{a}.{b}", [a, b])])
+        form = pick(["plain", "many", "star", "wrapped"])
+        if form == "plain":
+            return f"import {a}.{b}.{c} as {d}, {c}\n", [("PythonImport", [a, b, c], [d], False), ("PythonImport", [c], [c], False)]
+        names = {"many": (f"{c}, {d} as {a}z", [c, f"{a}z"]), "star": ("*", ["*"]), "wrapped": (f"(  # {b}\n    {c},\n    {d},\n)", [c, d])}[form]
+        return f"from {dots}{where} import {names[0]}\n", [(kind, ([dots] if dots else []) + path, names[1], form == "star")]
+    if g.language in ("c", "cpp"):
+        return pick([(f"  #  include <{a}/{b}.hpp> // {c}\n", [("CppSystemInclude", [a, f"{b}.hpp"], [], False)]), (f'#include "../{a}/{c}.inl"\n', [("CppLocalInclude", ["..", a, f"{c}.inl"], [], False)])])
+    if g.language == "java":
+        still, kind = pick([("static ", "JavaStaticImport"), ("", "JavaImport")])
+        return pick([(f"import {still}{a}.{b}.{c}.*;\n", [(kind, [a, b, c], [], True)]), (f"import {still}{a}.{b}.{d};\n", [(kind, [a, b, d], [], False)])])
+    where, path = pick([(f"../{a}/{b}", ["..", a, b]), (f"@{a}/{b}/{c}", [f"@{a}", b, c])])
+    forms = [
+        (f"import {{ {c}, {d} as {b}y }} from '{where}';\n", [("JsImport", path, [c, f"{b}y"], False)]), (f'import * as {d} from "{where}"\n', [("JsNamespaceImport", path, [d], True)]), (f"import '{where}';\n", [("JsSideEffectImport", path, [], False)]),
+        (f"import {d} from '{where}';\n", [("JsDefaultImport", path, [d], False)]),
+    ]
+    if g.language == "typescript":
+        forms += [(f"import type {{ {c}, {d} }} from '{where}';\n", [("TsTypeImport", path, [c, d], False)]), (f"import type {c} from '{where}';\n", [("TsTypeDefaultImport", path, [c], False)]), (f"import {{ type {c}, {d} }} from '{where}';\n", [("JsImport", path, [c, d], False)])]
+    else:
+        forms.append((f"let {d} = require('{where}');\n", [("JsRequire", path, [d], False)]))
+    return pick(forms)
+
+
+@pytest.mark.parametrize("seed", SEEDS)
+@pytest.mark.parametrize("language", ["rust", "python", "c", "cpp", "java", "javascript", "typescript"])
+def test_imports_of_grown_programs(language, seed):
+    g = Grower(seed, language)
+    out, want = [], []
+    for _ in range(6):
+        code, facts = imported(g)
+        at = len("".join(out).encode()) + len(code) - len(code.lstrip())
+        want += [(*f, at if not code.startswith("#[") else None) for f in facts]
+        out.append(code)
+        out += [{"python": "# import no\n'from no import no'\n"}.get(language, "/* import no; */ // use no::no;\n")]
+    data = "".join(out).encode()
+    found = imports(data, language)
+    assert sorted((f["import_kind"], f["path"], f["imported_names"], f["is_glob"]) for f in found) == sorted(w[:4] for w in want), data.decode()
+    starts = {(f["import_kind"], *f["path"], *f["imported_names"]): f["byte_start"] for f in found}
+    for kind, path, names, _, at in want:
+        assert at is None or data[: starts[kind, *path, *names]].count(b"\n") == data[:at].count(b"\n")
 
 
-def test_import_spans_and_reexports():
-    (f,) = imports(b"use crate::tar;", "rust")
-    assert (f["byte_start"], f["byte_end"]) == (0, 15)
-    assert imports(b"pub(crate) use deck::rail;", "rust")[0]["is_reexport"]
-    assert imports(b"import lake.boats.Tug;\n", "java")[0]["byte_end"] == 22
+def test_reexports_need_a_visibility():
+    data = b"use a::b;\npub use c::d;\npub(in crate::e) use f::*;\nfn g() { use h::i; }\n"
+    assert [(f["path"], f["is_reexport"]) for f in imports(data, "rust")] == [(["a"], False), (["c"], True), (["f"], True), (["h"], False)]
 
 
-def test_scopes_declare_from_a_place_on():
-    code = b"fn bridge() { pipe(); let crew = 4; { let pipe = 2; } }\nfn pipe() {}"
+def test_a_name_holds_from_its_declaration_on():
+    """Closures, matches, loops and blocks: every use is inside a scope that declares its name, or is free."""
+    code = b"fn helm(course: u8) { wind(course); let sea = |swell: u8| swell + course; match sea { Calm(depth) if depth > 2 => depth, other => other }; { let keel = 1; keel } }"
     rows, declared = scopes(Source(code, "rust"))
-    assert {d["name"] for d in declared} == {"bridge", "pipe", "crew"}
-    assert rows[0]["parent_id"] is None and all(r["parent_id"] is not None for r in rows[1:])
-    calls = [i for i in identifiers(Source(code, "rust")) if i["parent_kind"] == "call"]
-    assert [code[i["byte_start"] : i["byte_end"]] for i in calls] == [b"pipe"]
+    where = {r["scope_id"]: (r["byte_start"], r["byte_end"]) for r in rows}
+    held = {}
+    for d in declared:
+        held.setdefault(d["name"], []).append((max(d["declaration_pos"], where[d["scope_id"]][0]), where[d["scope_id"]][1]))
+    assert {"helm", "course", "sea", "swell", "depth", "other", "keel"} <= set(held) and "wind" not in held
+    for use in identifiers(Source(code, "rust")):
+        if use["name"] in ("swell", "depth", "keel", "other", "sea"):
+            assert any(a <= use["byte_start"] < b for a, b in held[use["name"]]), use
 
 
 def test_scopes_of_long_headers():

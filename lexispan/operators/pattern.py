@@ -20,15 +20,18 @@ def outside_kinds(matches: DataFrame, nodes: DataFrame, kinds: list[str], key: s
     return met.drop("node_id")
 
 
-def find(files: DataFrame, needle: str, comments: DataFrame | None = None) -> DataFrame:
-    """(file_path, nth, byte_start, byte_end, line_no, col): a literal that itself begins a line comment is found in comments too."""
+def places(files: DataFrame, needle: str, comments: DataFrame | None = None) -> DataFrame:
+    """(file_path, nth, byte_start, byte_end): a literal that itself begins a line comment is found in comments too."""
     found = literal_positions(files, needle)
-    if comments is not None and not needle.startswith("//"):
-        found = outside_nodes(found, comments)
-    return locate(found, files, "byte_start")
+    return outside_nodes(found, comments) if comments is not None and not needle.startswith("//") else found
+
+
+def find(files: DataFrame, needle: str, comments: DataFrame | None = None) -> DataFrame:
+    """The places with their line_no and col."""
+    return locate(places(files, needle, comments), files, "byte_start")
 
 
 def replacements(files: DataFrame, needle: str, new: str, comments: DataFrame | None = None) -> DataFrame:
-    """The finds as replacements for ``rewrite.rewritten``."""
-    found = find(files, needle, comments)
+    """The places as replacements for ``rewrite.rewritten``."""
+    found = places(files, needle, comments)
     return found.select(F.lit(0).cast("bigint").alias("batch_no"), F.col("nth").alias("ordinal"), "file_path", "byte_start", "byte_end", F.lit(new).alias("content"))

@@ -1,4 +1,4 @@
-"""The seven commands: facts and edits as DataFrames, a verdict, then one commit on the driver.
+"""The seven commands: facts and edits as DataFrames, a verdict, then one journalled commit by the executors.
 
 Nothing is written before all gates that need no files have passed; gates that run
 compilers over the workspace follow the write, which they undo if they fail.
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lexispan.errors import SpanError, not_found
 from lexispan.functions.naming import language_of, module_path
 from lexispan.operators import extract, gates, labels, pattern, references, resolve, rewrite
-from lexispan.sources import backup, facts, files
-from lexispan.sources.commit import commit
+from lexispan.sources import backup, facts, files, journal
+from lexispan.sources.scratch import discard, written
 
 
 def _language(path: str, given: str | None) -> str:
@@ -63,19 +63,19 @@ def _check(edits: DataFrame, sources: DataFrame) -> None:
 def apply(spark: SparkSession, edits: DataFrame, sources: DataFrame, *, workspace: str | None = None, language: str | None = None, compilers: bool = False, analyzer: str = "off", validate: bool = True, create_backup: bool = False, operation_id: str | None = None, write: bool = True) -> dict:
     """Check, rewrite, gate and commit edits; all files or none. Gives the files' hashes and the backup's manifest."""
     _check(edits, sources)
-    out = rewrite.rewritten(edits, sources).join(sources.select("file_path", "language"), "file_path").orderBy("file_path")
-    rows = out.collect()  # what a command changes fits the driver, as it writes it
+    out = written(rewrite.rewritten(edits, sources).join(sources.select("file_path", "language"), "file_path").select("file_path", "language", "after", "before_sha256", "after_sha256", "n_edits"), "rewritten")
     if validate:
-        failed = gates.parse_gate(spark.createDataFrame(rows, out.schema)).where("NOT is_valid").orderBy("file_path").collect() if rows else []
+        failed = gates.parse_gate(out).where("NOT is_valid").orderBy("file_path").limit(1).collect()
         if failed:
             raise SpanError("ParseValidationFailed", f"Parse validation failed: file '{failed[0].file_path}' - the result has syntax errors", file=failed[0].file_path)
+    rows = out.drop("after").orderBy("file_path").collect()  # names and hashes: what the payload lists
     result = {"files": [{"file": r.file_path, "before_hash": r.before_sha256, "after_hash": r.after_sha256, "replacements": r.n_edits} for r in rows]}
     if not write:
         return result
     manifest = None
     if create_backup and rows:
         base = workspace or os.path.commonpath([os.path.dirname(r.file_path) for r in rows])
-        operation_id, manifest = backup.save(base, [r.file_path for r in rows], operation_id)
+        operation_id, manifest = backup.save(base, [r.file_path for r in rows], operation_id, spark)
 
     def gate() -> None:
         if compilers:
@@ -89,7 +89,10 @@ def apply(spark: SparkSession, edits: DataFrame, sources: DataFrame, *, workspac
         if analyzer != "off" and workspace:
             gates.analyzer_gate(workspace, analyzer)
 
-    commit([(r.file_path, r.before.encode(), r.after.encode()) for r in rows], gate)
+    if rows:
+        base = workspace or os.path.commonpath([os.path.dirname(r.file_path) for r in rows])
+        journal.commit(spark, out, base, gate if compilers or analyzer != "off" else None)
+    discard(out)
     return result | {"operation_id": operation_id, "backup_manifest": manifest}
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.functions import spans
-from lexispan.operators import binding, nesting, resolve
-from lexispan.sources.scratch import written
+from lexispan.operators import binding, nesting, resolve, script
+from lexispan.sources import grams
+from lexispan.sources.scratch import scratch_path, written
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -147,3 +148,38 @@ def link_calls(spark, sf_dir):
     """Which section or link of a page leads to which symbol, how often."""
     bound, symbols = _bound(spark, sf_dir)
     return binding.calls(bound, symbols).withColumnRenamed("file_path", "page_id").withColumnRenamed("target_file", "target_page")
+
+
+_NEEDLE = "token = "
+
+
+@_query(f"""WITH q AS (SELECT doc_id, unnest(string_split(text, '{_NEEDLE}')) AS piece, generate_subscripts(string_split(text, '{_NEEDLE}'), 1) AS k, len(string_split(text, '{_NEEDLE}')) AS parts FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (k - 1)::BIGINT AS nth, fin - {len(_NEEDLE)} AS byte_start, fin AS byte_end FROM (SELECT doc_id, k, parts, (sum(octet_length(encode(piece)) + {len(_NEEDLE)}) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS fin FROM q) WHERE k < parts""")
+def gram_find(spark, sf_dir):
+    """A literal found through a gram index of all documents: blocks that lack one of its grams are not read."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"))
+    path = scratch_path(spark, "grams", sweep=True)
+    grams.build(files, path)
+    return grams.find(spark, path, _NEEDLE).withColumnRenamed("file_path", "doc_id")
+
+
+#: Steps as characters of the text that each finds: put before, put for a stretch across the end of what was put, taken out, put inside what is new.
+@_query("""WITH a AS (SELECT doc_id, text, '<<<ü>>>' || text AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, text, left(t, 5) || 'nové' || substr(t, 10) AS t FROM a), c AS (SELECT doc_id, text, CASE WHEN length(t) > 40 THEN left(t, 20) || substr(t, 31) ELSE t END AS t FROM b),
+d AS (SELECT doc_id, text, left(t, 6) || '··' || substr(t, 8) AS t FROM c) SELECT doc_id, sha256(text) AS before_sha256, sha256(t) AS after_sha256 FROM d""")
+def composed_edits(spark, sf_dir):
+    """Four steps, each over what the last one left, composed and applied in one pass over the texts."""
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").alias("file_path"), F.col("text").alias("content"))
+    size = lambda n: F.octet_length(F.left("content", F.lit(n))).cast("bigint")  # noqa: E731  bytes of the first characters
+    chars = F.length("content")
+    head, new = len("<<<ü>>>".encode()), "nové"
+    # after the second step: five characters of the head, the new word, and the text from its third character on
+    begin = len("<<<ü>".encode()) + len(new.encode())
+    long = F.greatest(chars - 2, F.lit(0)) + 9 > 40
+    step = lambda n, a, b, text, on=None: F.when(F.lit(True) if on is None else on, F.struct(F.lit(n).alias("step"), a.cast("bigint").alias("byte_start"), b.cast("bigint").alias("byte_end"), F.lit(text).alias("content")))
+    steps = F.array_compact(F.array(
+        step(0, F.lit(0), F.lit(0), "<<<ü>>>"), step(1, F.lit(len("<<<ü>".encode())), head + size(2), new),
+        step(2, begin + size(13) - size(2), begin + size(23) - size(2), "", long), step(3, F.lit(len("<<<ü>n".encode())), F.lit(len("<<<ü>no".encode())), "··"),
+    ))
+    done = script.scripted(files.select("file_path", F.inline(steps)), files)
+    return done.select(F.col("file_path").alias("doc_id"), "before_sha256", "after_sha256")

@@ -9,12 +9,14 @@ import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispan.errors import SpanError
 from lexispan.functions.spans import sha256
 from lexispan.schema import MANIFEST
+from lexispan.session import ship
 from lexispan.sources.commit import write_atomic
 
 FOLDER = ".span-backup"
@@ -26,22 +28,38 @@ def verified(manifest: DataFrame, copies: DataFrame) -> DataFrame:
     return met.withColumn("status", F.when(F.col("_hash").isNull(), "missing").when(F.col("_hash") != F.col("hash"), "mismatch").otherwise("ok")).drop("_hash")
 
 
-def save(workspace: str, paths: list[str], operation_id: str | None = None) -> tuple[str, str]:
-    """Copy files, each once, into the workspace's backup folder; (operation id, path of the manifest)."""
+def _copy(path: str, target: str) -> tuple[str, int]:
+    """Copy a file; its hash and size."""
+    data = Path(path).read_bytes()
+    Path(target).parent.mkdir(parents=True, exist_ok=True)
+    write_atomic(target, data)
+    return hashlib.sha256(data).hexdigest(), len(data)
+
+
+def save(workspace: str, paths: list[str], operation_id: str | None = None, spark: SparkSession | None = None) -> tuple[str, str]:
+    """Copy files, each once, into the workspace's backup folder; (operation id, path of the manifest). With a session the executors copy, and the driver only lists hashes."""
     op = operation_id or str(uuid.uuid4())
     folder = Path(workspace) / FOLDER / op
-    files = []
+    pairs = []
     for p in dict.fromkeys(os.path.abspath(p) for p in paths):
         relative = os.path.relpath(p, workspace)
         if relative.startswith(".."):
             raise SpanError("Other", f"{p} is outside the workspace {workspace}", file=p)
-        data = Path(p).read_bytes()
-        target = folder / relative
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(data)
-        files.append({"original_path": relative, "hash": hashlib.sha256(data).hexdigest(), "size": len(data)})
-    manifest = folder / "manifest.json"
+        pairs.append((p, str(folder / relative), relative))
+    if spark is None:
+        found = [(r, *_copy(p, t)) for p, t, r in pairs]
+    else:
+        ship(spark)
+
+        def run(batches):
+            for b in batches:
+                said = [_copy(p, t) for p, t in zip(b.column("path").to_pylist(), b.column("target").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([h for h, _ in said]), pa.array([n for _, n in said])], ["name", "hash", "size"])
+
+        found = [tuple(r) for r in spark.createDataFrame(pairs, "path string, target string, name string").mapInArrow(run, "name string, hash string, size bigint").orderBy("name").collect()]
     folder.mkdir(parents=True, exist_ok=True)
+    manifest = folder / "manifest.json"
+    files = [{"original_path": name, "hash": h, "size": n} for name, h, n in found]
     manifest.write_text(json.dumps({"operation_id": op, "timestamp": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "files": files}, indent=2))
     return op, str(manifest)
 

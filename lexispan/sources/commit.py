@@ -1,4 +1,4 @@
-"""The only module that writes users' files: gated results, each file by rename, all or none."""
+"""How a user's file is written: beside it, to disk, and then by rename."""
 
 from __future__ import annotations
 
@@ -25,21 +25,3 @@ def write_atomic(path: str, data: bytes) -> None:
         if os.path.exists(part):
             os.unlink(part)
         raise SpanError("Io", f"I/O error for path {path}: {e}", file=path) from e
-
-
-def commit(changes: list[tuple[str, bytes, bytes]], gate=None) -> None:
-    """Write (path, before, after) in path order; a file that changed meanwhile, a failed write or a failed gate puts all back, last first."""
-    done: list[tuple[str, bytes]] = []
-    try:
-        for path, before, after in sorted(changes):
-            with open(path, "rb") as f:
-                if f.read() != before:
-                    raise SpanError("Other", f"{path} changed since it was read", file=path)
-            write_atomic(path, after)
-            done.append((path, before))
-        if gate is not None:
-            gate()
-    except BaseException:
-        for path, before in reversed(done):
-            write_atomic(path, before)
-        raise

@@ -17,7 +17,7 @@ from lexispan.functions.naming import EXTENSIONS, detect_language
 from lexispan.operators.extract import source_files
 
 #: Names that a copy of a workspace leaves out.
-SKIPPED = (".git", ".svn", ".hg", "target", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode", "dist", "build", ".pytest_cache", ".span-backup")
+SKIPPED = (".git", ".svn", ".hg", "target", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode", "dist", "build", ".pytest_cache", ".span-backup", ".span-journal")
 
 
 _WILD = re.compile(r"[*?\[{]")

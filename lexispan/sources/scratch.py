@@ -26,8 +26,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_folder(spark), f"lexispan-{name}-{uuid.uuid4().hex}")
+def scratch_path(spark: SparkSession, name: str, sweep: bool = False) -> str:
+    """A new path in the shared folder; with ``sweep`` what is written there goes when the process ends."""
+    path = os.path.join(shared_folder(spark), f"lexispan-{name}-{uuid.uuid4().hex}")
+    if sweep:
+        _left(spark).append(path)
+    return path
+
+
+def _left(spark: SparkSession) -> list[str]:
+    """Paths to be removed at the process's end."""
+    left = getattr(spark.sparkContext, "_lexispan_left", None)
+    if left is None:
+        left = spark.sparkContext._lexispan_left = []
+        atexit.register(_sweep, spark, left)
+    return left
 
 
 def _sweep(spark: SparkSession, paths: list[str]) -> None:
@@ -44,12 +57,7 @@ def _sweep(spark: SparkSession, paths: list[str]) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, read again: cuts the lineage and outlives executors. It goes when the process ends, if ``discard`` has not removed it before."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    left = getattr(spark.sparkContext, "_lexispan_left", None)
-    if left is None:
-        left = spark.sparkContext._lexispan_left = []
-        atexit.register(_sweep, spark, left)
-    left.append(path)
+    path = scratch_path(spark, name, sweep=True)
     df.write.option("compression", "zstd" if name.endswith("z") else "snappy").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexispan_path = path

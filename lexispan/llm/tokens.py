@@ -137,8 +137,9 @@ class BatchEncoder:
             n = np.diff(np.flatnonzero(self.marks[ids]), append=len(ids))
         return (ids, n) if len(n) == len(pieces) and n.sum() == len(ids) else self._each(pieces)
 
-    def _learn(self, pieces: pa.Array) -> None:
-        """Encode pieces that are not known."""
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Encode pieces that are not known; their places among the known."""
+        place, base = np.zeros(len(pieces), np.int64), len(self.known.pieces)
         data, ends = flat(pieces)
         starts, size = ends[:-1], np.diff(ends)
         total = np.concatenate(([0], np.cumsum(_LETTER[data], dtype=np.int64)))
@@ -151,22 +152,27 @@ class BatchEncoder:
         for own, how in ((np.flatnonzero(plain), True), (np.flatnonzero(many & ~plain), False), (np.flatnonzero(~many & ~plain), None)):
             if not len(own):
                 continue
+            place[own] = base + np.arange(len(own))
+            base += len(own)
             own, out = pieces.take(pa.array(own)), []
             for at in range(0, len(own), self.together):
                 part = own.slice(at, self.together)
                 out.append(self._each(part) if how is None else self._joined(part, how))
             self.known.add(own, *(np.concatenate(x) for x in zip(*out, strict=True)))
+        return place
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Of each distinct piece where it stands among the known ones."""
         at = pc.index_in(pieces, value_set=self.known.pieces)
-        if at.null_count:
-            new = pieces.filter(at.is_null())
-            if len(self.known.pieces) + len(new) > self.keep:
-                self.known, new = _Known(), pieces  # those of this batch come again soonest
-            self._learn(new)
-            at = pc.index_in(pieces, value_set=self.known.pieces)
-        return at.to_numpy()
+        unknown = np.asarray(at.is_null())
+        new = int(unknown.sum())
+        if len(self.known.pieces) + new > self.keep:
+            self.known = _Known()  # those of this batch come again soonest
+            return self._learn(pieces)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        if new:
+            place[unknown] = self._learn(pieces.filter(at.is_null()))
+        return place
 
     def _lowered(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The texts without capitals of A to Z, as their case is lost; but a letter under a mark is the library's matter, and so is what only looks like a special token."""

@@ -21,8 +21,6 @@ LABELS = {
     "const": "symbol_variable", "static": "symbol_variable", "constructor": "symbol_constructor", "type_alias": "symbol_type_alias",
 }
 
-#: What stands between the parts of a qualified name.
-SEPARATORS = {"rust": "::", "python": "::", "c": "::", "cpp": "::", "javascript": "::", "typescript": "::", "java": "."}
 
 #: Entity labels of a symbol beside its language.
 SHORT_KINDS = {"function": "fn", "type_alias": "typealias"}
@@ -68,17 +66,6 @@ def parent_module(module: Column | str, sep: str = "::") -> Column:
     return F.when(F.contains(m, F.lit(sep)), F.regexp_extract(m, "^(.*)\\Q" + sep + "\\E", 1))
 
 
-def qualified_name(language: Column, container: Column, name: Column) -> Column:
-    sep = F.coalesce(lookup(SEPARATORS, language), F.lit("::"))
-    return F.when(F.coalesce(container, F.lit("")) == "", name).otherwise(F.concat(container, sep, name))
-
-
-def import_kind(path: Column | str) -> Column:
-    """Kind of a Rust import by the first part of its path."""
-    first = F.element_at(as_column(path), 1)
-    return F.when(first == "crate", "UseCrate").when(first == "super", "UseSuper").when(first == "self", "UseSelf").otherwise("PlainUse")
-
-
 def remediation(code: Column | str) -> Column:
     """Documentation of a compiler's code: E and four digits, or TS and digits."""
     c = as_column(code)

@@ -35,5 +35,6 @@ def chunk_at(chunks: DataFrame, file: str, start: int, end: int) -> DataFrame:
     return chunks.where((F.col("file_path") == file) & (F.col("byte_start") == start) & (F.col("byte_end") == end))
 
 
-def chunks_of(chunks: DataFrame, file: str, symbol: str) -> DataFrame:
-    return chunks.where((F.col("file_path") == file) & (F.col("symbol_name") == symbol))
+def chunks_of(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Chunks of the symbols (file_path, symbol_name) that are asked for."""
+    return chunks.join(asked.select("file_path", "symbol_name"), ["file_path", "symbol_name"], "left_semi")

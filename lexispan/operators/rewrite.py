@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispan.functions.spans import boundary_byte, locate, sha256, with_bytes
+from lexispan.functions.spans import boundary_byte, sha256, with_bytes
 
 
 def overlaps(replacements: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
@@ -65,13 +65,21 @@ def line_count(text: Column) -> Column:
 
 
 def preview(replacements: DataFrame, files: DataFrame) -> DataFrame:
-    """Per replacement its lines in the file, and lines and bytes taken out and put in."""
-    met = _by_file(locate(replacements, files, "byte_start"), files)
-    cut = lambda data: lambda x: F.struct(x.alias("r"), line_count(F.substring(data, (x["byte_start"] + 1).cast("int"), (x["byte_end"] - x["byte_start"]).cast("int")).cast("string")).alias("lines_removed"))
-    rows = met.select(F.inline(with_bytes("_text", lambda data: F.transform("_rows", cut(data)))))
+    """Per replacement its lines in the file, and lines and bytes taken out and put in.
+
+    A text meets its replacements once, in order of their starts: line ends are counted between one
+    start and the next, and summed inside the file.
+    """
+    met = _by_file(replacements, files).withColumn("_rows", F.sort_array(F.transform("_rows", lambda x: F.struct(x["byte_start"].alias("at"), x.alias("r")))))
+    part = lambda data, a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+    ends = lambda text: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("bigint")
+    last = lambda i: F.when(i > 0, F.get("_rows", i - 1)["at"]).otherwise(F.lit(0))
+    cut = lambda data: lambda x, i: F.struct(x["r"].alias("r"), i.alias("i"), ends(part(data, last(i), x["at"])).alias("ends"), line_count(part(data, x["at"], x["r"]["byte_end"])).alias("lines_removed"))
+    rows = met.select("file_path", F.inline(with_bytes("_text", lambda data: F.transform("_rows", cut(data)))))
+    rows = rows.withColumn("line_start", (F.sum("ends").over(Window.partitionBy("file_path").orderBy("i")) + 1).cast("bigint"))
     return rows.select(
-        *[F.col(f"r.{c}").alias(c) for c in replacements.columns if c != "content"], F.col("r.line_no").alias("line_start"),
-        (F.col("r.line_no") + F.greatest(F.col("lines_removed") - 1, F.lit(0))).cast("bigint").alias("line_end"),
+        *[F.col(f"r.{c}").alias(c) for c in replacements.columns if c != "content"], "line_start",
+        (F.col("line_start") + F.greatest(F.col("lines_removed") - 1, F.lit(0))).cast("bigint").alias("line_end"),
         "lines_removed", line_count(F.col("r.content")).alias("lines_added"),
         (F.col("r.byte_end") - F.col("r.byte_start")).alias("bytes_removed"), F.octet_length("r.content").cast("bigint").alias("bytes_added"),
     )

@@ -2,7 +2,7 @@
 
 The tables hold prose and web pages, so documents stand for source files, their
 literals for symbols, lines for scopes, HTML comments for comments, and links for
-imports. Parsers of the programming languages run over inline sources.
+imports.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexispan.functions import diagnostics, naming, spans
 from lexispan.operators import labels as label_ops
 from lexispan.operators import pattern, references, resolve, rewrite
+from lexispan.plans import language_queries, structure_queries
 
 #: Registered queries and SQL by name.
 _QUERIES: dict = {}
@@ -30,14 +31,10 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from lexispan.plans import language_queries, structure_queries
-
     return _QUERIES | language_queries.queries() | structure_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispan.plans import language_queries, structure_queries
-
     return _SQL | language_queries.oracle_sql() | structure_queries.oracle_sql()
 
 
@@ -329,16 +326,18 @@ def backup_verify(spark, sf_dir):
     return verified(manifest, copies).select(F.col("original_path").alias("doc_id"), "size", "status")
 
 
-_RUNS = [
-    ("rust", "src/main.rs", "error[E0277]: the trait bound is not satisfied\n  --> src/main.rs:10:5\n   |\nhelp: consider this\n  = note: required by that\nwarning: unused\n  --> src/lib.rs:2:9\nerror: aborting"),
-    ("gcc", "test.c", "test.c:3:5: error: expected ';' before '}'\ntest.c: In function\ntest.c:9:1: warning: unused: x"),
-]
+_RUSTC = "error[E0277]: the bound of {w} is not satisfied\n  --> src/{w}.rs:{n}:5\n   |\nhelp: consider {w}\n  = note: required by that\nwarning: unused {w}\n  --> src/lib.rs:2:9\nerror: aborting"
+_GCC = "{w}.c:{n}:5: error: no ';' before '{w}'\n{w}.c: In function\n{w}.c:9:1: warning: unused: {w}"
 
 
-@_query("""SELECT * FROM (VALUES ('rust', 'error', 'src/main.rs', 10::BIGINT, 5::BIGINT, 'the trait bound is not satisfied', 'E0277', 'consider this' || chr(10) || 'required by that', 'https://doc.rust-lang.org/error-index.html#E0277'),
-('rust', 'warning', 'src/lib.rs', 2, 9, 'unused', NULL, NULL, NULL), ('gcc', 'error', 'test.c', 3, 5, 'error: expected '';'' before ''}''', NULL, NULL, NULL), ('gcc', 'warning', 'test.c', 9, 1, 'warning: unused: x', NULL, NULL, NULL))
-t(run_id, level, file, line, "column", message, code, note, remediation)""")
+@_query(f"""WITH t AS (SELECT doc_id, {language_queries.FIRST_WORDS_SQL} AS w, length(text)::BIGINT AS n FROM (SELECT doc_id, coalesce(min(text), '') AS text FROM documents GROUP BY 1))
+SELECT 'rustc ' || doc_id AS run_id, 'error' AS level, 'src/' || w || '.rs' AS file, n AS line, 5::BIGINT AS "column", 'the bound of ' || w || ' is not satisfied' AS message, 'E0277' AS code, 'consider ' || w || chr(10) || 'required by that' AS note, 'https://doc.rust-lang.org/error-index.html#E0277' AS remediation FROM t
+UNION ALL SELECT 'rustc ' || doc_id, 'warning', 'src/lib.rs', 2, 9, 'unused ' || w, NULL, NULL, NULL FROM t
+UNION ALL SELECT 'gcc ' || doc_id, 'error', w || '.c', n, 5, 'error: no '';'' before ' || chr(39) || w || chr(39), NULL, NULL, NULL FROM t UNION ALL SELECT 'gcc ' || doc_id, 'warning', w || '.c', 9, 1, 'warning: unused: ' || w, NULL, NULL, NULL FROM t""")
 def diagnostics_parse(spark, sf_dir):
-    runs = spark.createDataFrame(_RUNS, "run_id string, file string, output string")
-    rows = diagnostics.rustc(runs.where("run_id = 'rust'")).unionByName(diagnostics.gcc(runs.where("run_id = 'gcc'")))
+    """What two compilers say of each document's words and length, as rows."""
+    d = language_queries.texts(spark, sf_dir).select("doc_id", language_queries.first_words().alias("w"), F.length("text").cast("string").alias("n"))
+    said = lambda text: F.replace(F.replace(F.lit(text), F.lit("{w}"), F.col("w")), F.lit("{n}"), F.col("n"))
+    runs = lambda tool, text: d.select(F.concat(F.lit(f"{tool} "), F.col("doc_id").cast("string")).alias("run_id"), F.concat("w", F.lit(".c")).alias("file"), said(text).alias("output"))
+    rows = diagnostics.rustc(runs("rustc", _RUSTC)).unionByName(diagnostics.gcc(runs("gcc", _GCC)))
     return rows.withColumn("remediation", naming.remediation("code")).drop("nth")

@@ -1,4 +1,4 @@
-"""Queries of the language parsers: over a few sources with goldens, and over sources made from each document."""
+"""Queries of the language parsers: over sources that hold the lines of pages and documents as remarks, and their words as names."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexispan.functions import diagnostics, naming
 from lexispan.operators import extract, labels, pattern, references, resolve, rewrite
+from lexispan.sources.scratch import written
 
 _SOURCES = {
     "rust": ("src/tide.rs", "pub struct Buoy { depth: f64 }\nenum Swell { Low, High(u8) }\nmod charts {\n    pub(super) fn sound(lead: &Line, fathoms: u32) -> u32 { fathoms }\n}\npub trait Drift { fn lean(&self); }\nimpl Drift for Buoy { fn lean(&self) {} }\n"),
@@ -53,14 +54,34 @@ _SYMBOLS = {
 }
 
 
-def _files(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return extract.source_files(spark.createDataFrame(rows, "file_path string, content string"))
+#: How a remark begins.
+_MARK = {"py": "#"}
+
+
+def _remarks(text, mark: str):
+    """The lines of a text as remarks of a source."""
+    return F.concat(F.lit(f"{mark} "), F.replace(text, F.lit("\n"), F.lit(f"\n{mark} ")), F.lit("\n"))
+
+
+def _remarks_sql(text: str, mark: str = "//") -> str:
+    return f"'{mark} ' || replace({text}, chr(10), chr(10) || '{mark} ') || chr(10)"
+
+
+def _size_sql(text: str) -> str:
+    return f"octet_length(encode({text}))"
+
+
+def _paged(spark: SparkSession, sf_dir: str, sources: list[tuple[str, str]]) -> DataFrame:
+    """Sources (name, code) once for each page, whose lines come before the code as remarks."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html IS NOT NULL")
+    each = [F.struct(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(f"/{name}")).alias("file_path"), F.concat(_remarks(F.col("html"), _MARK.get(name.rsplit(".", 1)[-1], "//")), F.lit(code)).alias("content")) for name, code in sources]
+    return extract.source_files(pages.select(F.inline(F.array(*each))))
 
 
 def _symbol_query(language: str):
     def run(spark, sf_dir):
-        symbols = extract.table(extract.facts(_files(spark, [_SOURCES[language]])), "symbols")
-        return symbols.select("kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"))
+        symbols = extract.table(extract.facts(_paged(spark, sf_dir, [_SOURCES[language]])), "symbols")
+        return symbols.select("file_path", "kind", "fully_qualified", "byte_start", "byte_end", F.array_join("parameters", ",").alias("parameters"))
 
     return run
 
@@ -76,22 +97,30 @@ _IMPORTS = {
 }
 
 
-def language_imports(spark, sf_dir):
-    """Imports of all languages in one job."""
-    rows = extract.table(extract.facts(_files(spark, [(k, v[0]) for k, v in _IMPORTS.items()])), "imports")
-    return rows.select("file_path", "import_kind", F.array_join("path", "/").alias("path"), F.array_join("imported_names", ",").alias("names"), "is_glob", "is_reexport")
+def _import_places(name: str) -> list[int]:
+    """Where the statement of each of those facts begins: one a line, but the first of Python gives two."""
+    code, facts = _IMPORTS[name]
+    starts = [0, *(i + 1 for i, c in enumerate(code) if c == "\n")]
+    return [starts[max(0, i - 1) if name.endswith(".py") else i] for i in range(len(facts))]
 
 
-_CROSS = [("/w/src/lib.rs", "fn anchor() {}\n"), ("/w/src/pier.rs", "pub fn moor() {}\npub fn cast_off() {}\n"), ("/w/src/boat.rs", "use crate::pier::moor as tie;\nuse crate::pier::*;\nfn moor() {}\n")]
+def language_imports(spark, sf_dir):
+    """Imports of all languages in one job, a source of each for every page."""
+    rows = extract.table(extract.facts(_paged(spark, sf_dir, [(k, v[0]) for k, v in _IMPORTS.items()])), "imports")
+    return rows.select("file_path", "import_kind", F.array_join("path", "/").alias("path"), F.array_join("imported_names", ",").alias("names"), "is_glob", "is_reexport", "byte_start")
 
 
 def language_cross_file(spark, sf_dir):
-    """Names through imports of parsed sources: local first, then explicit, then glob, aliases by their target's first symbol."""
-    files = _files(spark, _CROSS)
-    rows = extract.facts(files).persist()
+    """Names through imports of parsed sources, two for every page: local first, then explicit, then glob, aliases by their target's first symbol."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html IS NOT NULL").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("p"), _remarks(F.col("html"), "//").alias("said"))
+    at = lambda name: F.concat(F.lit("/w/src/"), "p", F.lit(f"/{name}.rs"))
+    boat = F.concat(F.lit("use crate::"), "p", F.lit("::pier::moor as tie;\nuse crate::"), "p", F.lit("::pier::*;\nfn moor() {}\n"), "said")
+    pier = F.concat("said", F.lit("pub fn moor() {}\npub fn cast_off() {}\n"))
+    files = extract.source_files(pages.select(F.inline(F.array(F.struct(at("boat").alias("file_path"), boat.alias("content")), F.struct(at("pier").alias("file_path"), pier.alias("content"))))))
+    rows = written(extract.facts(files), "facts")
     modules = files.select("file_path", naming.module_path("/w", "file_path").alias("module_path"))
     imports = resolve.import_targets(extract.table(rows, "imports"), modules)
-    probes = spark.createDataFrame([("/w/src/boat.rs", n) for n in ("moor", "tie", "cast_off", "sunk")], "current_file string, identifier string")
+    probes = pages.select(at("boat").alias("current_file"), F.explode(F.array(*map(F.lit, ("moor", "tie", "cast_off", "sunk")))).alias("identifier"))
     return resolve.across_files(probes, extract.table(rows, "symbols"), imports)
 
 
@@ -109,13 +138,19 @@ _MADE = [
 _MADE_FACTS = [("function", "crate::", 0, "load"), ("function", "module::", 0, "load"), ("function", "", 0, "load"), ("function", "", 0, "load,keel"), ("method", "Hold.", 4, "load"), ("function", "", 0, "load,keel"), ("function", "", 0, "load")]
 
 
+def _words(text: str = "text"):
+    return F.regexp_extract_all(F.col(text), F.lit("[a-z]{3,}"), F.lit(0))
+
+
 def _made(spark, sf_dir) -> DataFrame:
-    """A source for each document: 1 to 6 functions, in the language of its number."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("which"), (F.col("doc_id") % 6).cast("int").alias("last"))
+    """A source for each document: 1 to 6 functions, in the language of its number, named by its words; its lines come first as remarks."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text", _words().alias("words"), (F.col("doc_id") % 7).cast("int").alias("which"), (F.col("doc_id") % 6).cast("int").alias("last"))
     pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _MADE]), F.col("which") + 1)
-    d = d.select("doc_id", "last", pick(0).alias("ext"), pick(1).alias("head"), pick(2).alias("before"), pick(3).alias("after"), pick(5).alias("tail"))
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.concat("before", F.lit("f"), F.col("doc_id").cast("string"), F.lit("_"), k.cast("string"), "after")), "")
-    return extract.source_files(d.select(F.concat(F.lit("made/"), F.col("doc_id").cast("string"), F.lit("."), F.col("ext")).alias("file_path"), F.concat("head", body, "tail").alias("content")))
+    said = F.when(F.col("which") == 1, _remarks(F.col("text"), "#")).otherwise(_remarks(F.col("text"), "//"))
+    d = d.select("doc_id", "last", "words", said.alias("said"), pick(0).alias("ext"), pick(1).alias("head"), pick(2).alias("before"), pick(3).alias("after"), pick(5).alias("tail"))
+    name = lambda k: F.concat(F.coalesce(F.get("words", k), F.lit("f")), F.lit("_"), k.cast("string"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.concat("before", name(k), "after")), "")
+    return extract.source_files(d.select(F.concat(F.lit("made/"), F.col("doc_id").cast("string"), F.lit("."), F.col("ext")).alias("file_path"), F.concat("said", "head", body, "tail").alias("content")))
 
 
 def _cases(column: str, values: list) -> str:
@@ -127,10 +162,12 @@ def _quoted(values) -> list[str]:
 
 
 _MADE_SQL = f"""
-src AS (SELECT doc_id, (doc_id % 7)::INT AS which, unnest(generate_series(0, doc_id % 6)) AS k FROM documents WHERE text IS NOT NULL),
-fn AS (SELECT doc_id, which, k, 'f' || doc_id || '_' || k AS name, {_cases('which', [len(x[1]) for x in _MADE])} AS head, {_cases('which', [len(x[2]) for x in _MADE])} AS pre, {_cases('which', [len(x[3]) for x in _MADE])} AS post,
+doc AS (SELECT doc_id, (doc_id % 7)::INT AS which, regexp_extract_all(text, '[a-z]{{3,}}') AS words, CASE WHEN doc_id % 7 = 1 THEN {_size_sql(_remarks_sql("text", "#"))} ELSE {_size_sql(_remarks_sql("text"))} END AS said FROM documents WHERE text IS NOT NULL),
+src AS (SELECT *, unnest(generate_series(0, doc_id % 6)) AS k FROM doc),
+fn AS (SELECT doc_id, which, k, coalesce(words[k + 1], 'f') || '_' || k AS name, said + {_cases('which', [len(x[1]) for x in _MADE])} AS head, {_cases('which', [len(x[2]) for x in _MADE])} AS pre, {_cases('which', [len(x[3]) for x in _MADE])} AS post,
   {_cases('which', [x[2] for x in _MADE_FACTS])} AS indent, 'made/' || doc_id || '.' || {_cases('which', _quoted(x[0] for x in _MADE))} AS file_path FROM src),
-sym AS (SELECT *, (head + k * (pre + length(name) + post) + indent)::BIGINT AS byte_start, (head + (k + 1) * (pre + length(name) + post) - 1)::BIGINT AS byte_end FROM fn)"""
+pos AS (SELECT *, head + coalesce(sum(pre + length(name) + post) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM fn),
+sym AS (SELECT *, (begin + indent)::BIGINT AS byte_start, (begin + pre + length(name) + post - 1)::BIGINT AS byte_end FROM pos)"""
 
 
 def made_symbols(spark, sf_dir):
@@ -151,12 +188,11 @@ def made_symbols_sql(spark, sf_dir):
 
 def made_code_by_symbol(spark, sf_dir):
     """Code of a symbol by its file and name (every second function), and of a span by its place."""
-    files = _made(spark, sf_dir).persist()
-    s = extract.entities(extract.table(extract.facts(files).persist(), "symbols")).where("kind <> 'class'")
-    chunks = extract.code_chunks(s, files)
+    files = _made(spark, sf_dir)
+    s = extract.entities(extract.table(written(extract.facts(files), "facts"), "symbols")).where("kind <> 'class'")
+    chunks = written(extract.code_chunks(s, files), "chunks")
     asked = s.where("endswith(name, '_1') OR endswith(name, '_3')").select("file_path", F.col("name").alias("symbol_name"))
-    named = chunks.join(asked, ["file_path", "symbol_name"], "left_semi")
-    told = labels.with_code(named.drop("content"), chunks)
+    told = labels.with_code(labels.chunks_of(chunks, asked).drop("content"), chunks)
     return told.select("file_path", "symbol_name", F.sha2("code", 256).alias("code_sha256"))
 
 
@@ -171,12 +207,21 @@ _HUB, _USERS = "/w/src/hub.rs", "pub fn beacon() { }\npub fn lamp() { beacon();
 _USES = ["use crate::hub::beacon;\nfn run() { beacon(); crate::hub::beacon(); }\n", "use crate::hub::*;\nfn run(b: Hull) { beacon(); b.beacon(); }\n", "use crate::hub::beacon;\nfn run() { fn beacon() {} beacon(); }\n", "fn run() { beacon(); }\n", "use crate::hub::beacon;\nfn run() { let beacon = 1; drop(beacon); crate::hub::beacon(); }\n"]
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """A text of each document's number."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+
+
+_TEXTS_SQL = "t AS (SELECT doc_id, coalesce(min(text), '') AS text FROM documents GROUP BY 1)"
+
+
 def made_references(spark, sf_dir):
     """References to one function in its file and in a file per document: imported by name, by glob, shadowed, or not seen at all."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
-    users = d.select(F.concat(F.lit("/w/src/u"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), F.element_at(F.array(*map(F.lit, _USES)), (F.col("doc_id") % len(_USES)).cast("int") + 1).alias("content"))
+    d = texts(spark, sf_dir)
+    uses = F.element_at(F.array(*map(F.lit, _USES)), (F.col("doc_id") % len(_USES)).cast("int") + 1)
+    users = d.select(F.concat(F.lit("/w/src/u"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), F.concat(_remarks(F.col("text"), "//"), uses).alias("content"))
     files = extract.source_files(users.unionByName(spark.createDataFrame([(_HUB, _USERS)], "file_path string, content string")))
-    rows = extract.facts(files).persist()
+    rows = written(extract.facts(files), "facts")
     t = {n: extract.table(rows, n) for n in ("identifiers", "scopes", "scope_symbols", "imports")}
     modules = files.select("file_path", naming.module_path("/w", "file_path").alias("module_path"))
     target = {"file_path": _HUB, "name": "beacon", "kind": "function", "byte_start": 0, "byte_end": len("pub fn beacon() { }"), "is_private": False}
@@ -197,27 +242,27 @@ def _reference_sql() -> str:
     parts = [f"SELECT '{_HUB}' AS file_path, {_USERS.index('beacon();')}::BIGINT AS byte_start, {_USERS.index('beacon();') + 6}::BIGINT AS byte_end, 'FunctionCall' AS context, 'same_file' AS origin, false AS by_glob"]
     for which, spots, glob in wanted:
         for a, b in spots:
-            parts.append(f"SELECT DISTINCT '/w/src/u' || doc_id || '.rs', {a}::BIGINT, {b}::BIGINT, 'FunctionCall', 'cross_file', {str(glob).lower()} FROM documents WHERE doc_id % {len(_USES)} = {which}")
-    return " UNION ALL ".join(parts)
+            parts.append(f"SELECT '/w/src/u' || doc_id || '.rs', ({a} + {_size_sql(_remarks_sql('text'))})::BIGINT, ({b} + {_size_sql(_remarks_sql('text'))})::BIGINT, 'FunctionCall', 'cross_file', {str(glob).lower()} FROM t WHERE doc_id % {len(_USES)} = {which}")
+    return f"WITH {_TEXTS_SQL} " + " UNION ALL ".join(parts)
 
 
 def made_visibility(spark, sf_dir):
-    """Visibility of items, and of each file those that other files can see."""
+    """Visibility of items after a document's lines, and of each file those that other files can see."""
     heads = ["fn", "pub fn", "pub(crate) fn", "pub(in crate::dock) async fn"]
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
-    code = F.concat(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 4).cast("int") + 1), F.lit(" crane() {}\n"))
+    d = texts(spark, sf_dir)
+    code = F.concat(_remarks(F.col("text"), "//"), F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 4).cast("int") + 1), F.lit(" crane() {}\n"))
     files = extract.source_files(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), code.alias("content")))
     s = extract.table(extract.facts(files), "symbols")
     return s.select("file_path", F.col("visibility.level").alias("level"), F.col("visibility.scope").alias("scope"), (F.col("visibility.level") != "private").alias("seen_outside"), F.col("flags.is_async").alias("is_async"))
 
 
 def made_pattern_replace(spark, sf_dir):
-    """A literal outside comments, found and replaced in a source per document."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
-    many = F.concat(F.lit("fn f() {\n"), F.repeat(F.lit("  hoist(7); // hoist(7)\n"), (F.col("doc_id") % 30).cast("int")), F.lit("/* hoist(7) /* hoist(7) */ */ hoist(7) }\n"))
-    files = extract.source_files(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), many.alias("content")))
+    """A literal in the lines of each document, which a source has as strings and again as remarks: replaced in the strings."""
+    line = lambda x: F.concat(F.lit('  say(r##"'), x, F.lit('"##); // '), x, F.lit("\n"))
+    many = F.concat(F.lit("fn f() {\n"), F.array_join(F.transform(F.split(F.replace("text", F.lit('"'), F.lit("")), "\n", -1), line), ""), F.lit("/* ing /* ing */ ing */ }\n"))
+    files = extract.source_files(texts(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rs")).alias("file_path"), many.alias("content")))
     comments = extract.table(extract.facts(files), "syntax_nodes").where("kind = 'comment'")
-    return rewrite.rewritten(pattern.replacements(files, "hoist(7)", "lower(12)", comments), files).select("file_path", "n_edits", F.col("after_sha256"))
+    return rewrite.rewritten(pattern.replacements(files, "ing", "ÏON", comments), files).select("file_path", "n_edits", F.col("after_sha256"))
 
 
 def super_imports(spark, sf_dir):
@@ -232,23 +277,31 @@ def super_imports(spark, sf_dir):
 _SUPER_SQL = """WITH d AS (SELECT DISTINCT doc_id, source FROM documents WHERE source IS NOT NULL)
 SELECT a.doc_id, CASE WHEN a.doc_id % 4 = 2 THEN a.doc_id WHEN a.doc_id % 4 < 2 THEN b.doc_id END AS target_file FROM d a LEFT JOIN d b ON b.source = a.source AND b.doc_id = a.doc_id + 1"""
 
-#: What tools say, with the document's number in it, and what is read from it: tool, output, line, column, message, code.
+#: What tools say, with the document's number and first words in it, and what is read from it: tool, output, line, column, message, code.
 _SAID = [
-    ("python", "  File \"{f}\", line {n}\n    x = = 1\n        ^\nSyntaxError: odd sign {n}", "n", "0", "'odd sign ' || n", "NULL"),
-    ("python", "SyntaxError: lost {n}", "0", "0", "'lost ' || n", "NULL"),
-    ("java", "{f}:{n}: error: no sail {n}\n  code\n1 error", "n", "0", "'no sail ' || n", "NULL"),
-    ("javascript", "{f}:{n} (9) TypeError: no keel", "n", "9", "'TypeError: no keel'", "NULL"),
-    ("typescript", "{f}({n},4): error TS2304: Cannot find name {n}", "n", "4", "'Cannot find name ' || n", "'TS2304'"),
-    ("typescript", "  the tool {n} broke  ", "0", "0", "'the tool ' || n || ' broke'", "NULL"),
-    ("c", "{f}:{n}:3: warning: slack rope", "n", "3", "'warning: slack rope'", "NULL"),
+    ("python", "  File \"{f}\", line {n}\n    x = = 1\n        ^\nSyntaxError: odd sign {w}", "n", "0", "'odd sign ' || w", "NULL"),
+    ("python", "SyntaxError: lost {w}", "0", "0", "'lost ' || w", "NULL"),
+    ("java", "{f}:{n}: error: no sail {w}\n  code\n1 error", "n", "0", "'no sail ' || w", "NULL"),
+    ("javascript", "{f}:{n} (9) TypeError: no {w}", "n", "9", "'TypeError: no ' || w", "NULL"),
+    ("typescript", "{f}({n},4): error TS2304: Cannot find name {w}", "n", "4", "'Cannot find name ' || w", "'TS2304'"),
+    ("typescript", "  the tool {w} broke  ", "0", "0", "'the tool ' || w || ' broke'", "NULL"),
+    ("c", "{f}:{n}:3: warning: slack {w}", "n", "3", "'warning: slack ' || w", "NULL"),
 ]
 
 
+def first_words(text: str = "text"):
+    """The first three words of a text, or none."""
+    return F.coalesce(F.nullif(F.array_join(F.slice(_words(text), 1, 3), " "), F.lit("")), F.lit("none"))
+
+
+FIRST_WORDS_SQL = "coalesce(nullif(array_to_string(regexp_extract_all(text, '[a-z]{3,}')[1:3], ' '), ''), 'none')"
+
+
 def diagnostics_tools(spark, sf_dir):
-    """Output of five tools, a run per document, and of runs that give no place; zero places are null, codes have their page."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct().withColumn("which", (F.col("doc_id") % len(_SAID)).cast("int"))
+    """Output of five tools about the words of a document, a run for each, and of runs that give no place; zero places are null, codes have their page."""
+    d = texts(spark, sf_dir).withColumn("which", (F.col("doc_id") % len(_SAID)).cast("int"))
     n, f = F.col("doc_id").cast("string"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".x"))
-    said = F.replace(F.replace(F.element_at(F.array(*[F.lit(x[1]) for x in _SAID]), F.col("which") + 1), F.lit("{f}"), f), F.lit("{n}"), n)
+    said = F.replace(F.replace(F.replace(F.element_at(F.array(*[F.lit(x[1]) for x in _SAID]), F.col("which") + 1), F.lit("{f}"), f), F.lit("{n}"), n), F.lit("{w}"), first_words())
     runs = d.select(n.alias("run_id"), f.alias("file"), said.alias("output"), F.element_at(F.array(*[F.lit(x[0]) for x in _SAID]), F.col("which") + 1).alias("tool"))
     out = None
     for tool in dict.fromkeys(x[0] for x in _SAID):
@@ -269,12 +322,16 @@ def _values(rows: list[tuple]) -> str:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for k, rows in _SYMBOLS.items():
-        code = _SOURCES[k][1]
-        placed = [(kind, name, code.index(text), code.index(text) + len(text), parameters) for kind, name, text, parameters in rows]
-        out[f"{k}_symbols"] = f"SELECT * FROM (VALUES {_values(placed)}) t(kind, fully_qualified, byte_start, byte_end, parameters)"
-    out["language_imports"] = f"SELECT * FROM (VALUES {_values([(k, *r) for k, v in _IMPORTS.items() for r in v[1]])}) t(file_path, import_kind, path, names, is_glob, is_reexport)"
-    boat, pier = "/w/src/boat.rs", "/w/src/pier.rs"
-    out["language_cross_file"] = f"SELECT current_file, identifier, file_path, name, kind, priority::INT AS priority FROM (VALUES {_values([(boat, 'moor', boat, 'moor', 'function', 0), (boat, 'tie', pier, 'moor', 'function', 1), (boat, 'cast_off', pier, 'cast_off', 'function', 2)])}) t(current_file, identifier, file_path, name, kind, priority)"
+        name, code = _SOURCES[k]
+        placed = [(kind, path, code.index(text), code.index(text) + len(text), parameters) for kind, path, text, parameters in rows]
+        mark = _MARK.get(name.rsplit(".", 1)[-1], "//")
+        out[f"{k}_symbols"] = f"""WITH p AS (SELECT page_id, {_size_sql(_remarks_sql("html", mark))} AS said FROM pages WHERE html IS NOT NULL)
+SELECT 'p' || page_id || '/{name}' AS file_path, kind, fully_qualified, (said + a)::BIGINT AS byte_start, (said + b)::BIGINT AS byte_end, parameters FROM p, (VALUES {_values(placed)}) t(kind, fully_qualified, a, b, parameters)"""
+    facts = [(k, *fact, _import_places(k)[i], int(k.endswith(".py"))) for k, v in _IMPORTS.items() for i, fact in enumerate(v[1])]
+    out["language_imports"] = f"""WITH p AS (SELECT page_id, {_size_sql(_remarks_sql("html"))} AS said, {_size_sql(_remarks_sql("html", "#"))} AS noted FROM pages WHERE html IS NOT NULL)
+SELECT 'p' || page_id || '/' || name AS file_path, import_kind, path, names, is_glob, is_reexport, (a + CASE WHEN is_py = 1 THEN noted ELSE said END)::BIGINT AS byte_start FROM p, (VALUES {_values(facts)}) t(name, import_kind, path, names, is_glob, is_reexport, a, is_py)"""
+    out["language_cross_file"] = """WITH p AS (SELECT '/w/src/p' || page_id || '/' AS dir FROM pages WHERE html IS NOT NULL)
+SELECT dir || 'boat.rs' AS current_file, identifier, dir || file || '.rs' AS file_path, name, 'function' AS kind, priority FROM p, (VALUES ('moor', 'boat', 'moor', 0), ('tie', 'pier', 'moor', 1), ('cast_off', 'pier', 'cast_off', 2)) t(identifier, file, name, priority)"""
     kind, full, parameters = _cases("which", _quoted(x[0] for x in _MADE_FACTS)), _cases("which", _quoted(x[1] for x in _MADE_FACTS)), _cases("which", _quoted(x[3] for x in _MADE_FACTS))
     out["made_symbols"] = f"WITH {_MADE_SQL} SELECT file_path, {kind} AS kind, {full} || name AS fully_qualified, byte_start, byte_end, {parameters} AS parameters, 'symbol_' || {kind} AS label FROM sym"
     out["made_symbols_sql"] = f"WITH {_MADE_SQL} SELECT file_path, {kind} AS kind, {full} || name AS fully_qualified, byte_start, byte_end, {parameters} AS parameters FROM sym"
@@ -284,11 +341,12 @@ def oracle_sql() -> dict[str, str]:
     out["made_references"] = _reference_sql()
     out["made_visibility"] = """SELECT DISTINCT 'd' || doc_id || '.rs' AS file_path, CASE doc_id % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'public' ELSE 'restricted' END AS level,
 CASE doc_id % 4 WHEN 2 THEN 'pub(crate)' WHEN 3 THEN 'pub(in crate::dock)' END AS scope, doc_id % 4 <> 0 AS seen_outside, doc_id % 4 = 3 AS is_async FROM documents"""
-    out["made_pattern_replace"] = """SELECT DISTINCT 'd' || doc_id || '.rs' AS file_path, (doc_id % 30 + 1)::BIGINT AS n_edits,
-sha256('fn f() {' || chr(10) || repeat('  lower(12); // hoist(7)' || chr(10), (doc_id % 30)::INT) || '/* hoist(7) /* hoist(7) */ */ lower(12) }' || chr(10)) AS after_sha256 FROM documents"""
+    out["made_pattern_replace"] = f"""WITH {_TEXTS_SQL}, l AS (SELECT doc_id, string_split(replace(text, '"', ''), chr(10)) AS l FROM t),
+n AS (SELECT doc_id, l, list_sum(list_transform(l, lambda x: len(string_split(x, 'ing')) - 1))::BIGINT AS n_edits FROM l)
+SELECT 'd' || doc_id || '.rs' AS file_path, n_edits, sha256('fn f() {{' || chr(10) || array_to_string(list_transform(l, lambda x: '  say(r##"' || replace(x, 'ing', 'ÏON') || '"##); // ' || x || chr(10)), '') || '/* ing /* ing */ ing */ }}' || chr(10)) AS after_sha256 FROM n WHERE n_edits > 0"""
     out["super_imports"] = _SUPER_SQL
     told = [_cases("which", [x[k] for x in _SAID]) for k in (2, 3, 4, 5)]
-    out["diagnostics_tools"] = f"""WITH d AS (SELECT DISTINCT doc_id AS n, 'f' || doc_id || '.x' AS file, (doc_id % {len(_SAID)})::INT AS which FROM documents)
+    out["diagnostics_tools"] = f"""WITH {_TEXTS_SQL}, d AS (SELECT doc_id AS n, {FIRST_WORDS_SQL} AS w, 'f' || doc_id || '.x' AS file, (doc_id % {len(_SAID)})::INT AS which FROM t)
 SELECT n::VARCHAR AS run_id, file, CASE WHEN which = 6 THEN 'warning' ELSE 'error' END AS level, nullif({told[0]}, 0)::BIGINT AS line, nullif({told[1]}, 0)::BIGINT AS "column", {told[2]} AS message, {told[3]} AS code,
 CASE WHEN which = 4 THEN 'https://www.typescriptlang.org/errors/TS2304' END AS remediation FROM d"""
     return out

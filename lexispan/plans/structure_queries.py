@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispan.functions import spans
-from lexispan.operators import binding, nesting, resolve, script
-from lexispan.sources import grams
+from lexispan.operators import binding, labels, nesting, resolve, script
+from lexispan.sources import facts, grams, suffixes
 from lexispan.sources.scratch import scratch_path, written
 
 _QUERIES: dict = {}
@@ -183,3 +183,38 @@ def composed_edits(spark, sf_dir):
     ))
     done = script.scripted(files.select("file_path", F.inline(steps)), files)
     return done.select(F.col("file_path").alias("doc_id"), "before_sha256", "after_sha256")
+
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+
+
+def _host_index(spark, sf_dir) -> str:
+    path = scratch_path(spark, "hosts", sweep=True)
+    suffixes.build(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host")), path, "host", ".")
+    return path
+
+
+@_query(f"SELECT page_id, {_HOST} AS host FROM pages WHERE {_HOST} = 'example.org' OR {_HOST} LIKE '%.example.org'")
+def host_suffix(spark, sf_dir):
+    """Pages of all hosts under one, a range of the index by reversed names."""
+    return suffixes.by_suffix(spark, _host_index(spark, sf_dir), "example.org", ".")
+
+
+@_query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), a AS (SELECT DISTINCT regexp_extract(host, '[^.]*\\.[^.]*\\.[^.]*$') AS suffix FROM h)
+SELECT h.page_id, h.host, a.suffix FROM h JOIN a ON h.host = a.suffix OR ends_with(h.host, '.' || a.suffix) WHERE a.suffix <> ''""")
+def host_suffixes(spark, sf_dir):
+    """Pages under each host of three parts, all looked up at once."""
+    path = _host_index(spark, sf_dir)
+    asked = spark.read.parquet(path).select(F.regexp_extract("host", r"[^.]*\.[^.]*\.[^.]*$", 0).alias("suffix")).where("suffix <> ''")
+    return suffixes.by_suffixes(spark, path, asked, ".")
+
+
+@_query("""WITH l AS (SELECT doc_id AS entity_id, 'lang:' || lang AS label FROM documents UNION ALL SELECT doc_id, 'source:' || source FROM documents)
+SELECT entity_id FROM l WHERE label IN ('lang:fr', 'source:src1') GROUP BY 1 HAVING count(DISTINCT label) = 2""")
+def label_store_query(spark, sf_dir):
+    """Entities with two labels from stored labels: folders of other labels are not read."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = d.select(F.col("doc_id").alias("entity_id"), F.explode(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"))).alias("label")).where("label IS NOT NULL")
+    path = scratch_path(spark, "labels", sweep=True)
+    facts.save({"entity_labels": rows}, path)
+    return labels.all_labels(facts.load(spark, path, "entity_labels"), ["lang:fr", "source:src1"])

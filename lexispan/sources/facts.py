@@ -20,10 +20,19 @@ def defines(symbols: DataFrame) -> DataFrame:
     return symbols.join(file_nodes(symbols), "file_path").select(F.col("file_id").alias("from_id"), F.col("entity_id").alias("to_id"), F.lit("defines").alias("type"))
 
 
+#: Columns by whose values tables lie in folders, and by which rows of a file are in order: readers skip by both.
+FOLDERS, ORDER = ("language", "label"), ("file_path", "name", "byte_start")
+
+
 def save(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+    """Write tables; those of labels by label and else those of a language by language, rows by file, name and place."""
     for name, df in tables.items():
-        writer = df.write.mode(mode)
-        (writer.partitionBy("language") if "language" in df.columns else writer).parquet(f"{path}/{name}")
+        folders = [c for c in FOLDERS if c in df.columns and not (c == "label" and "language" in df.columns)]
+        order = [c for c in ORDER if c in df.columns]
+        if "label" in folders:  # few files a label, and a common label's rows spread over tasks
+            df = df.repartition("label", F.pmod(F.xxhash64("entity_id"), F.lit(8)))
+        rows = df.sortWithinPartitions(*folders, *order) if folders or order else df
+        (rows.write.mode(mode).partitionBy(*folders) if folders else rows.write.mode(mode)).parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -178,20 +178,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, width: float = 2.0,
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link
-    with nothing. Equal vectors are compared once and count as links of each other,
-    as do rows that share an id; vectors of other dimensions have no cosine. Other
-    columns are not read. No rows: no rows.
+    with nothing. Equal vectors are compared once and count as links of each other;
+    rows that share an id but not a vector are vectors each. Rows without an id take part: a class that
+    has no id at all has none to give (null), and its rows are kept. Vectors of other dimensions have no cosine.
+    Other columns are not read. No rows: no rows.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     ok = base.where(sound())
-    distinct = written(ok.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    counted, edges = links(distinct.select(F.col("rep").alias("vec_id"), "embedding", "copies"), cosine, width, miss, seed, hot)
+    # a number of their own for distinct vectors; the written table holds it fast
+    distinct = written(ok.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    counted, edges = links(distinct.select(F.col("node").alias("vec_id"), "embedding", "copies"), cosine, width, miss, seed, hot)
     joined = components(edges, "vector_classes")
-    solved = (
-        distinct.join(counted.withColumnRenamed("vec_id", "rep"), "rep", "left")
-        .join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+    met = distinct.join(counted.withColumnRenamed("vec_id", "node"), "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = met.groupBy("component").agg(F.min("rep").alias("component_id"))
+    solved = met.join(lowest, "component").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     rows = ok.join(solved, "embedding").select("vec_id", "n_links", "component_id")
     rest = base.where(~sound()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return rows.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return rows.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

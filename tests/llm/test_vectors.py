@@ -48,6 +48,13 @@ def test_links_are_brute_force(table, rows, hot):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [-1.0, 0.0], 0), (None, [-1.0, 0.02], 0), (None, [0.01, 1.0], 0), (None, None, 0), (1, [1.0, 0.0], 0)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 0.9, miss=1e-6).collect()
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 1, 1, False), (None, 0, None, True), (1, 2, 1, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert vector_dedup.near_duplicates(none).count() == 0

@@ -54,10 +54,10 @@ def tool_metadata(language: str) -> dict:
     return {"tool": name, "tool_path": path, "tool_version": said[0] if said else None}
 
 
-def run_tool(path: str, language: str, workspace: str | None = None) -> tuple[bool, bool, str]:
-    """(tool is there, it accepts the file, what it said). Nothing is written beside the source."""
+def run_tool(path: str, language: str, workspace: str | None = None, search: str | None = None) -> tuple[bool, bool, str]:
+    """(tool is there, it accepts the file, what it said). Nothing is written beside the source. ``search``: the folders of tools, PATH if none are given."""
     name, before, _ = TOOLS[language]
-    tool = shutil.which(name)
+    tool = shutil.which(name, path=search)
     if not tool:
         return False, True, ""
     with tempfile.TemporaryDirectory() as out:
@@ -72,13 +72,25 @@ def run_tool(path: str, language: str, workspace: str | None = None) -> tuple[bo
 
 
 def compiler_gate(spark, paths: list[str], language: str, workspace: str | None = None) -> tuple[list[dict], DataFrame]:
-    """Gate results and diagnostics of the language's tool; a missing tool passes, and says so. For Rust the workspace is checked once."""
-    results, runs = [], []
-    for p in [paths[0]] if language == "rust" and paths else paths:
-        there, ok, said = run_tool(p, language, workspace)
-        results.append({"file_path": p, "gate": "compiler", "is_valid": ok, "tool_available": there})
-        if said and not ok:
-            runs.append((p, p, said))
+    """Gate results and diagnostics of the language's tool; a missing tool passes, and says so. Executors run it over their files; for Rust the workspace is checked once."""
+    import pyarrow as pa
+
+    search = os.environ.get("PATH", os.defpath)
+
+    def check(batches):
+        for b in batches:
+            own = b.column("file_path").to_pylist()
+            said = [run_tool(p, language, workspace, search) for p in own]
+            yield pa.RecordBatch.from_arrays([b.column("file_path"), pa.array([x[0] for x in said], pa.bool_()), pa.array([x[1] for x in said], pa.bool_()), pa.array([x[2] for x in said], pa.string())], ["file_path", "tool_available", "is_valid", "output"])
+
+    if language == "rust":
+        rows = [(p, *run_tool(p, language, workspace, search)) for p in paths[:1]]
+    else:
+        ship(spark)
+        files = spark.createDataFrame([(p,) for p in paths], "file_path string")
+        rows = [tuple(r) for r in files.repartition(max(1, min(len(paths), spark.sparkContext.defaultParallelism))).mapInArrow(check, "file_path string, tool_available boolean, is_valid boolean, output string").orderBy("file_path").collect()]
+    results = [{"file_path": p, "gate": "compiler", "is_valid": ok, "tool_available": there} for p, there, ok, _ in rows]
+    runs = [(p, p, said) for p, _, ok, said in rows if said and not ok]
     if not runs:
         return results, spark.createDataFrame([], DIAGNOSTICS)
     found = diagnostics.PARSERS[language](spark.createDataFrame(runs, "run_id string, file string, output string"))

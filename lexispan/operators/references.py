@@ -50,7 +50,7 @@ def importing_files(imports: DataFrame, reexports: DataFrame, module: str, name:
 
 
 def find(symbol: dict, identifiers: DataFrame, scopes: DataFrame, declared: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """(file_path, byte_start, byte_end, node_kind, context, origin, by_glob) of all references, by descending place.
+    """(file_path, byte_start, byte_end, node_kind, context, origin, by_glob) of all references, in no order.
 
     symbol: file_path, name, kind, byte_start, byte_end, is_private. Each file is
     parsed once, by whoever made the tables; a qualified call is one reference.
@@ -61,13 +61,13 @@ def find(symbol: dict, identifiers: DataFrame, scopes: DataFrame, declared: Data
     here = outside(usable.where(F.col("file_path") == symbol["file_path"]), symbol["byte_start"], symbol["byte_end"]).withColumn("origin", F.lit("same_file")).withColumn("by_glob", F.lit(False))
     columns = ["file_path", "byte_start", "byte_end", "node_kind", context(F.col("parent_kind"), F.col("is_qualified")).alias("context"), "origin", "by_glob"]
     if symbol.get("is_private"):
-        return here.select(columns).distinct().orderBy(F.desc("byte_start"), "file_path")
+        return here.select(columns).distinct()
     row = modules.where(F.col("file_path") == symbol["file_path"]).first()
     module = row.module_path if row else "crate"
     with_module = imports.join(modules, "file_path", "left")
     files = importing_files(with_module, reexported(with_module), module, symbol["name"]).where(F.col("file_path") != symbol["file_path"])
     there = usable.join(files.select("file_path", F.col("is_glob").alias("by_glob")), "file_path").withColumn("origin", F.lit("cross_file"))
-    return here.unionByName(there).select(columns).distinct().orderBy(F.desc("byte_start"), "file_path")
+    return here.unionByName(there).select(columns).distinct()
 
 
 def by_file_descending(rows: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def reference_edits(spark, path: str, symbol: str, kind: str | None, language: s
         t = {n: extract.table(parsed, n) for n in ("identifiers", "scopes", "scope_symbols", "imports")}
         modules = everything.select("file_path", module_path(root or os.path.dirname(path), "file_path").alias("module_path"))
         target = {"file_path": path, "name": symbol, "kind": found.kind, "byte_start": found.byte_start, "byte_end": found.byte_end, "is_private": found.visibility.level == "private"}
-        refs = references.find(target, t["identifiers"], t["scopes"], t["scope_symbols"], t["imports"], modules).collect()
+        refs = references.find(target, t["identifiers"], t["scopes"], t["scope_symbols"], t["imports"], modules).orderBy(F.desc("byte_start"), "file_path").collect()
         rows += [(0, i + 1, r.file_path, r.byte_start, r.byte_end, "") for i, r in enumerate(refs)]
         by_glob = any(r.by_glob for r in refs)
         sources = everything

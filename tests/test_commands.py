@@ -98,6 +98,64 @@ def test_compilers_run_after_the_write_and_undo_it(spark, tmp_path):
     gates.analyzer_gate(str(tmp_path), "off")
 
 
+#: A file each language's own tool refuses though it keeps the rules of the syntax gate: name, source, function, a new one, what is wrong with it.
+REFUSED = {
+    "c": ("rig.c", "int haul(int n) { return n; }\n", "haul", "int haul(int n) { return n + slack; }", "slack"),
+    "cpp": ("rig.cpp", "int haul(int n) { return n; }\n", "haul", "int haul(int n) { return std::string(n); }", "std"),
+    "java": ("Rig.java", "class Rig { int haul(int n) { return n; } }\n", "haul", 'int haul(int n) { return "n"; }', "incompatible"),
+    "javascript": ("rig.js", "function haul(n) { return n; }\n", "haul", "function haul(n) { await n; }", "await"),
+}
+
+
+@pytest.mark.parametrize("language", REFUSED)
+def test_compilers_of_languages(spark, tmp_path, language):
+    if not gates.tool_metadata(language)["tool_version"]:
+        pytest.skip("the tool is not here")
+    name, source, function, new, word = REFUSED[language]
+    (tmp_path / name).write_text(source)
+    if not gates.run_tool(str(tmp_path / name), language)[1]:
+        pytest.skip("the tool does not work here")
+    with pytest.raises(SpanError) as e:
+        c.patch(spark, str(tmp_path / name), function, new, compilers=True)
+    told = e.value.payload()["error"].get("diagnostics", [])
+    assert e.value.kind == "CompilerValidationFailed" and told, str(e.value)
+    assert (tmp_path / name).read_text() == source
+    assert any(word in d["message"] for d in told) and all(d["tool"] == gates.TOOLS[language][0] and d["tool_path"] for d in told)
+    if language != "javascript":
+        assert told[0]["line"] == 1
+    same = source[source.index("int haul") if language != "javascript" else 0 :].split("}")[0] + "}"
+    assert c.patch(spark, str(tmp_path / name), function, same, compilers=True)["status"] == "ok"
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
+
+
+def test_cargo_checks_the_workspace(spark, tmp_path):
+    if not gates.tool_metadata("rust")["tool_version"]:
+        pytest.skip("cargo is not here")
+    (tmp_path / "Cargo.toml").write_text('[package]\nname = "rig"\nversion = "0.1.0"\nedition = "2021"\n')
+    (tmp_path / "src").mkdir()
+    lib = tmp_path / "src/lib.rs"
+    lib.write_text("pub fn haul(n: u32) -> u32 { n }\n")
+    if not gates.run_tool(str(lib), "rust", str(tmp_path))[1]:
+        pytest.skip("cargo cannot check here")
+    with pytest.raises(SpanError) as e:
+        c.patch(spark, str(lib), "haul", "pub fn haul(n: u32) -> u32 { slack(n) }", compilers=True)
+    assert e.value.kind == "CargoCheckFailed" and lib.read_text() == "pub fn haul(n: u32) -> u32 { n }\n"
+    assert c.patch(spark, str(lib), "haul", "pub fn haul(n: u32) -> u32 { n + 1 }", compilers=True)["status"] == "ok" and "n + 1" in lib.read_text()
+
+
+def test_analyzer_speaks_or_is_silent(tmp_path):
+    for said, ok in (("", True), ("src/lib.rs:1:1: unresolved", False)):
+        tool = tmp_path / f"analyzer{ok}"
+        tool.write_text(f"#!/bin/sh\nprintf '{said}'\n")
+        tool.chmod(0o755)
+        if ok:
+            gates.analyzer_gate(str(tmp_path), str(tool))
+        else:
+            with pytest.raises(SpanError) as e:
+                gates.analyzer_gate(str(tmp_path), str(tool))
+            assert e.value.kind == "AnalyzerFailed" and "unresolved" in e.value.payload()["error"]["diagnostics"][0]["message"]
+
+
 def test_missing_tools_pass_and_say_so(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("PATH", str(tmp_path))
     assert gates.tool_metadata("rust") == {"tool": "cargo", "tool_path": None, "tool_version": None}

@@ -42,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--preview", action="store_true")
     command("plan", language=False).add_argument("-f", "--file", required=True)
     command("undo", language=False).add_argument("-m", "--manifest", required=True)
+    command("recover", language=False).add_argument("-r", "--root", required=True, help="workspace in which a crash has left commits")
     p = command("apply-files", writes=True)
     for flag in ("glob", "find", "replace"):
         p.add_argument(f"-{flag[0]}", f"--{flag}", required=True)
@@ -90,6 +91,8 @@ def run(spark, a: argparse.Namespace) -> dict:
         return c.run_plan(spark, a.file)
     if a.command == "undo":
         return c.undo(spark, a.manifest)
+    if a.command == "recover":
+        return c.recover(spark, a.root)
     if a.command == "apply-files":
         return c.apply_files(spark, a.glob, a.find, a.replace, validate=not a.no_validate, **audit)
     if a.command == "query":

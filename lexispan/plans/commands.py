@@ -179,6 +179,12 @@ def undo(spark, manifest: str) -> dict:
     return _payload(f"Restored {n} file(s)", {"files_restored": n})
 
 
+def recover(spark, root: str) -> dict:
+    """Complete or take back the commits that a crash has left in a workspace."""
+    found = journal.recover(spark, os.path.abspath(root))
+    return _payload(f"Recovered {len(found)} commit(s)", {"commits": found})
+
+
 def apply_files(spark, glob: str, find: str, replace: str, language=None, validate=True, create_backup=False, operation_id=None, metadata=None, **gate) -> dict:
     """A literal replaced in all files that fit a pattern, comments left alone."""
     if not find:

@@ -163,3 +163,14 @@ def test_recovery_when_staging_was_cut_short(spark, place):
     p = str(place / "d0" / "0.txt")
     journal._stage_one(p, hashlib.sha256(b"old 0").hexdigest(), "new 0", "op2")
     assert journal.recover(spark, str(place)) == {"op2": "taken back"} and state(place) == ({"old"}, [])
+
+
+def test_recovery_by_command(spark, place, capsys):
+    from lexispan import cli
+
+    folder = os.path.join(str(place), journal.FOLDER, "op3")
+    os.makedirs(folder)
+    journal.stage(changes(spark, place), folder, "op3")
+    journal._mark(folder, "COMMIT", {"gated": False})
+    assert cli.main(["recover", "--root", str(place)], spark) == 0
+    assert '"op3": "completed"' in capsys.readouterr().out and state(place) == ({"new"}, [])

@@ -102,7 +102,7 @@ def test_covered_points(spark):
 
 
 def test_many_edits_of_one_file(spark):
-    """Splicing, checks and previews of thousands of edits in one text: bytes are made once, lines come from one sort."""
+    """Edits, checks and previews of thousands of edits in one text: bytes are made once, lines come from one sort."""
     n = 6000
     files = spark.createDataFrame([("a", "xé\n" * n)], FILES)
     cols = "batch_no bigint, ordinal bigint, file_path string, byte_start bigint, byte_end bigint, content string"

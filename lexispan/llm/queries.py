@@ -111,7 +111,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": MIX_SQL}
+    return {"op3_mix_sources": MIX_SQL, "op11_centroid_clusters": _cluster_sql()}
 
 
 MIX_SQL = r"""
@@ -142,3 +142,21 @@ SELECT doc_id, size, source_size, target,
   ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM x
 """
+
+
+def _cluster_sql(k: int = 40, rounds: int = 5, components: int = 64, seed: int = 2) -> str:
+    """Rounds written out one after another, each vector against all centroids; divisions are made exact before they are floored."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {components})""",
+        "x AS MATERIALIZED (SELECT r, generate_subscripts(e, 1) AS d, unnest(e) AS x FROM v)",
+        f"c0 AS MATERIALIZED (SELECT k, generate_subscripts(e, 1) AS d, unnest(e) AS y FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), e) - 1 AS k, e FROM v) WHERE k < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, k, far FROM (SELECT r, k, sum((x - y) * (x - y))::BIGINT AS far FROM x JOIN c{i} USING (d) GROUP BY r, k) QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, k) = 1)")
+        if i < rounds:
+            parts.append(f"m{i} AS (SELECT k, d, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{i} USING (r) GROUP BY k, d)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k, d, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y FROM c{i} LEFT JOIN m{i} USING (k, d))")
+    parts.append(f"h AS (SELECT k, sha256(string_agg(y::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, k::INT AS cluster, far AS distance, (sum(far) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN h USING (k)"""

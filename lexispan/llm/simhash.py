@@ -418,12 +418,13 @@ def similar_kept(docs: DataFrame, words: int = 5, seed: int = 42, distance: int
     near = links(same, distance).distinct()  # a pair may meet in several segments
     first = near.join(same.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(same.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     alike = nodes.join(same.withColumnRenamed("node", "x"), "fp").select("x", F.col("node").alias("y")).where("x <> y")
-    pairs, edges, joined = first.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), None, None
+    pairs, joined = first.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), None
     for nearest in (True, False, None):
         pairs = written(pairs, "pairs")
         if pairs.limit(1).count():
             new = pairs if nearest is None else confirmed(pairs, nodes, texts, words, seed, least)
-            edges = new if edges is None else edges.unionByName(new)
+            # what is joined already goes on as one link a node, however many links joined it
+            edges = new if joined is None else new.unionByName(joined.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
             joined = written(components(edges, "joined"), "classes")
         if nearest is not None:
             pairs = proposals(nodes, joined, texts, words, seed, least, nearest)

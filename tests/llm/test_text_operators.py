@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and their edge cases: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import random
+import re
 import unicodedata
 import zlib
 
@@ -632,3 +633,42 @@ def test_pipeline_stages_are_brute_force(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_links_of_a_crowd_are_joined_once(spark, monkeypatch):
+    """Later rounds start from one link a node, not from all links of the rounds before, and no plan makes a large-star step twice."""
+    rng = random.Random(17)
+    texts = []
+    for base in ([rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)] for n in (400, 90)):
+        for _ in range(60):  # one crowd within 8 bits, one that only bands see
+            new = list(base)
+            for at in rng.sample(range(len(base)), 1):
+                new[at] = "changed" + rng.choice(WORDS) + rng.choice(WORDS)
+            texts.append(" ".join(new))
+    given, found, stars = [], [], []
+    plain, confirmed, written = simhash.components, simhash.confirmed, common.written
+
+    def counted(edges, name):
+        given.append(edges.count())
+        return plain(edges, name)
+
+    def told(*of):
+        out = confirmed(*of)
+        found.append(out.count())
+        return out
+
+    def planned(df, name):
+        stars.append(len(re.findall(r"Inner,.* \(low#\d+L? < m#", df._jdf.queryExecution().executedPlan().toString())))
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    monkeypatch.setattr(simhash, "confirmed", told)
+    monkeypatch.setattr(common, "written", planned)
+    rows = [(k, t, "en", "s", None) for k, t in enumerate(texts)]
+    got = simhash.similar_kept(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    sets = [brute.shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sorted(r.doc_id for r in got) == sorted(set(brute.joined(len(rows), pairs)))
+    assert given[0] > 3 * len(rows) and len(given) > 1
+    assert all(n < len(rows) + new for n, new in zip(given[1:], [*found[1:], len(rows)], strict=False))
+    assert max(stars) == 1

@@ -143,7 +143,7 @@ def unpack_blocks(blobs: list[bytes], length: int, shares: np.ndarray) -> np.nda
     place += 2 * n
     out = np.empty((length, n), np.int32)
     last, c24, top = np.int32((1 << TOTAL) - 1), _U(24), _U(1 << 32)
-    one, units = _U(1), _U(SHARES)
+    units = float(1 << SHARES)
     for i in range(length):
         w2, w1, both, w0, id2, id1 = m.predict()
         r = rng >> c24
@@ -151,8 +151,8 @@ def unpack_blocks(blobs: list[bytes], length: int, shares: np.ndarray) -> np.nda
         hit2, listed = v < w2, v < both
         first = listed > hit2
         wide = w0.astype(np.uint64)
-        x = np.maximum(v - both, 0).astype(np.uint64)
-        s = lookup[((x + one << units) - one) // wide]
+        x = np.maximum(v - both, 0)
+        s = lookup[(((x + 1.0) * units - 1.0) / w0).astype(np.int32)]  # both below 2**45: doubles give the exact floor, and divide faster
         a, own = m.order0(s, wide)
         s = _chosen(hit2, first, id2 - 1, id1 - 1, s)
         code -= r * _chosen(hit2, first, np.int32(0), w2, both + a).view(np.uint32)
@@ -249,7 +249,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, segment_
     def encoded(batches):
         encode = encoder(vocabulary).encode
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 8 << 20):
                 ids, at = encode(piece.column("text"))
                 doc = piece.column("doc_id")
                 place = np.searchsorted(bounds, doc.fill_null(0).to_numpy(), "right").astype(np.int32)

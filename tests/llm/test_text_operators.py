@@ -79,6 +79,29 @@ def test_encoder_equals_the_plain_call_in_any_company():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in plain.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_encoder_shares_the_pieces_of_words():
+    """Where marks are at ends of words, white space, capitals and marks after a word make no new piece; accented words are plain ones. All as the library has it."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    latin = [chr(c) for c in range(0xC0, 0x100)]
+    words = ["".join(rng.choice([*"abcxyzABC", *latin]) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    ends = ["", "", ".", ",", "$$$", "&&&", "***", "###", "%%%", "'s", "\u0301", "\u0308.", "\u00d7", "<|endoftext|>", "\u0130", "-", "\u00a8"]
+    texts = [rng.choice(["", " ", "\n", "\t"]).join(w + rng.choice(ends) + rng.choice([" ", "\n", "\u00a0", "\x1c", ""]) for w in words[k : k + 5]) for k in range(0, 2000, 5)]
+    texts += ["a\u00e9.", "\u00e9.", "\u00c3.", "\u00c9", "\u00c9\u0301", "\u00c9\u00c9", "\u00c3", "\u00a3.", "\u4e03#", "\u0143\u00df\u00e0\u00ed"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain, e = Tokenizer.from_file(vocabulary(name)), BatchEncoder(vocabulary(name))
+        ids, at = e.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    e = BatchEncoder(vocabulary("word_bpe_49k.json"))
+    e.encode(pa.array([" \u00e9t\u00e9"]))
+    e.tokenizer = None  # the patterns are not needed for small letters
+    ids, at = e.encode(pa.array([" \u00e9t\u00e9\n\u00c9T\u00c9\t\u00c9t\u00e9 stra\u00dfe \u00e0\u00ed"]))
+    assert ids.tolist() == Tokenizer.from_file(vocabulary("word_bpe_49k.json")).encode("\u00e9t\u00e9 \u00e9t\u00e9 \u00e9t\u00e9 stra\u00dfe \u00e0\u00ed").ids
+    assert len(e.known.pieces) == 3
+
+
 def test_token_files_do_not_depend_on_partitions(spark):
     texts = ["the USA", "été", "vitamin C", "ähnlich", None, "I", "", "Ümit A", "<|endoftext|>"] * 6
     rows = [(i // 2 if i % 9 else None, t) for i, t in enumerate(texts)]
